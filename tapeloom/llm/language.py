@@ -60,6 +60,16 @@ def plain(text: str) -> str:
     return SPACE.sub(" ", NOISE.sub(" ", t)).strip()
 
 
+LISTED = re.compile(r"^\W*\d+\s*[.):-]|\S\s+(?:->|>)\s+\S")
+ENDED = re.compile(r"[.!?…][\"'”»)\]]*\s*$")
+
+
+def prose(text: str) -> str:
+    """The lines that are sentences: names, headings and numbered titles don't count towards a language. All, if none is."""
+    lines = [x for x in text.splitlines() if ENDED.search(x) and not LISTED.search(x)]
+    return "\n".join(lines) if lines else text
+
+
 class Coders:
     """The per-language compressors; `raw` maps code to dictionary bytes, in the order of ties."""
 
@@ -79,7 +89,7 @@ class Coders:
 
 def fit(labelled: dict[str, list[str]]) -> dict[str, bytes]:
     """Dictionaries from sample texts by label, after moving lines that are under a wrong label."""
-    lines = {k: Counter(p for t in v for s in re.split(r"[\n.!?]+", t) if len(p := plain(s)) >= 24) for k, v in labelled.items()}
+    lines = {k: Counter(p for t in v for s in re.split(r"[\n.!?]+", prose(t)) if len(p := plain(s)) >= 24) for k, v in labelled.items()}
 
     def pack(ls: list[str]) -> bytes:
         # spread the lines over the sample: order by a mix of their letters, not by the alphabet
@@ -108,6 +118,13 @@ def fit(labelled: dict[str, list[str]]) -> dict[str, bytes]:
                 best = max(score.values())
                 moved[k if score[k] == best else max(score, key=score.get)][s] += n
         lines = moved
+    # a line that still stands under several languages stays where its words are most frequent
+    for text in [x for x, n in Counter(x for v in lines.values() for x in v).items() if n > 1]:
+        holders = [k for k in lines if text in lines[k]]
+        home = max(holders, key=lambda k: sum(math.log((seen[k][w] + 0.02) / total[k]) for w in text.split()))
+        for k in holders:
+            if k != home:
+                del lines[k][text]
     return {k: pack(v) for k, v in lines.items()}
 
 
@@ -156,7 +173,7 @@ def segments(docs: DataFrame, codes: list[tuple[str, str]], raw: dict[str, bytes
             out = []
             for doc_id, text, label in zip(df.doc_id, df.text, df.label):
                 label = label if isinstance(label, str) else None
-                pieces = [plain(p) for p in text.split("\n\n")]
+                pieces = [plain(prose(p)) for p in text.split("\n\n")]
                 sizes = [coders.sizes(p) if p else np.zeros(len(langs), int) for p in pieces]
                 whole = np.sum(sizes, axis=0)
                 d_best, d_gain, d_clear = settled(whole) if any(pieces) and langs else (0, 0.0, False)
