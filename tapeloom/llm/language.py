@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The bounded fit: labelled documents per language, characters of each taken into the sample, bytes of a dictionary.
-SAMPLE_PER_LANGUAGE, SAMPLE_CHARS, DICT_BYTES = 250, 6000, 49152
+SAMPLE_PER_LANGUAGE, SAMPLE_CHARS, DICT_BYTES = 250, 6000, 65536
 #: A piece is settled by itself if the runner-up is larger by this share and this many bytes.
 MARGIN, MARGIN_BYTES = 0.04, 2
 LEVEL = 3
@@ -91,16 +91,20 @@ def fit(labelled: dict[str, list[str]]) -> dict[str, bytes]:
     """Dictionaries from sample texts by label, after moving lines that are under a wrong label."""
     lines = {k: Counter(p for t in v for s in re.split(r"[\n.!?]+", prose(t)) if len(p := plain(s)) >= 24) for k, v in labelled.items()}
 
-    def pack(ls: list[str]) -> bytes:
-        # spread the lines over the sample: order by a mix of their letters, not by the alphabet
-        ls = sorted(ls, key=lambda s: hash_of(s))
+    def pack(found: Counter) -> bytes:
+        """Frequent lines first; lines that bring words the dictionary lacks before lines that don't."""
+        order = sorted(found, key=lambda x: (-found[x], hash_of(x)))
+        words, first, rest = Counter(), [], []
+        for x in order:
+            ws = set(x.split())
+            (first if any(words[w] < 2 for w in ws) else rest).append(x)
+            words.update(ws)
         out, size = [], 0
-        for s in ls:
-            b = s.encode() + b"\n"
-            if size + len(b) > DICT_BYTES:
-                break
-            out.append(b)
-            size += len(b)
+        for x in first + rest:
+            b = x.encode() + b"\n"
+            if size + len(b) <= DICT_BYTES:
+                out.append(b)
+                size += len(b)
         return b"".join(out)
 
     for _ in range(2):
