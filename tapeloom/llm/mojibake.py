@@ -21,7 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, cut
@@ -133,21 +133,20 @@ class Model:
         self.every = every
         self.memo: dict[str, list] = {}
 
-    def loglik(self, text: str, own: float = 0.0) -> float:
-        """`own`: what the word itself put into the model, which must not speak for it."""
+    def loglik(self, text: str) -> float:
         pairs, first, second, bad = cells(text)
         bi, uni, total, out = self.bi, self.uni, self.total, -NEVER * bad
         for p, a, b in zip(pairs, first, second):
-            out += math.log((max(0.0, bi[p] - own) + SMOOTH * (uni[b] + 1) / total) / (uni[a] + SMOOTH))
+            out += math.log((bi[p] + SMOOTH * (uni[b] + 1) / total) / (uni[a] + SMOOTH))
         return out
 
-    def readings(self, word: str, own: float) -> list[tuple[int, str, float]]:
+    def readings(self, word: str) -> list[tuple[int, str, float]]:
         """(chain, restored, log likelihood) of every chain the word can have come through."""
         got = self.memo.get(word)
         if got is None:
             if len(self.memo) > 200_000:
                 self.memo.clear()
-            got = [(0, word, self.loglik(word, own))]
+            got = [(0, word, self.loglik(word))]
             seen: dict[str, float] = {}
             for c in self.every:
                 r = restore(word, c)
@@ -157,12 +156,12 @@ class Model:
             self.memo[word] = got
         return got
 
-    def posterior(self, word: str, field: str, source: int, support: float = 0.0) -> list[tuple[int, str, float]]:
+    def posterior(self, word: str, field: str, source: int) -> list[tuple[int, str, float]]:
         if "�" in word:
             return [(LOST, word, 1.0)]
         pi, own = self.fields[field], self.sources.get((field, source), {})
         weight = sum(own.values()) + SHRINK
-        got = [(c, r, ll + math.log((own.get(c, 0.0) + SHRINK * pi[c]) / weight + 1e-12)) for c, r, ll in self.readings(word, support) if c == 0 or pi[c] > 1e-6]
+        got = [(c, r, ll + math.log((own.get(c, 0.0) + SHRINK * pi[c]) / weight + 1e-12)) for c, r, ll in self.readings(word) if c == 0 or pi[c] > 1e-6]
         top = max(x for _, _, x in got)
         z = sum(math.exp(x - top) for _, _, x in got)
         return [(c, r, math.exp(x - top) / z) for c, r, x in got]
@@ -197,11 +196,11 @@ def _sums(counts: DataFrame, model: Model | None) -> dict[str, dict[int, float]]
         m = shared.value
         acc: dict[tuple, float] = {}
         for df in batches:
-            for word, field, source, n, support in zip(df.word, df.field_name, df.source, df.n, df.support):
+            for word, field, source, n in zip(df.word, df.field_name, df.source, df.n):
                 if m is None:
                     post = [(0, word, 1.0)] if "�" not in word and not any("\x80" <= c < "\xa0" for c in word) else []
                 else:
-                    post = m.posterior(word, field, source, support)
+                    post = m.posterior(word, field, source)
                 for c, text, p in post:
                     if p < 1e-4:
                         continue
@@ -255,8 +254,7 @@ def fit_em(counts: DataFrame, rounds: int = ROUNDS) -> Model:
 def garbled_words(vals: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``field_name, source, word, chain, restored, posterior`` of the words more likely garbled than not."""
     counts = words(vals).groupBy("word", "field_name", "source").agg(F.count(F.lit(1)).alias("n"))
-    # a word has at most 3 * SOURCES rows here
-    counts = cut(counts.withColumn("support", F.sum(F.sqrt("n")).over(Window.partitionBy("word"))))
+    counts = cut(counts.repartition("word"))
     model = fit_em(counts, rounds)
     shared = vals.sparkSession.sparkContext.broadcast(model)
 
@@ -264,8 +262,8 @@ def garbled_words(vals: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         m = shared.value
         for df in batches:
             out = []
-            for word, field, source, support in zip(df.word, df.field_name, df.source, df.support):
-                post = m.posterior(word, field, source, support)
+            for word, field, source in zip(df.word, df.field_name, df.source):
+                post = m.posterior(word, field, source)
                 clean = sum(p for c, _, p in post if c == 0)
                 if clean < 0.5:
                     by: dict[str, float] = {}
