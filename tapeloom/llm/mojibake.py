@@ -30,7 +30,7 @@ from ..session import broadcast_if_small, cut
 BIGRAMS, UNIGRAMS, SOURCES = 1 << 16, 1 << 12, 1024
 ROUNDS, SHRINK, SMOOTH = 4, 40.0, 2.0
 #: Encodings text is written in, and wrongly read in.
-WRITTEN = ("utf-8", "cp1252", "cp1251", "koi8_r", "cp932", "mac_roman", "cp1250", "cp437", "cp850", "euc_jp")
+WRITTEN = ("utf-8", "cp1252", "cp1251", "koi8_r", "cp932", "mac_roman", "cp1250", "cp437", "cp850")
 READ = ("cp1252", "latin_1", "cp437", "cp850", "cp1251", "mac_roman", "cp1250", "koi8_r", "iso8859_2", "cp866")
 TWICE = ("cp1252", "latin_1", "cp437", "cp1251", "mac_roman")
 CHAINS: list[tuple] = [(), *((x, y, 1) for x in WRITTEN for y in READ if x != y), *(("utf-8", y, 2) for y in TWICE)]
@@ -243,7 +243,7 @@ def fit_em(counts: DataFrame, rounds: int = ROUNDS) -> Model:
             p = prior[f] * 5.0
             x = s[(s.what == "f") & (s.field == f)]
             p[x.cell.to_numpy()] += x.v.to_numpy()
-            p[1:LOST][p[1:LOST] < 0.5] = 0.0  # a chain with less than half a word behind it is closed
+            p[1:LOST][p[1:LOST] < 1.5] = 0.0  # a chain with hardly a word behind it is closed
             pi[f] = p / p.sum()
         for f, src, c, v in s[s.what == "s"][["field", "source", "cell", "v"]].itertuples(index=False):
             own.setdefault((f, src), {})[c] = v
