@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import canonical, language, mojibake, neardup, survivor, variants
+from . import canonical, language, mixing, mojibake, neardup, packing, survivor, variants
 
 Q = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,10 @@ QUERIES: dict[str, Q] = {
     "p4_found": lambda s, d: mojibake.found(*_t(s, d, "concerts", "tracks")),
     "p4_restored": lambda s, d: mojibake.restored(*_t(s, d, "concerts", "tracks")),
     "p5_found": lambda s, d: canonical.found(*_t(s, d, "concerts", "lexicon", "starter_lexicon", "venue_ref", "city_ref")),
+    "p6_packed": lambda s, d: packing.pack(*_t(s, d, "documents", "pack_sizes")),
+    "p6_fill": lambda s, d: packing.report(*_t(s, d, "documents", "pack_sizes")),
+    "p7_mix": lambda s, d: mixing.mix(*_t(s, d, "documents", "mix_targets")),
+    "p7_shares": lambda s, d: mixing.shares(*_t(s, d, "documents", "mix_targets")),
     "p8_found": lambda s, d: language.mislabelled(table(s, d, "documents"), _codes(s, d)),
     "p8_documents": lambda s, d: language.documents_language(table(s, d, "documents"), _codes(s, d)),
     "p8_segments": lambda s, d: language.segments(table(s, d, "documents"), _codes(s, d)).select("doc_id", "seg", "lang", F.round("confidence", 4).alias("confidence")),
