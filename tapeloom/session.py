@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,5 +53,20 @@ def broadcast_if_small(df: DataFrame, row_bytes: int = 256, limit: int = BROADCA
     return F.broadcast(df) if len(df.limit(most + 1).select(F.lit(1)).take(most + 1)) <= most else df
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per context, so that Python stages run where it isn't installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tapeloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    at = Path(tempfile.mkdtemp(prefix="tapeloom-code-")) / "tapeloom_code.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(str(at))
+    sc._tapeloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
