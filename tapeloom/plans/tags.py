@@ -8,24 +8,24 @@ from pyspark.sql import functions as F
 from ..operators.setlist import disc_and_track_of_file
 
 
-def paired(tracks: DataFrame, files: DataFrame, key: str = "show") -> DataFrame:
-    """``key, pos, path, title, number, disc, disc_total, track_total, track_text, disc_text``.
+def paired(tracks: DataFrame, files: DataFrame, key: str = "show", by: tuple[str, ...] = ("pos",), file_by: tuple[str, ...] = ("path",)) -> DataFrame:
+    """``key, place, path, title, number, disc, disc_total, track_total, track_text, disc_text``.
 
     The k-th track goes to the k-th file by name, as far as both go. `tracks(key, pos, title, number, disc, disc_total)`,
     `files(key, path)`; places are counted per show.
     """
-    t = tracks.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy("pos")))
+    t = tracks.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(*by)))
     t = t.withColumn("track_total", F.count(F.lit(1)).over(Window.partitionBy(key, "disc")).cast("int"))
     f = files.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy("path")))
     j = t.join(f, [key, "k"])
     disc = F.when(F.col("disc").isNotNull(), F.concat_ws("/", F.col("disc").cast("string"), F.col("disc_total").cast("string")))
-    return j.select(key, F.col("k").alias("pos"), "path", "title", "number", "disc", "disc_total", "track_total", F.format_string("%02d", "number").alias("track_text"), disc.alias("disc_text"))
+    return j.select(key, F.col("k").alias("place"), "path", "title", "number", "disc", "disc_total", "track_total", F.format_string("%02d", "number").alias("track_text"), disc.alias("disc_text"))
 
 
-def files_only(files: DataFrame, key: str = "show") -> DataFrame:
+def files_only(files: DataFrame, key: str = "show", by: tuple[str, ...] = ("path",)) -> DataFrame:
     """``key, path, track, disc``: the number a file's name tells, else its place, else none where a tag is there already."""
     told = disc_and_track_of_file(F.col("path"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy("path"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*by))
     x = files.withColumns({"told": told, "place": place})
     return x.select(key, "path", F.coalesce("told.track", "place").alias("track"), F.col("told.disc").alias("disc"))
 
