@@ -38,6 +38,10 @@ LOST = len(CHAINS)  # the last state: characters were replaced, nothing can be r
 NAMES = ["clean", *(f"{x}>{y}" + "x2" * (n == 2) for x, y, n in CHAINS[1:]), "lost"]
 BREAK = re.compile(r"([ \t\r\n\f/]+)")
 HIGH = re.compile(r"[^\x00-\x7f]+")
+#: No clean text holds these: control characters, line graphics, characters for private use.
+NO_TEXT = re.compile("[\x00-\x08\x0b-\x1f\x7f-\x9f\u2500-\u259f\ue000-\uf8ff]")
+CONTROL = re.compile("[\x80-\x9f]")
+FAR = 35.0  # readings less likely by so many nats than the best cannot win: no prior makes up for it
 NEVER = 60.0  # nats against a control character in clean text
 
 
@@ -132,6 +136,7 @@ class Model:
         every = sorted(set().union(*self.active.values())) if fields else []
         self.every = every
         self.memo: dict[str, list] = {}
+        self.base: dict[tuple, tuple] = {}
 
     def loglik(self, text: str) -> float:
         pairs, first, second, bad = cells(text)
@@ -146,25 +151,54 @@ class Model:
         if got is None:
             if len(self.memo) > 200_000:
                 self.memo.clear()
-            got = [(0, word, self.loglik(word))]
-            seen: dict[str, float] = {}
+            texts: dict[str, list[int]] = {}
             for c in self.every:
                 r = restore(word, c)
-                if r is not None:
-                    ll = seen.get(r)
-                    got.append((c, r, ll if ll is not None else seen.setdefault(r, self.loglik(r))))
+                if r is not None and not NO_TEXT.search(r):
+                    texts.setdefault(r, []).append(c)
+            got = [(0, word, self.loglik(word))]
+            for r, cs in texts.items():
+                ll = self.loglik(r)
+                got += [(c, r, ll) for c in cs]
+            top = max(ll for _, _, ll in got)
+            got = [x for x in got if x[0] == 0 or x[2] > top - FAR]  # a field may have closed the best one's chain
             self.memo[word] = got
         return got
 
     def posterior(self, word: str, field: str, source: int) -> list[tuple[int, str, float]]:
         if "�" in word:
             return [(LOST, word, 1.0)]
-        pi, own = self.fields[field], self.sources.get((field, source), {})
+        base = self.base.get((word, field))
+        if base is None:
+            if len(self.base) > 400_000:
+                self.base.clear()
+            base = self.base[(word, field)] = self._base(word, field)
+        fixed, open_ = base
+        own = self.sources.get((field, source)) if open_ else None
+        if not own:
+            return fixed
+        # only words that the field leaves open ask their source
         weight = sum(own.values()) + SHRINK
-        got = [(c, r, ll + math.log((own.get(c, 0.0) + SHRINK * pi[c]) / weight + 1e-12)) for c, r, ll in self.readings(word) if c == 0 or pi[c] > 1e-6]
+        get, log = own.get, math.log
+        got = [(c, r, ll + log((get(c, 0.0) + k) / weight + 1e-12)) for c, r, ll, k in open_]
         top = max(x for _, _, x in got)
-        z = sum(math.exp(x - top) for _, _, x in got)
-        return [(c, r, math.exp(x - top) / z) for c, r, x in got]
+        got = [(c, r, math.exp(x - top)) for c, r, x in got if x > top - 14]
+        z = sum(x for _, _, x in got)
+        return [(c, r, x / z) for c, r, x in got]
+
+    def _base(self, word: str, field: str) -> tuple[list, list]:
+        """(posterior by the field alone, readings to weigh by source; none if the field is sure of one)."""
+        pi = self.fields[field]
+        read = [(c, r, ll, SHRINK * pi[c]) for c, r, ll in self.readings(word) if c == 0 or pi[c] > 1e-6]
+        if CONTROL.search(word):  # never clean: by the open chains, else by any chain, else beyond repair
+            read = [x for x in read if x[0]] or [(c, r, ll, SHRINK * 1e-6) for c, r, ll in self.readings(word) if c]
+            if not read:
+                return [(LOST, word, 1.0)], []
+        top = max(ll + math.log(k / SHRINK + 1e-12) for _, _, ll, k in read)
+        got = [(c, r, math.exp(ll + math.log(k / SHRINK + 1e-12) - top)) for c, r, ll, k in read]
+        z = sum(x for _, _, x in got)
+        post = [(c, r, x / z) for c, r, x in got if x / z > 1e-6]
+        return post, [] if max(p for _, _, p in post) > 1 - 1e-6 else read
 
 
 def first_model(fields: list[str]) -> dict[str, np.ndarray]:
@@ -195,32 +229,37 @@ def _sums(counts: DataFrame, model: Model | None) -> dict[str, dict[int, float]]
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         acc: dict[tuple, float] = {}
+        # all rows of a word are in one partition: the character cells are touched once per reading of a word
+        read: dict[str, float] = {}
         for df in batches:
             for word, field, source, n in zip(df.word, df.field_name, df.source, df.n):
+                w = math.sqrt(n)  # a word's repeats count less and less: the model is of words, not of records
                 if m is None:
-                    post = [(0, word, 1.0)] if "�" not in word and not any("\x80" <= c < "\xa0" for c in word) else []
-                else:
-                    post = m.posterior(word, field, source)
-                for c, text, p in post:
+                    if "\ufffd" not in word and not any("\x80" <= c < "\xa0" for c in word):
+                        read[word] = read.get(word, 0.0) + w
+                    continue
+                for c, text, p in m.posterior(word, field, source):
                     if p < 1e-4:
                         continue
-                    w = p * n
-                    if m is not None:
-                        k = ("f", field, -1, c)
-                        acc[k] = acc.get(k, 0.0) + w
-                        k = ("s", field, source, c)
-                        acc[k] = acc.get(k, 0.0) + w
+                    k = ("f", field, -1, c)
+                    acc[k] = acc.get(k, 0.0) + p * n
+                    k = ("s", field, source, c)
+                    acc[k] = acc.get(k, 0.0) + p * n
                     if c != LOST:
-                        pairs, first, _, _ = cells(text)
-                        w = p * math.sqrt(n)  # a word's repeats count less and less: the model is of words, not of records
-                        for i in pairs:
-                            k = ("b", "", -1, i)
-                            acc[k] = acc.get(k, 0.0) + w
-                        for i in first:
-                            k = ("u", "", -1, i)
-                            acc[k] = acc.get(k, 0.0) + w
-        if acc:
-            yield pd.DataFrame([(*k, v) for k, v in acc.items()], columns=["what", "field", "source", "cell", "v"])
+                        read[text] = read.get(text, 0.0) + p * w
+        bi, uni = np.zeros(BIGRAMS), np.zeros(UNIGRAMS)
+        for text, w in read.items():
+            pairs, first, _, _ = cells(text)
+            for i in pairs:
+                bi[i] += w
+            for i in first:
+                uni[i] += w
+        out = [(*k, v) for k, v in acc.items()]
+        for what, a in (("b", bi), ("u", uni)):
+            at = np.nonzero(a)[0]
+            out += zip([what] * len(at), [""] * len(at), [-1] * len(at), at.tolist(), a[at].tolist())
+        if out:
+            yield pd.DataFrame(out, columns=["what", "field", "source", "cell", "v"])
 
     got = counts.mapInPandas(run, "what string, field string, source int, cell int, v double")
     return got.groupBy("what", "field", "source", "cell").agg(F.sum("v").alias("v")).toPandas()  # at most BIGRAMS + UNIGRAMS + 3 * (SOURCES + 1) * chains rows
