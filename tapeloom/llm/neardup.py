@@ -66,7 +66,7 @@ def fit_tree(dur: np.ndarray, fp: np.ndarray, leaf: int, seed: int = 7) -> list[
                         if s[gap + 1] - s[gap] > 2 * r:
                             mu = float(s[gap] + s[gap + 1]) / 2
                     inner = d <= mu
-                    if inner.all() or not inner.any():
+                    if min(inner.sum(), (~inner).sum()) < leaf // 4:  # no shaving off of single points
                         continue
                     cost = float((np.abs(d - mu) <= r).mean()) + 0.25 * abs(inner.mean() - 0.5)
                     if best is None or cost < best[0]:
