@@ -20,23 +20,27 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, cut
+from ..session import broadcast_if_small, cut, spread
 from .names import PLACE_SHORT, Name, edits, fold, is_filler, same_word, slack, sound, words
 
 #: Reference entries whose dictionary is broadcast; each takes up to about 200 shortened words of its few words.
 MAX_REFERENCE = 20_000
 DELETES = 3
+#: Longer words are no names: they are looked up whole.
+LONGEST = 48
 MEMO = 300_000
 ROWS = {c: (r, k) for r, line in enumerate(("qwertyuiop", "asdfghjkl", "zxcvbnm")) for k, c in enumerate(line)}
 VOWELS = set("aeiou")
 
 
-def shortened(w: str, k: int) -> set[str]:
-    """`w` with up to k letters left out, k bounded by its length."""
-    k = min(k, slack(len(w)))
-    out = {w}
-    for n in range(1, k + 1):
-        out.update("".join(w[i] for i in range(len(w)) if i not in drop) for drop in map(set, combinations(range(len(w)), n)))
+def shortened(word: str, k: int) -> set[str]:
+    """`word`, and what it sounds like, with up to k letters left out; k is bounded by the length of the longer word it may stand for."""
+    k = min(k, slack(len(word) + 1)) if len(word) <= LONGEST else 0
+    out: set[str] = set()
+    for w in {word, sound(word)}:
+        out.add(w)
+        for n in range(1, min(k, len(w)) + 1):
+            out.update("".join(w[i] for i in range(len(w)) if i not in drop) for drop in map(set, combinations(range(len(w)), n)))
     return out
 
 
@@ -94,7 +98,7 @@ class Lookup:
                 continue
             self.entries[i] = (key, extra, place, fold(text))
             for w in {*key, "".join(key)} | ({"".join([*key, *extra])} if kind == "city" else set()):
-                for s in shortened(sound(w), DELETES):
+                for s in shortened(w, DELETES):
                     self.by.setdefault(s, set()).add(i)
 
     def read(self, text: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
@@ -114,7 +118,7 @@ class Lookup:
         out: set[int] = set()
         by = self.by
         for w in words:
-            for s in shortened(sound(w), k):
+            for s in shortened(w, k):
                 if s in by:
                     out |= by[s]
         return out
@@ -255,8 +259,8 @@ def resolve(rows: DataFrame, venues: list[tuple], cities: list[tuple], freq: tup
 
     v_rows = rows.where(~blank("venue")).select("table_name", "row_id", "venue")
     c_rows = rows.where(~blank("city")).select("table_name", "row_id", "venue", "city", region.alias("region"))
-    v_ask = cut(v_rows.select("venue").distinct().mapInPandas(ask_venues, "venue string, ref_id bigint, at bigint, cost double"))
-    c_ask = cut(c_rows.select("city", "region").distinct().mapInPandas(ask_cities, "city string, region string, ids array<bigint>, cost double"))
+    v_ask = cut(spread(v_rows.select("venue").distinct(), "venue").mapInPandas(ask_venues, "venue string, ref_id bigint, at bigint, cost double"))
+    c_ask = cut(spread(c_rows.select("city", "region").distinct(), "city", "region").mapInPandas(ask_cities, "city string, region string, ids array<bigint>, cost double"))
     of_venue = v_rows.join(broadcast_if_small(v_ask), "venue").select("table_name", "row_id", F.lit("venue").alias("field_name"), F.col("venue").alias("value"), "ref_id", "cost")
     met = c_rows.join(broadcast_if_small(c_ask), ["city", "region"])
     clear = met.where(F.size("ids") <= 1).select("table_name", "row_id", F.col("city").alias("value"), F.coalesce(F.try_element_at("ids", F.lit(1)), F.lit(-1)).alias("ref_id"), "cost")
@@ -287,7 +291,7 @@ def resolve_large(values: DataFrame, ref: DataFrame, kind: str) -> DataFrame:
             for t in df.text:
                 key, extra = reader.read(t) if not is_filler(t) else ((), ())
                 ws = {*key, "".join(key), "".join([*key, *extra])} - {""}
-                out.extend((t, s) for s in set().union(*(shortened(sound(w), DELETES) for w in ws)) if s)
+                out.extend((t, s) for s in set().union(*(shortened(w, DELETES) for w in ws)) if s)
             yield pd.DataFrame(out, columns=["text", "key"])
 
     v = values.select(F.col("value").alias("text")).where("text is not null").distinct()

@@ -68,6 +68,8 @@ def edits(a: str, b: str, most: int) -> int:
         return most + 1
     if a == b:
         return 0
+    if not n or not m:
+        return n + m
     big = most + 1
     before, row = None, list(range(m + 1))
     for i in range(1, n + 1):
