@@ -53,11 +53,12 @@ def broadcast_if_small(df: DataFrame, row_bytes: int = 256, limit: int = BROADCA
     return F.broadcast(df) if len(df.limit(most + 1).select(F.lit(1)).take(most + 1)) <= most else df
 
 
-def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Rows over all cores before a costly Python stage: an exchange by a stated number, which AQE doesn't merge for being small."""
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores before a costly Python stage: an exchange by a stated number, which AQE doesn't merge for being
+    small. By no columns: one by the columns that the rows are hashed by already would be planned away."""
     spark = df.sparkSession
     n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n, *cols)
+    return df.repartition(n)
 
 
 def ship(spark: SparkSession) -> None:
