@@ -259,8 +259,8 @@ def resolve(rows: DataFrame, venues: list[tuple], cities: list[tuple], freq: tup
 
     v_rows = rows.where(~blank("venue")).select("table_name", "row_id", "venue")
     c_rows = rows.where(~blank("city")).select("table_name", "row_id", "venue", "city", region.alias("region"))
-    v_ask = cut(spread(v_rows.select("venue").distinct(), "venue").mapInPandas(ask_venues, "venue string, ref_id bigint, at bigint, cost double"))
-    c_ask = cut(spread(c_rows.select("city", "region").distinct(), "city", "region").mapInPandas(ask_cities, "city string, region string, ids array<bigint>, cost double"))
+    v_ask = cut(spread(v_rows.select("venue").distinct()).mapInPandas(ask_venues, "venue string, ref_id bigint, at bigint, cost double"))
+    c_ask = cut(spread(c_rows.select("city", "region").distinct()).mapInPandas(ask_cities, "city string, region string, ids array<bigint>, cost double"))
     of_venue = v_rows.join(broadcast_if_small(v_ask), "venue").select("table_name", "row_id", F.lit("venue").alias("field_name"), F.col("venue").alias("value"), "ref_id", "cost")
     met = c_rows.join(broadcast_if_small(c_ask), ["city", "region"])
     clear = met.where(F.size("ids") <= 1).select("table_name", "row_id", F.col("city").alias("value"), F.coalesce(F.try_element_at("ids", F.lit(1)), F.lit(-1)).alias("ref_id"), "cost")
