@@ -36,6 +36,31 @@ def test_segment_join_loses_no_pair(spark):
     assert {(r.a, r.b) for r in variants.segment_join(left, right).collect()} == {(a, b) for a, b in want if len(a) % 2 == 0 and len(b) % 2 == 1}
 
 
+def test_near_words_are_those_of_same_word(spark):
+    rng = random.Random(3)
+    ws = {"".join(rng.choice("aockphy") for _ in range(rng.randint(1, 12))) for _ in range(150)} | {"owl", "owls", "robert", "bob", "rob", "roberta", "theatre", "thtr", "theater", "z" * 3000, "z" * 2999 + "y"}
+    for w in list(ws)[:120]:
+        s = list(w)
+        for _ in range(rng.randint(1, 3)):
+            i = rng.randrange(len(s) or 1)
+            s[i : i + 2] = rng.choice([s[i : i + 2][::-1], s[i : i + 1], ["ph", *s[i + 1 : i + 2]], [*s[i : i + 1] * 2, *s[i + 1 : i + 2]]])
+        ws.add("".join(s))
+    ws = sorted(ws)
+    df = spark.createDataFrame([("k", w) for w in ws], "kind string, word string")
+    want = {(a, b) for a in ws for b in ws if a == b or min(len(a), len(b)) > 1 and names.same_word(a, False, b, False, True)}
+    got = [(r.a, r.b) for r in variants.near_words(df).collect()]
+    assert len(got) == len(set(got)) and {(a, b) for a, b in got if a == b or min(len(a), len(b)) > 1} == want
+    assert any(lev(a, b) > variants.edits_allowed(min(len(a), len(b))) for a, b in want)
+    left, right = df.where(F.length("word") % 2 == 0), df.where(F.length("word") % 2 == 1)
+    assert {(r.a, r.b) for r in variants.near_words(left, right).collect() if len(r.b) > 1} == {(a, b) for a, b in want if len(a) % 2 == 0 and len(b) % 2 == 1 and len(b) > 1}
+
+
+def test_swaps_and_sounds_become_candidates(spark):
+    c, lex, st = _tables(spark, ["VOFUROBRNUDANDTHESISTERS", "Vofurobrnud & the Sisters"], ["Broonobasem Lounge", "Bruenoabsem Lounge", "Kistoeon Arena", "Kistoleno Arena", "Tra Pudimo Hall", "Trap Udimo Hall"])
+    got = {(r.name_a, r.name_b) for r in variants.found(c, lex, st).collect()}
+    assert got == {("VOFUROBRNUDANDTHESISTERS", "Vofurobrnud & the Sisters"), ("Broonobasem Lounge", "Bruenoabsem Lounge"), ("Kistoeon Arena", "Kistoleno Arena"), ("Tra Pudimo Hall", "Trap Udimo Hall")}
+
+
 @pytest.mark.parametrize("a, b, kind, want", [
     ("The Parade of Kafutuwu", "Parade of Kafutuwu, The", "artist", 2), ("Kafutuwu-Parade", "The Pasrade of Kafutuwu", "artist", 2),
     ("Mabel Drezedroher", "M Drezedroher", "artist", 1), ("Mabel Drezedroher", "Kenneth Drezedroher", "artist", 0), ("Nebirostond, Matt", "Matthew Nebirostond", "artist", 2),
