@@ -56,10 +56,15 @@ def decode(raw: bytes | None) -> str:
     return plain_of_rtf(text) if text.lstrip().startswith("{\\rtf") else text
 
 
-def read_notes(spark: SparkSession, path: str, most_bytes: int = 1 << 20) -> DataFrame:
-    """``path, body`` of the files below `path`; the size limit is pushed to the listing, contents are decoded in Arrow batches."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= most_bytes)
-    return f.select("path", F.pandas_udf(lambda s: pd.Series([decode(x) for x in s], dtype=object), "string")("content").alias("body"))
+def read_notes(spark: SparkSession, path: str, most_bytes: int | None = None) -> DataFrame:
+    """``path, body`` of the files below `path`, decoded in Arrow batches. Larger ones than `most_bytes`, if given, aren't
+    read: their body is null."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    text = F.pandas_udf(lambda s: pd.Series([decode(x) for x in s], dtype=object), "string")
+    if most_bytes is None:
+        return f.select("path", text("content").alias("body"))
+    small, large = f.where(F.col("length") <= most_bytes), f.where(F.col("length") > most_bytes)
+    return small.select("path", text("content").alias("body")).unionAll(large.select("path", F.lit(None).cast("string")))
 
 
 def read_shows(spark: SparkSession, path: str) -> DataFrame:

@@ -28,6 +28,13 @@ def test_json_tables(spark, tmp_path):
     assert [(r.identifier, r.venue) for r in files.read_log(spark, str(tmp_path / "log.jsonl")).collect()] == [("i", "first")]
 
 
+def test_read_notes_of_any_size(spark, tmp_path):
+    (tmp_path / "small.txt").write_bytes(b"x")
+    (tmp_path / "large.txt").write_bytes(b"y" * ((1 << 20) + 1))
+    assert {r.path[-9:]: len(r.body) for r in files.read_notes(spark, str(tmp_path)).collect()} == {"small.txt": 1, "large.txt": (1 << 20) + 1}
+    assert {r.path[-9:]: r.body for r in files.read_notes(spark, str(tmp_path), 10).collect()} == {"small.txt": "x", "large.txt": None}
+
+
 def test_read_notes(spark, tmp_path):
     (tmp_path / "n").mkdir()
     (tmp_path / "n" / "a.txt").write_bytes(b"caf\xe9")
