@@ -97,7 +97,7 @@ class Lookup:
             if not key:
                 continue
             self.entries[i] = (key, extra, place, fold(text))
-            for w in {*key, "".join(key)} | ({"".join([*key, *extra])} if kind == "city" else set()):
+            for w in self.spellings(text, key, extra):
                 for s in shortened(w, DELETES):
                     self.by.setdefault(s, set()).add(i)
 
@@ -113,6 +113,16 @@ class Lookup:
         long = max(own, key=len, default="")
         return ((long,), tuple(w for w in ws if w != long)) if long else ((), ())
 
+    def spellings(self, text: str, key: tuple, extra: tuple) -> set[str]:
+        """The words under which an entry stands; a city also as one word, in the order of its text, in full and as it is."""
+        out = {*key, "".join(key)}
+        if self.kind == "city":
+            left = [*key, *extra]
+            own = [w for w, _ in words(re.sub(r"^\s*(?:in|at|@)\s+", "", fold(text)))]
+            full = [w if w in left else PLACE_SHORT.get(w, w) for w in own]
+            out |= {"".join(left), "".join(own), "".join(full)}
+        return out - {""}
+
     def ids(self, words: set[str], k: int) -> set[int]:
         """Every entry one of whose words is within k edits of one of `words`."""
         out: set[int] = set()
@@ -290,7 +300,7 @@ def resolve_large(values: DataFrame, ref: DataFrame, kind: str) -> DataFrame:
             out = []
             for t in df.text:
                 key, extra = reader.read(t) if not is_filler(t) else ((), ())
-                ws = {*key, "".join(key), "".join([*key, *extra])} - {""}
+                ws = (reader.spellings(t, key, extra) | {"".join([*key, *extra])}) - {""} if key else set()
                 out.extend((t, s) for s in set().union(*(shortened(w, DELETES) for w in ws)) if s)
             yield pd.DataFrame(out, columns=["text", "key"])
 

@@ -143,5 +143,14 @@ def test_dictionary_finds_what_brute_force_finds(spark):
     assert {r.value: r.ref_id for r in big.collect()} == {v: (look.find(v) or [(0, -1)])[0][1] for v in [*vals, "nothing"]}
 
 
+def test_city_typed_as_one_word(spark):
+    ref = [(1, "Mount Bagikolon", None), (2, "Fort Zahedruzir", None), (3, "Ft. Stupuhadim", None), (4, "Nebirostond Springs", None)]
+    want = {"mountbagikolon": 1, "MOUNTBAGIKOLN": 1, "FortZahedruzir": 2, "fortzahedruzir": 2, "fortstupuhadim": 3, "ftstupuhadim": 3, "nebirostondsprings": 4}
+    look = canonical.Lookup(ref, "city")
+    assert {v: (look.find(v) or [(0, -1)])[0][1] for v in want} == want
+    big = canonical.resolve_large(spark.createDataFrame([(v,) for v in want], "value string"), spark.createDataFrame(ref, "ref_id bigint, text string, place string"), "city")
+    assert {r.value: r.ref_id for r in big.collect()} == want
+
+
 def test_edits_is_osa():
     assert names.edits("abcd", "acbd", 3) == 1 and names.edits("abc", "", 3) == 3 and names.edits("kitten", "sitting", 3) == 3 and names.edits("abc", "xyzzy", 2) == 3
