@@ -6,7 +6,7 @@ weighted Damerau-Levenshtein cost of all words (slips of neighbouring keys, vowe
 by how often the entry's own spelling occurs. No entry within the cost allowed: the value is reported as unmatched.
 
 The dictionary is broadcast while the reference list is proven small (``MAX_REFERENCE`` entries, counted first);
-a larger list is looked up by an equi-join on the shortened words instead.
+`found` refuses a larger list. `resolve_large` looks one up by an equi-join on the shortened words, but ranks ties by id only.
 """
 
 from __future__ import annotations
