@@ -1,20 +1,25 @@
-"""Near-duplicate track lists (problem 3): vantage-point shards over fingerprints, exact pairs.
+"""Near-duplicate track lists (problem 3): vantage-point trees over fingerprints, exact pairs.
 
-A vantage-point tree is fitted on a bounded sample of tracks. A node's distance is one of two metrics, Hamming
-distance of the fingerprints or difference of the durations, whichever the node's sample separates better; both obey
-the triangle inequality, so a query ball that does not touch a node's boundary needs one branch only. Leaves are
-shards: each track lies in one, each query visits every shard its ball overlaps. The tree only places rows; every
-track is indexed and pairs are exact whatever the sample was.
+Two tracks are counterparts if at most 28 of their 192 bits differ (and durations lie within 7 s). Whole fingerprints of
+unrelated tracks are all about 96 bits apart, where no ball of 28 bits can be told from its neighbours. The 192 bits are
+therefore cut into 15 bands: of 28 differing bits at most one falls into some band, so a query needs a ball of one bit in
+each band, and there triangle bounds prune nearly everything. Every band has a vantage-point tree that splits its
+fingerprint parts by Hamming distance down to leaves of a few values; a node is entered only where the ball may reach it,
+and boundary-overlapping leaves are all queried. As a band has no more than 2^13 values, the tree is compiled once to two
+tables (value to leaf, value to leaves its ball overlaps) that the tasks look up. Pairs met are compared in full.
+
+Tasks hold a cell of durations (14 s; a query visits the two it may reach), cut into blocks where it is crowded. Durations
+only place rows; which pairs are compared within a cell the trees decide.
 
 Queries are a prefix of each list: counterparts must number at least 0.6 of the longer list, so of any
-``n - ceil(0.6 n) + 1`` tracks of a list one must have a counterpart. The tracks that sound least like the sample's
-common ones are taken, which keeps sounds shared by many recordings out of the candidate search.
+``n - ceil(0.6 n) + 1`` tracks of a list one must have a counterpart. The tracks that sound least like a sample's common
+ones are taken, which keeps sounds shared by many recordings out of the candidate search.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,10 +32,16 @@ BITS, WORDS = 192, 6
 #: Counterparts: at least 0.85 of 192 bits equal, durations within 7 s; at least 0.6 of the longer list.
 MAX_BITS, MAX_SECONDS = 28, 7.0
 SHARE_NUM, SHARE_DEN = 3, 5
-#: Tracks sampled to fit the tree and to tell common sounds (a bounded fit; every track is indexed).
-SAMPLE, COMMON = 8192, 512
-#: Tracks of a shard that one task scans; a larger shard is cut into blocks that each meet all its queries.
+#: Bands as (first bit, bits), and the radius of a query's ball in one: 15 bands of two differing bits would be 30 > 28.
+BANDS = tuple((13 * k, 13) for k in range(12)) + tuple((156 + 12 * k, 12) for k in range(3))
+RADIUS = MAX_BITS // len(BANDS)
+#: Values of a band that a leaf may hold.
+LEAF = 2
+#: Tracks sampled to tell common sounds (a bounded fit that only orders the prefix).
+SAMPLE = 512
+#: Index rows, and queries, that one task holds; a cell beyond is cut into blocks that all meet.
 BLOCK = 20000
+CELL_SECONDS = 2 * MAX_SECONDS
 EPS = 1e-6
 
 
@@ -49,46 +60,38 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
-def fit_tree(dur: np.ndarray, fp: np.ndarray, leaf: int, seed: int = 7) -> list[tuple]:
-    """Nodes ``(metric, vantage duration, vantage fp, radius, inner, outer)``; a negative child is leaf ``-child-1``."""
-    rng, nodes, leaves = np.random.default_rng(seed), [], 0
+def fit_tree(bits: int, leaf: int = LEAF, seed: int = 7) -> tuple[list[tuple[int, int, int, int]], list[np.ndarray]]:
+    """A vantage-point tree over all values of `bits` bits: nodes ``(vantage, radius, inner, outer)`` and the values of each
+    leaf; a negative child is leaf ``-child-1``. A value goes inside if its Hamming distance is at most the radius."""
+    rng, nodes, leaves = np.random.default_rng(seed), [], []
 
-    def grow(rows: np.ndarray) -> int:
-        nonlocal leaves
+    def grow(values: np.ndarray) -> int:
+        if len(values) <= max(1, leaf):
+            leaves.append(values)
+            return -len(leaves)
         best = None
-        if len(rows) > leaf:
-            for v in [rows[dur[rows].argmin()], *rng.choice(rows, min(3, len(rows)), replace=False)]:
-                for metric, d, r in ((0, np.abs(dur[rows] - dur[v]), MAX_SECONDS), (1, hamming(fp[rows], fp[v]), MAX_BITS)):
-                    mu = float(np.median(d))
-                    if metric:  # a dense ball (copies of one sound) is cut off where the space is emptiest
-                        s = np.sort(d)
-                        gap = np.diff(s).argmax()
-                        if s[gap + 1] - s[gap] > 2 * r:
-                            mu = float(s[gap] + s[gap + 1]) / 2
-                    inner = d <= mu
-                    if min(inner.sum(), (~inner).sum()) < leaf // 4:  # no shaving off of single points
-                        continue
-                    cost = float((np.abs(d - mu) <= r).mean()) + 0.25 * abs(inner.mean() - 0.5)
+        for v in rng.choice(values, 2, replace=False):  # the vantage whose boundary the fewest balls cross
+            d = np.bitwise_count(values ^ v)
+            for mu in {int(np.median(d)), int(np.median(d)) - 1}:
+                inner = d <= mu
+                if 0 < inner.sum() < len(values):
+                    cost = float(((d > mu - RADIUS) & (d <= mu + RADIUS)).mean()) + abs(float(inner.mean()) - 0.5)
                     if best is None or cost < best[0]:
-                        best = (cost, metric, v, mu, inner)
-        if best is None or best[0] > 0.6:
-            leaves += 1
-            return -leaves
+                        best = (cost, int(v), mu, inner)
+        _, v, mu, inner = best
         at = len(nodes)
         nodes.append(None)
-        _, metric, v, mu, inner = best
-        a, b = grow(rows[inner]), grow(rows[~inner])
-        nodes[at] = (metric, float(dur[v]), fp[v].copy(), mu, a, b)
+        a, b = grow(values[inner]), grow(values[~inner])
+        nodes[at] = (v, mu, a, b)
         return at
 
-    if len(dur):
-        grow(np.arange(len(dur)))
-    return nodes
+    grow(np.arange(1 << bits, dtype=np.uint16))
+    return nodes, leaves
 
 
-def shards_of(nodes: list[tuple], dur: np.ndarray, fp: np.ndarray, ball: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(row, leaf) for every leaf a row belongs to, or with `ball`, that its query ball overlaps."""
-    rows, leaves, stack = [], [], [(0 if nodes else -1, np.arange(len(dur)))]
+def visits(nodes: list[tuple[int, int, int, int]], values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(row, leaf) for every leaf that the balls around `values` may reach by the triangle bounds, and distances computed."""
+    rows, leaves, stack, asked = [], [], [(0 if nodes else -1, np.arange(len(values)))], 0
     while stack:
         at, r = stack.pop()
         if not len(r):
@@ -97,37 +100,76 @@ def shards_of(nodes: list[tuple], dur: np.ndarray, fp: np.ndarray, ball: bool) -
             rows.append(r)
             leaves.append(np.full(len(r), -at - 1))
             continue
-        metric, vd, vf, mu, a, b = nodes[at]
-        d, slack = (hamming(fp[r], vf), MAX_BITS) if metric else (np.abs(dur[r] - vd), MAX_SECONDS + EPS)
-        slack = slack if ball else 0
-        inner, outer = (d - slack <= mu), (d + slack > mu)
-        stack += [(a, r[inner]), (b, r[outer])]
-    if not rows:
-        return np.zeros(0, int), np.zeros(0, int)
-    return np.concatenate(rows), np.concatenate(leaves)
-
-
-def scan(qd: np.ndarray, qf: np.ndarray, xd: np.ndarray, xf: np.ndarray, step: int = 128) -> tuple[np.ndarray, np.ndarray]:
-    """Exact counterpart pairs (query row, index row): both sides sorted by duration, 64 bits at a time."""
-    qo, xo = np.argsort(qd, kind="stable"), np.argsort(xd, kind="stable")
-    qd, qf, xd, xf = qd[qo], qf[qo], xd[xo], xf[xo]
-    out_q, out_x = [], []
-    for i in range(0, len(qd), step):
-        d = qd[i : i + step]
-        lo, hi = np.searchsorted(xd, d[0] - MAX_SECONDS - EPS), np.searchsorted(xd, d[-1] + MAX_SECONDS + EPS, "right")
-        for lo in range(lo, hi, 8192):
-            top = min(hi, lo + 8192)
-            near = np.bitwise_count(qf[i : i + step, :1] ^ xf[None, lo:top, 0])
-            a, b = np.nonzero(near <= MAX_BITS)
-            b = b + lo
-            bits = near[a, b - lo].astype(np.int64) + np.bitwise_count(qf[a + i, 1] ^ xf[b, 1])
-            keep = bits <= MAX_BITS
-            a, b, bits = a[keep], b[keep], bits[keep]
-            keep = (bits + np.bitwise_count(qf[a + i, 2] ^ xf[b, 2]) <= MAX_BITS) & (np.abs(d[a] - xd[b]) <= MAX_SECONDS + EPS)
-            out_q.append(qo[a[keep] + i])
-            out_x.append(xo[b[keep]])
-    z = np.zeros(0, int)
-    return (np.concatenate(out_q), np.concatenate(out_x)) if out_q else (z, z)
+        v, mu, a, b = nodes[at]
+        d = np.bitwise_count(values[r] ^ np.uint16(v)).astype(np.int64)
+        asked += len(r)
+        stack += [(a, r[d - radius <= mu]), (b, r[d + radius > mu])]
+    return np.concatenate(rows), np.concatenate(leaves), asked
+
+
+@lru_cache(4)
+def compiled(bits: int, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tree of a band as tables: leaf of each value, and the leaves its ball overlaps (from, list)."""
+    nodes, leaves = fit_tree(bits, leaf)
+    every = np.arange(1 << bits, dtype=np.uint16)
+    home = np.empty(len(every), np.int64)
+    for k, vs in enumerate(leaves):
+        home[vs] = k
+    row, reach, _ = visits(nodes, every, RADIUS)
+    held = np.stack([np.resize(vs, leaf) for vs in leaves])  # a leaf's own values settle what the bounds leave open
+    near = (np.bitwise_count(held[reach] ^ every[row][:, None]) <= RADIUS).any(1)
+    row, reach = row[near], reach[near]
+    order = np.lexsort((reach, row))
+    return home, np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(every)))]), reach[order]
+
+
+def band(f: np.ndarray, first: int, bits: int) -> np.ndarray:
+    """Bits `first` to `first + bits` of each fingerprint, as one number."""
+    k, at = divmod(first, 64)
+    out = f[:, k] >> np.uint64(at)
+    if at + bits > 64:
+        out = out | (f[:, k + 1] << np.uint64(64 - at))
+    return (out & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start[i], start[i] + 1, ... of all i, one after the other."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
+
+
+def search(qd: np.ndarray, qf: np.ndarray, xd: np.ndarray, xf: np.ndarray, tables: dict[int, tuple], step: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """Exact counterpart pairs (query row, index row): each band's tree says which rows a query meets; a pair once."""
+    got_q, got_x = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for first, bits in BANDS:
+        home, at, reach = tables[bits]
+        leaf = home[band(xf, first, bits)]
+        order = np.argsort(leaf, kind="stable")
+        start = np.searchsorted(leaf[order], np.arange(home.max() + 2))
+        xo, xw = order, xf[order]
+        qv = band(qf, first, bits)
+        n = at[qv + 1] - at[qv]
+        lv = reach[ranges(at[qv], n)]
+        size = start[lv + 1] - start[lv]
+        keep = size > 0
+        q, lo, size = np.repeat(np.arange(len(qv)), n)[keep], start[lv][keep], size[keep]
+        ends = np.cumsum(size)
+        cuts = np.searchsorted(ends, np.arange(step, (ends[-1] if len(ends) else 0) + step, step), "right")
+        for a, b in zip([0, *cuts[:-1]], cuts):  # about `step` pairs at a time
+            b = max(b, a + 1) if b < len(size) else b
+            x = ranges(lo[a:b], size[a:b])
+            p = np.repeat(q[a:b], size[a:b])
+            w = np.bitwise_count(qf[p, 0] ^ xw[x, 0])
+            ok = np.nonzero(w <= MAX_BITS)[0]
+            p, x, w = p[ok], x[ok], w[ok].astype(np.int64)
+            w += np.bitwise_count(qf[p, 1] ^ xw[x, 1])
+            ok = np.nonzero(w <= MAX_BITS)[0]
+            p, x, w = p[ok], x[ok], w[ok] + np.bitwise_count(qf[p[ok], 2] ^ xw[x[ok], 2])
+            ok = np.nonzero((w <= MAX_BITS) & (np.abs(qd[p] - xd[xo[x]]) <= MAX_SECONDS + EPS))[0]
+            got_q.append(p[ok])
+            got_x.append(xo[x[ok]])
+    both = np.unique(np.concatenate(got_q) * max(1, len(xd)) + np.concatenate(got_x))
+    return both // max(1, len(xd)), both % max(1, len(xd))
 
 
 def matches(ad: np.ndarray, af: np.ndarray, bd: np.ndarray, bf: np.ndarray, want: int) -> bool:
@@ -183,19 +225,16 @@ def found_pairs(prints: DataFrame, sample: int = SAMPLE, block: int = BLOCK) ->
     Null signatures, empty lists and unreadable tracks match nothing; copies of one signature count once.
     """
     spark = prints.sparkSession
-    recs = cut(lists(prints))
+    recs = cut(lists(prints).withColumn("rid", F.monotonically_increasing_id()))
     total = recs.agg(F.sum(F.size("ds"))).first()[0] or 0
     # bounded sample: the rows of lowest hash of all tracks
-    flat = recs.select("sig", F.posexplode("ds").alias("pos", "d"), "fps").select("d", F.slice("fps", F.col("pos") * WORDS + 1, WORDS).alias("f"), F.xxhash64("sig", "pos").alias("h"))
-    share = min(1.0, 2.0 * sample / max(1, total))  # thin out by hash before the sort
-    got = flat.where(F.pmod("h", F.lit(1 << 20)) <= int(share * (1 << 20))).orderBy("h").limit(sample).toPandas()
-    sd = got["d"].to_numpy(float) if len(got) else np.zeros(0)
-    sf = pack(np.array(got["f"].tolist(), dtype=np.int64)) if len(got) else np.zeros((0, 3), np.uint64)
-    nodes = fit_tree(sd, sf, leaf=max(64, math.ceil(len(sd) * block / 4 / max(1, total))))
-    tree = spark.sparkContext.broadcast((nodes, sf[:COMMON]))
+    flat = recs.select("sig", F.posexplode("ds").alias("pos", "d"), "fps").select(F.slice("fps", F.col("pos") * WORDS + 1, WORDS).alias("f"), F.xxhash64("sig", "pos").alias("h"))
+    share = min(1.0, 4.0 * sample / max(1, total))  # thin out by hash before the sort
+    got = [r.f for r in flat.where(F.pmod("h", F.lit(1 << 20)) <= int(share * (1 << 20))).orderBy("h").limit(sample).collect()]
+    shared = spark.sparkContext.broadcast(({b: compiled(b) for _, b in BANDS}, pack(np.array(got, dtype=np.int64).reshape(-1, WORDS))))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        nodes, common = tree.value
+        _, common = shared.value
         for df in batches:
             if not len(df):
                 continue
@@ -213,42 +252,39 @@ def found_pairs(prints: DataFrame, sample: int = SAMPLE, block: int = BLOCK) ->
             # unreadable tracks have no counterpart, so they may fill the prefix first
             first = np.array([k - need(k) + 1 for k in n]) - (n - size)
             query = np.nonzero(rank < first[owner])[0]
-            xr, xl = shards_of(nodes, d, f, ball=False)
-            qr, ql = shards_of(nodes, d[query], f[query], ball=True)
-            qr = query[qr]
-            r = np.concatenate([xr, qr])
+            cell = lambda x: np.floor(np.clip(x, -1e15, 1e15) / CELL_SECONDS).astype(np.int64)
+            lo, hi = cell(d[query] - MAX_SECONDS - EPS), cell(d[query] + MAX_SECONDS + EPS)
+            far = [query[hi >= lo + k] for k in range(3)]  # a ball of 14 s overlaps two cells, three by rounding
+            r = np.concatenate([np.arange(len(d)), *far])
             yield pd.DataFrame({
-                "shard": np.concatenate([xl, ql]).astype(np.int32), "is_query": np.concatenate([np.zeros(len(xr), bool), np.ones(len(qr), bool)]),
-                "sig": df.sig.to_numpy()[owner[r]], "n": n[owner[r]].astype(np.int32), "d": d[r], "f": [x.tobytes() for x in f[r]],
+                "cell": np.concatenate([cell(d), *[lo[hi >= lo + k] + k for k in range(3)]]), "is_query": np.arange(len(r)) >= len(d),
+                "rid": df.rid.to_numpy()[owner[r]], "n": n[owner[r]].astype(np.int32), "d": d[r], **{f"w{k}": f[r, k].view(np.int64) for k in range(3)},
             })
 
-    placed = cut(recs.mapInPandas(place, "shard int, is_query boolean, sig string, n int, d double, f binary"))
-    # a shard beyond the block size is cut: its index rows into blocks, its queries copied to each
-    blocks = placed.where("not is_query").groupBy("shard").count().select("shard", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    placed = placed.join(broadcast_if_small(blocks), "shard")
-    put = placed.withColumn("part", F.when(F.col("is_query"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("sig", "d"), F.col("blocks")).cast("int"))))
-    put = put.withColumn("part", F.explode("part"))
-    # queries of a hot shard are cut as well, so that a task holds at most about `block` of either side
-    asks = put.where("is_query").groupBy("shard", "part").count().select("shard", "part", F.ceil(F.col("count") / block).cast("int").alias("cuts"))
-    put = put.join(broadcast_if_small(asks), ["shard", "part"])
-    put = put.withColumn("cut", F.when(F.col("is_query"), F.array(F.pmod(F.xxhash64("d", "sig"), F.col("cuts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    put = put.select("shard", "part", F.explode("cut").alias("cut"), "is_query", "sig", "n", "d", "f")
+    placed = cut(recs.select("rid", "n", "ds", "fps").mapInPandas(place, "cell bigint, is_query boolean, rid bigint, n int, d double, w0 bigint, w1 bigint, w2 bigint"))
+    # a cell beyond the block size is cut: index rows into parts, queries into slices, and each slice meets each part
+    sizes = placed.groupBy("cell").agg(*[F.ceil(F.count_if(c) / block).cast("int").alias(a) for a, c in (("parts", ~F.col("is_query")), ("slices", F.col("is_query")))]).where("parts > 0 and slices > 0")
+    put = placed.join(broadcast_if_small(sizes), "cell")
+    own = lambda n: F.pmod(F.xxhash64("rid", "d", "w0"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    put = put.withColumn("part", F.explode(F.when(F.col("is_query"), every("parts")).otherwise(F.array(own("parts")))))
+    put = put.withColumn("slice", F.explode(F.when(F.col("is_query"), F.array(own("slices"))).otherwise(every("slices"))))
 
     def pairs(df: pd.DataFrame) -> pd.DataFrame:
-        q, x = df[df.is_query.to_numpy()], df[~df.is_query.to_numpy()]
+        ask = df.is_query.to_numpy()
+        q, x = df[ask], df[~ask]
         if not len(q) or not len(x):
-            return pd.DataFrame({"a": [], "b": []}, dtype=object)
-        qf = np.frombuffer(b"".join(q.f), np.uint64).reshape(-1, 3)
-        xf = np.frombuffer(b"".join(x.f), np.uint64).reshape(-1, 3)
-        i, j = scan(q.d.to_numpy(), qf, x.d.to_numpy(), xf)
-        qn, xn = q.n.to_numpy()[i], x.n.to_numpy()[j]
-        keep = np.minimum(qn, xn) * SHARE_DEN >= SHARE_NUM * np.maximum(qn, xn)
-        a, b = q.sig.to_numpy()[i[keep]], x.sig.to_numpy()[j[keep]]
-        out = pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a)})
-        return out[out.a != out.b].drop_duplicates()
-
-    cand = put.groupBy("shard", "part", "cut").applyInPandas(pairs, "a string, b string").distinct()
-    side = lambda k: recs.select(F.col("sig").alias(k), F.struct("n", "ds", "fps").alias(f"{k}_l"))
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        words = lambda t: np.ascontiguousarray(t[["w0", "w1", "w2"]].to_numpy(np.int64)).view(np.uint64)
+        i, j = search(q.d.to_numpy(), words(q), x.d.to_numpy(), words(x), shared.value[0])
+        a, b, n, m = q.rid.to_numpy()[i], x.rid.to_numpy()[j], q.n.to_numpy()[i].astype(np.int64), x.n.to_numpy()[j].astype(np.int64)
+        # one list's prefix is enough to find a pair
+        keep = (a < b) & (np.minimum(n, m) * SHARE_DEN >= SHARE_NUM * np.maximum(n, m))
+        return pd.DataFrame({"a": a[keep], "b": b[keep]}).drop_duplicates()
+
+    put = put.select("cell", "part", "slice", "is_query", "rid", "n", "d", "w0", "w1", "w2")
+    cand = put.groupBy("cell", "part", "slice").applyInPandas(pairs, "a bigint, b bigint").distinct()
+    side = lambda k: recs.select(F.col("rid").alias(k), F.struct("sig", "n", "ds", "fps").alias(f"{k}_l"))
     cand = cand.join(side("a"), "a").join(side("b"), "b")
 
     @F.pandas_udf("boolean")
@@ -258,7 +294,7 @@ def found_pairs(prints: DataFrame, sample: int = SAMPLE, block: int = BLOCK) ->
             out.append(matches(np.asarray(ds), pack(np.asarray(fps).reshape(-1, WORDS)), np.asarray(es), pack(np.asarray(gps).reshape(-1, WORDS)), need(max(n, m))))
         return pd.Series(out, dtype=bool)
 
-    return cand.where(same("a_l", "b_l")).select(F.col("a").alias("signature_a"), F.col("b").alias("signature_b"))
+    return cand.where(same("a_l", "b_l")).select(F.least("a_l.sig", "b_l.sig").alias("signature_a"), F.greatest("a_l.sig", "b_l.sig").alias("signature_b"))
 
 
 def groups(prints: DataFrame, pairs: DataFrame | None = None) -> DataFrame:

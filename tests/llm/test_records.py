@@ -111,19 +111,41 @@ def test_matching_is_maximum():
         assert neardup.matches(ad, neardup.pack(a), bd, neardup.pack(b), neardup.need(int(longest))) == bool(_brute(recs))
 
 
-def test_tree_loses_no_neighbour():
+def test_trees_lose_no_neighbour_and_prune():
     rng = np.random.default_rng(1)
-    fp = neardup.pack(rng.integers(0, 2**32, (400, 6)))
-    fp[:100] = fp[0]
-    dur = rng.uniform(60, 300, 400)
-    nodes = neardup.fit_tree(dur[:200], fp[:200], leaf=20)
-    r, leaf = neardup.shards_of(nodes, dur, fp, ball=False)
-    home = dict(zip(r.tolist(), leaf.tolist()))
-    q, ql = neardup.shards_of(nodes, dur, fp, ball=True)
-    seen = set(zip(q.tolist(), ql.tolist()))
-    for i in range(400):
-        near = np.nonzero((np.abs(dur - dur[i]) <= 7) & (neardup.hamming(fp, fp[i]) <= 28))[0]
-        assert all((i, home[j]) in seen for j in near.tolist())
+    assert sum(b for _, b in neardup.BANDS) == neardup.BITS and len(neardup.BANDS) * (neardup.RADIUS + 1) > neardup.MAX_BITS
+    for bits in (12, 13):
+        nodes, leaves = neardup.fit_tree(bits)
+        assert sorted(v for x in leaves for v in x.tolist()) == list(range(1 << bits)) and len(nodes) == len(leaves) - 1
+        some = rng.integers(0, 1 << bits, 50).astype(np.uint16)
+        row, leaf, asked = neardup.visits(nodes, some, neardup.RADIUS)
+        assert asked < 0.2 * 50 * len(nodes)  # distances to vantage points left out by the triangle bounds
+        home, at, reach = neardup.compiled(bits)
+        for k, v in enumerate(some.tolist()):
+            ball = {int(home[v ^ m]) for m in (0, *(1 << i for i in range(bits)))}
+            assert ball <= set(leaf[row == k].tolist()) and ball == set(reach[at[v] : at[v + 1]].tolist())
+    words = rng.integers(0, 2**32, (5, 6))
+    whole = [sum(int(w) << 32 * k for k, w in enumerate(r)) for r in words]
+    for first, bits in neardup.BANDS:
+        assert neardup.band(neardup.pack(words), first, bits).tolist() == [x >> first & (1 << bits) - 1 for x in whole]
+
+
+def test_search_is_exact_up_to_the_last_bit():
+    rng = np.random.default_rng(4)
+    tables = {b: neardup.compiled(b) for _, b in neardup.BANDS}
+    base = rng.integers(0, 2**32, (40, 6))
+    rows = []
+    for _ in range(400):
+        x = sum(int(w) << 32 * k for k, w in enumerate(base[rng.integers(40)]))
+        for bit in rng.choice(192, rng.integers(0, 33), replace=False).tolist():
+            x ^= 1 << bit
+        rows.append([x >> 32 * k & 0xFFFFFFFF for k in range(6)])
+    f, d = neardup.pack(np.array(rows)), rng.uniform(100, 120, 400)
+    near = (neardup.hamming(f[:, None], f[None]) <= 28) & (np.abs(d[:, None] - d[None]) <= 7)
+    for step in (1 << 21, 50):
+        q, x = neardup.search(d, f, d, f, tables, step)
+        assert set(zip(q.tolist(), x.tolist())) == set(zip(*map(np.ndarray.tolist, np.nonzero(near))))
+    assert len(neardup.search(d[:0], f[:0], d, f, tables)[0]) == 0 and len(neardup.search(d, f, d[:0], f[:0], tables)[0]) == 0
 
 
 CLEAN = ["Tränenfluß", "Corazón de latón", "São João da serra", "Über den Dächern", "Señora de la niebla", "Déjà trop tôt", "Blå räven", "Für später", "Manhã de verão", "Coração à toa", "Höstvisa för två", "Perché no", "Noël à la gare", "Тихая река", "Ночной поезд", "夜の列車", "Don’t Wake", "½ Past Seven", "MANHÃ DE MARÇO"]
