@@ -29,7 +29,7 @@ QUERIES: dict[str, Q] = {
     "p1_found": lambda s, d: variants.found(*_t(s, d, "concerts", "lexicon", "starter_lexicon")),
     "p1_entities": lambda s, d: variants.entities(variants.strings(*_t(s, d, "concerts", "lexicon", "starter_lexicon"))),
     "p2_found": lambda s, d: survivor.survivors(*_t(s, d, "folder_prints", "concerts", "origin_trust")).select("audio_signature", "field_name", "print_id"),
-    "p2_majority": lambda s, d: survivor.survivors(*_t(s, d, "folder_prints", "concerts", "origin_trust"), vote="majority"),
+    "p2_majority": lambda s, d: survivor.survivors(*_t(s, d, "folder_prints", "concerts", "origin_trust"), vote=True),
     "p3_found": lambda s, d: neardup.found_pairs(table(s, d, "folder_prints")),
     "p3_groups": p3_groups,
     "p4_found": lambda s, d: mojibake.found(*_t(s, d, "concerts", "tracks")),

@@ -1,19 +1,20 @@
-"""Best representative of each duplicate group (problem 2): token-level consensus.
+"""Best representative of each duplicate group (problem 2): token-level consensus, or a precedence.
 
-Each group's values are tokenised, aligned progressively into one profile of columns, and every column takes a
-weighted vote; the survivor is the existing value closest to that consensus. Two votes exist:
+:func:`consensus_values` is the vote: a group's distinct values are tokenised, aligned progressively into one profile of
+columns, every column takes the token with the greatest sum of weights (trust and completeness of all records that say so),
+and the existing value closest to that consensus survives.
 
-* ``dominant``: a column goes to the token of the vote with the highest precedence. This is the rule of p2_found
-  (completeness, then trust, then recency, then lowest id), so a survivor is always one whole existing value.
-* ``majority``: a column goes to the token with the greatest sum of weights; for groups without a precedence.
-
-Groups are cut into chunks of bounded size that are aligned one by one and then profile by profile, so no group,
-however hot, has to fit into one task.
+p2_found has another rule: completeness, then trust, then recency, then the lowest id, whatever the other records say. No
+vote of columns can give it: weights that make the first record outvote all others make the consensus that record, and the
+alignment decides nothing. :func:`preferred_values` therefore takes the maximum by that precedence, one native aggregate.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import math
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, cut
 
-#: Most values, or profiles, that one alignment takes.
+#: Most distinct values, or profiles, that one task row holds; the result does not depend on it.
 CHUNK = 256
 #: Extensions with a size-per-second of their own; the rest share one.
 FORMATS = ("flac", "mp3", "ogg", "wav", "shn", "ape", "m4a", "aif", "aiff", "opus", "wv")
@@ -116,27 +117,42 @@ def align(profile: list[dict], other: list[dict]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-class Vote:
-    """Merges profiles; a column is {token: vote}, "" is a gap. Votes add up (majority) or the highest stays (dominant)."""
+Profile = tuple[list[dict[str, float]], float]  # columns of {token: votes}, "" a gap; and the weight of all that went in
 
-    def __init__(self, dominant: bool):
-        self.join = max if dominant else (lambda a, b: a + b)
 
-    def add(self, a: dict, b: dict) -> dict:
-        out = dict(a)
-        for t, w in b.items():
-            out[t] = self.join(out[t], w) if t in out else w
-        return out
+def profile_of(value: str, weight: float) -> Profile:
+    return [{t: weight} for t in tokens_of(value)], weight
+
+
+def merge(x: Profile, y: Profile) -> Profile:
+    """Two profiles aligned and added up; a column that one of them lacks gets that one's weight as votes for a gap."""
+    (a, wa), (b, wb) = x, y
+    cols = []
+    for i, j in align(a, b):
+        p, q = a[i] if i >= 0 else {"": wa}, b[j] if j >= 0 else {"": wb}
+        cols.append({t: p.get(t, 0.0) + q.get(t, 0.0) for t in p.keys() | q.keys()})
+    return cols, wa + wb
 
-    def merge(self, x: tuple, y: tuple) -> tuple:
-        """x, y: (columns, weight of all that went in, needed to vote for a gap)."""
-        (a, wa), (b, wb) = x, y
-        cols = [self.add(a[i] if i >= 0 else {"": wa}, b[j] if j >= 0 else {"": wb}) for i, j in align(a, b)]
-        return cols, self.join(wa, wb)
 
-    def consensus(self, profile: tuple) -> list[str]:
-        best = [min(((tuple(-v for v in w) if isinstance(w, tuple) else -w), t) for t, w in c.items())[1] for c in profile[0]]
-        return [t for t in best if t]
+def consensus(profile: Profile) -> list[str]:
+    best = [min((-w, t == "", t) for t, w in c.items())[2] for c in profile[0]]  # a tie is no gap
+    return [t for t in best if t]
+
+
+def guided(items: list[tuple[int, Any]], bit: int, read: Callable[[Any], Profile]) -> Profile:
+    """The items' profiles merged along the binary tree of their keys' bits, from `bit` down. The tree is fixed by the keys, so
+    any of its branches may be merged elsewhere first."""
+    if len(items) == 1:
+        return read(items[0][1])
+    if bit < 0:  # equal keys
+        out = None
+        for _, x in sorted(items, key=lambda i: str(i[1])):
+            out = read(x) if out is None else merge(out, read(x))
+        return out
+    left, right = [i for i in items if not i[0] >> bit & 1], [i for i in items if i[0] >> bit & 1]
+    if not left or not right:
+        return guided(left or right, bit - 1, read)
+    return merge(guided(left, bit - 1, read), guided(right, bit - 1, read))
 
 
 def distance(a: list[str], b: list[str]) -> int:
@@ -149,61 +165,82 @@ def distance(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
-def _pick(values: list[dict], dominant: bool) -> tuple[dict, list[str]]:
-    """The member closest to the consensus of the chunk. Ties go to the highest precedence."""
-    vote = Vote(dominant)
-    toks = [tokens_of(v["value"] or "") for v in values]
-    rank = [(v["full"], v["trust"], v["seen"], -v["print_id"]) for v in values]
-    profile = None
-    for k in sorted(range(len(values)), key=lambda k: [-x for x in rank[k]]):
-        w = rank[k] if dominant else float(max(values[k]["trust"], 0) + 1) * values[k]["full"] * values[k].get("n", 1)
-        one = ([{t: w} for t in toks[k]], w)
-        profile = one if profile is None else vote.merge(profile, one)
-    want = vote.consensus(profile)
-    best = min(range(len(values)), key=lambda k: (0 if toks[k] == want else distance(toks[k], want), [-x for x in rank[k]]))
-    return values[best], want
+KEY = ["audio_signature", "field_name"]
+
+
+def _rank() -> Column:
+    """Completeness, trust, recency, lowest id: greater is better."""
+    return F.struct("full", "trust", "seen", (-F.col("print_id")).alias("id"))
+
+
+def preferred_values(values: DataFrame) -> DataFrame:
+    """The value of highest precedence of each ``(audio_signature, field_name)`` of :func:`usable_values` (rows with ``ok``).
+
+    Partial maxima are taken before the shuffle, so a hot group is one row per task."""
+    return values.where("ok").groupBy(KEY).agg(F.max_by(F.struct("print_id", "value"), _rank()).alias("v")).select(*KEY, "v.*")
+
+
+def _pack(p: Profile) -> str:
+    return json.dumps(p)
+
+
+def _unpack(p: str) -> Profile:
+    cols, w = json.loads(p)
+    return cols, w
 
 
-def consensus_values(values: DataFrame, vote: str = "dominant", chunk: int = CHUNK) -> DataFrame:
-    """The surviving value of each ``(audio_signature, field_name)`` of :func:`usable_values` (rows with ``ok``).
+def consensus_values(values: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """The existing value closest to the vote of each ``(audio_signature, field_name)`` of :func:`usable_values` (rows with
+    ``ok``); of equally close ones the one of highest precedence.
 
-    Chunks of at most about ``chunk`` values elect the member closest to their consensus; the elected of a hot group's
-    chunks (with the number of values behind each) stand again until one chunk per group is left.
+    Records that say the same are added up before anything is collected. The distinct values of a group merge along a tree
+    given by their hashes: a group of more than about `chunk` of them is cut at a depth of that tree, its branches are merged
+    in rows of their own, and their profiles (not their winners) go on upwards, so `chunk` does not change the result.
     """
-    dominant = vote == "dominant"
-    key = ["audio_signature", "field_name"]
-    v = values.where("ok").select(*key, F.struct("print_id", "value", "full", "trust", "seen", F.lit(1).cast("long").alias("n")).alias("v"))
-    cols = "struct<print_id:bigint,value:string,full:int,trust:int,seen:bigint,n:bigint>"
-
-    @F.pandas_udf(cols)
-    def elect(groups: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for g in groups:
-            out = []
-            for members in g:
-                members = [m if isinstance(m, dict) else m.asDict() for m in members]
-                won = dict(members[0] if len(members) == 1 else _pick(members, dominant)[0])
-                out.append({k: won[k] for k in ("print_id", "value", "full", "trust", "seen")} | {"n": sum(m["n"] for m in members)})
-            yield pd.DataFrame(out, columns=["print_id", "value", "full", "trust", "seen", "n"])
-
-    counts = v.groupBy(key).count()
-    hot = counts.where(F.col("count") > chunk)
-    most = hot.agg(F.max("count")).first()[0]
-    while most:  # only groups of more than `chunk` values go through here; they are few: at most rows / chunk
-        v = v.join(broadcast_if_small(hot), key, "left")
-        part = F.when(F.col("count").isNotNull(), F.pmod(F.xxhash64("v.print_id"), F.ceil(F.col("count") / chunk))).otherwise(F.lit(0))
-        v = cut(v.groupBy(*key, part.alias("part")).agg(F.collect_list("v").alias("vs")).select(*key, elect("vs").alias("v")))
-        hot = v.groupBy(key).count().where(F.col("count") > chunk)
-        most = hot.agg(F.max("count")).first()[0]
-    return v.groupBy(key).agg(F.collect_list("v").alias("vs")).select(*key, elect("vs").alias("v")).select(*key, "v.*")
-
-
-def survivors(prints: DataFrame, concerts: DataFrame, trust: DataFrame, vote: str = "dominant", chunk: int = CHUNK) -> DataFrame:
-    """``audio_signature, field_name, print_id, value`` for each signature with two or more records.
+    weight = (F.greatest("trust", F.lit(0)) + 1) * F.col("full")
+    v = cut(values.where("ok").groupBy(*KEY, "value").agg(F.sum(weight.cast("double")).alias("w"), F.max(_rank()).alias("best")).withColumn("h", F.xxhash64("value")))
+    n = v.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
+    most = n.agg(F.max("n")).first()[0] or 0
+    depth = F.when(F.col("n") > chunk, F.ceil(F.log2(F.col("n") / chunk)).cast("int") + 1).otherwise(0)
+    deep, step = (math.ceil(math.log2(most / chunk)) + 1 if most > chunk else 0), max(1, int(math.log2(chunk)))
+
+    @F.pandas_udf("string")
+    def grow(parts: pd.Series, depths: pd.Series) -> pd.Series:
+        return pd.Series([_pack(guided([(m["h"] & 0xFFFFFFFFFFFFFFFF, (m["value"], m["w"])) for m in g], 63 - d, lambda x: profile_of(*x))) for g, d in zip(parts, depths)])
+
+    @F.pandas_udf("string")
+    def join(parts: pd.Series, levels: pd.Series) -> pd.Series:
+        return pd.Series([_pack(guided([(m["branch"], m["p"]) for m in g], k - 1, _unpack)) for g, k in zip(parts, levels)])
+
+    branch = F.when(F.col("depth") == 0, F.lit(0)).otherwise(F.expr("shiftrightunsigned(h, 64 - depth)"))
+    p = v.join(broadcast_if_small(n), KEY).withColumn("depth", depth).withColumn("branch", branch.cast("bigint"))
+    p = p.groupBy(*KEY, "depth", "branch").agg(F.collect_list(F.struct("h", "value", "w")).alias("m")).select(*KEY, "depth", "branch", grow("m", "depth").alias("p"))
+    while deep > 0:
+        p = cut(p)
+        up = F.least(F.col("depth"), F.lit(step))
+        higher = p.where("depth > 0").select(*KEY, (F.col("depth") - up).alias("to"), F.expr(f"shiftright(branch, least(depth, {step}))").alias("at"), up.alias("levels"), F.struct(F.expr(f"branch & (shiftleft(1L, least(depth, {step})) - 1)").alias("branch"), "p").alias("m"))
+        higher = higher.groupBy(*KEY, "to", "at", "levels").agg(F.collect_list("m").alias("m"))
+        p = p.where("depth = 0").unionAll(higher.select(*KEY, F.col("to").alias("depth"), F.col("at").alias("branch"), join("m", "levels").alias("p")))
+        deep -= step
+
+    voted = F.pandas_udf(lambda ps: ps.map(lambda p: consensus(_unpack(p))), "array<string>")
+
+    @F.pandas_udf("int")
+    def off(vs: pd.Series, want: pd.Series) -> pd.Series:
+        return pd.Series([0 if (t := tokens_of(x)) == list(w) else distance(t, list(w)) for x, w in zip(vs, want)], dtype="int32")
+
+    want = cut(p.select(*KEY, voted("p").alias("want")))
+    near = v.join(broadcast_if_small(want), KEY).select(*KEY, "value", "best", off("value", "want").alias("off"))
+    won = near.groupBy(KEY).agg(F.max_by(F.struct((-F.col("best.id")).alias("print_id"), "value"), F.struct(-F.col("off"), "best")).alias("v"))
+    return won.select(*KEY, "v.*")
+
+
+def survivors(prints: DataFrame, concerts: DataFrame, trust: DataFrame, vote: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """``audio_signature, field_name, print_id, value`` for each signature with two or more records, by precedence or by vote.
 
     No usable value gives no row. Empty tables give no rows; other columns of the inputs are ignored.
     """
     several = prints.where("audio_signature is not null").groupBy("audio_signature").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("audio_signature")
-    # usable_values() is used once for the hot-group test and once for the vote: keep it
-    v = cut(usable_values(prints, concerts, trust).where("ok"))
-    won = consensus_values(v, vote, chunk)
-    return won.join(several, "audio_signature", "left_semi").select("audio_signature", "field_name", "print_id", "value")
+    v = usable_values(prints, concerts, trust).join(several, "audio_signature", "left_semi")
+    won = consensus_values(v, chunk) if vote else preferred_values(v)
+    return won.select(*KEY, "print_id", "value")

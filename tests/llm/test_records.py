@@ -40,15 +40,21 @@ def test_survivors_follow_the_precedence(spark):
     p, c, t = _prints(spark)
     n = {r[0]: r[1] for r in p.groupBy("audio_signature").count().collect()}
     want = _ranked(survivor.usable_values(p, c, t).collect(), n)
-    for chunk in (256, 2):
-        assert {(r.audio_signature, r.field_name, r.print_id) for r in survivor.survivors(p, c, t, chunk=chunk).collect()} == want
+    assert {(r.audio_signature, r.field_name, r.print_id) for r in survivor.survivors(p, c, t).collect()} == want
     assert survivor.survivors(p.limit(0), c, t).count() == 0 and survivor.survivors(p, c.limit(0), t.limit(0)).count() > 0
 
 
-def test_majority_takes_the_value_nearest_to_the_vote():
-    v = [{"print_id": i, "value": x, "full": 1, "trust": 1, "seen": 0} for i, x in enumerate(["kind:sbd mic:a", "kind:sbd mic:a taper:x", "kind:aud mic:b", "kind:sbd mic:a taper:x"])]
-    assert survivor._pick(v, False)[0]["value"] == "kind:sbd mic:a taper:x"
-    assert survivor._pick([v[0]], False)[0] is v[0]
+def test_vote_does_not_depend_on_the_chunk(spark):
+    p, c, t = _prints(spark)
+    got = [{(r.audio_signature, r.field_name, r.print_id, r.value) for r in survivor.survivors(p, c, t, vote=True, chunk=k).collect()} for k in (256, 2, 5)]
+    assert got[0] and got[0] == got[1] == got[2]
+    assert survivor.survivors(p.limit(0), c, t, vote=True).count() == 0
+
+
+def test_vote_takes_the_value_nearest_to_the_consensus(spark):
+    said = ["kind:sbd mic:a", "kind:sbd mic:a taper:x", "kind:aud mic:b", "kind:sbd mic:a taper:x"]
+    v = spark.createDataFrame([("s", "source", i, True, x, 1, 1, 0) for i, x in enumerate(said)] + [("t", "source", 9, True, "kind:dat", 1, -1, 0)], "audio_signature string, field_name string, print_id bigint, ok boolean, value string, full int, trust int, seen bigint")
+    assert {r.audio_signature: (r.print_id, r.value) for r in survivor.consensus_values(v).collect()} == {"s": (1, said[1]), "t": (9, "kind:dat")}
 
 
 def _library(rng, n=60):
