@@ -5,8 +5,10 @@ removes the containers that hold their documents a second time, and best-fits th
 mutation empties the worst containers. Fitness is the mean of squared fills.
 
 Documents are dealt by hash into blocks of bounded size. Each block evolves on several islands, one row and task slot
-each; after every epoch each island's elite migrates to the next island. What the best chromosome of a block leaves in
-poorly filled containers goes on to a further round, dealt anew, until one block is left.
+each; after every epoch each island's elite migrates to the next island. A population begins with best fit decreasing; where
+that takes no more containers than the sizes sum up to, nothing can be gained and the block is left at it. Only full
+containers close; all else goes on to a further round, dealt anew, until one block is left. A round that hardly closes any
+loosens what counts as full.
 
 A text is split only if it alone exceeds the capacity: into full containers and one remainder, which is packed.
 """
@@ -14,6 +16,7 @@ A text is split only if it alone exceeds the capacity: into full containers and
 from __future__ import annotations
 
 import bisect
+import itertools
 import random
 from collections.abc import Iterator
 
@@ -25,9 +28,10 @@ from ..session import cut
 from .tokens import TOKENIZER, token_counts
 
 #: Documents of a block; islands of a block; epochs between which elites migrate; population; generations of an epoch.
-BLOCK, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 600, 2, 2, 6, 8
-#: Containers filled less than this go on to the next round; most rounds.
-WELL, ROUNDS = 0.985, 4
+BLOCK, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2000, 2, 2, 8, 12
+#: Share of the capacity that may stay empty in a container that closes, once a round has closed less than a tenth; doubled
+#: with each such round, so that the rounds end.
+LOOSE = 0.001
 MAX_CAPACITIES = 1000
 
 
@@ -121,19 +125,20 @@ def evolve(size: list[int], cap: int, elites: list[list[int]], seed: int, popula
     rng = random.Random(seed)
     pop = [Packing.of(o, size, cap) for o in elites]
     if not pop:
-        pop = [Packing([], size, cap)]
         best_fit(bins := [], [], list(range(len(size))), size, cap)
         pop = [Packing(bins, size, cap)]
     least = max(1, -(-sum(size) // cap))
+    if any(len(p.bins) <= least for p in pop):
+        return max(pop, key=lambda p: (-len(p.bins), p.fit))
     while len(pop) < population:
         pop.append(start(rng, size, cap))
     for _ in range(generations):
-        pop.sort(key=lambda p: -p.fit)
-        if len(pop[0].bins) <= least and all(r <= 0.002 * cap for r in sorted(pop[0].room)[:-1]):
+        pop.sort(key=lambda p: (len(p.bins), -p.fit))
+        if len(pop[0].bins) <= least:
             break
         half = pop[: max(2, population // 2)]
         pop = half + [cross(rng, *rng.sample(half, 2), size, cap) for _ in range(population - len(half))]
-    return max(pop, key=lambda p: p.fit)
+    return max(pop, key=lambda p: (-len(p.bins), p.fit))
 
 
 def items(docs: DataFrame, capacities: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -150,13 +155,14 @@ def items(docs: DataFrame, capacities: DataFrame, tokenizer: str = TOKENIZER) ->
     return rows.select("pack_id", "capacity", "doc_id", "part", F.least(F.col("capacity"), F.col("tokens") - F.col("part") * F.col("capacity")).alias("tokens"))
 
 
-def _round(rows: DataFrame, k: int, block: int, islands: int, epochs: int) -> DataFrame:
-    """``pack_id, capacity, blk, ids, sizes, owner, last`` per block: the best packing of its islands."""
-    n = rows.groupBy("pack_id").agg(F.count(F.lit(1)).alias("n")).select("pack_id", F.ceil(F.col("n") / block).cast("bigint").alias("blocks"))
-    dealt = rows.join(F.broadcast(n), "pack_id").withColumn("blk", F.pmod(F.xxhash64("doc_id", "part", F.lit(k)), F.col("blocks")))
-    blocks = dealt.groupBy("pack_id", "capacity", "blocks", "blk").agg(F.sort_array(F.collect_list(F.struct("doc_id", "part", "tokens"))).alias("items"))
-    blocks = blocks.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))).withColumn("elites", F.array().cast("array<array<int>>")).withColumn("fit", F.lit(0.0))
-    schema = "pack_id int, capacity bigint, blocks bigint, blk bigint, items array<struct<doc_id:bigint,part:int,tokens:bigint>>, island int, elites array<array<int>>, fit double"
+def _round(rows: DataFrame, plan: DataFrame, k: int, islands: int, epochs: int) -> DataFrame:
+    """``pack_id, capacity, blocks, slack, blk, items, owner`` per block: the best packing of its islands.
+
+    `plan`: ``pack_id, blocks, slack``, a row per capacity."""
+    dealt = rows.join(F.broadcast(plan), "pack_id").withColumn("blk", F.pmod(F.xxhash64("doc_id", "part", F.lit(k)), F.col("blocks")))
+    blocks = dealt.groupBy("pack_id", "capacity", "blocks", "slack", "blk").agg(F.sort_array(F.collect_list(F.struct("doc_id", "part", "tokens"))).alias("items"))
+    blocks = blocks.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))).withColumn("elites", F.array().cast("array<array<int>>")).withColumn("fit", F.lit(0.0)).select("pack_id", "capacity", "blocks", "slack", "blk", "items", "island", "elites", "fit")
+    schema = "pack_id int, capacity bigint, blocks bigint, slack double, blk bigint, items array<struct<doc_id:bigint,part:int,tokens:bigint>>, island int, elites array<array<int>>, fit double"
 
     def epoch(number: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,8 +185,8 @@ def _round(rows: DataFrame, k: int, block: int, islands: int, epochs: int) -> Da
         blocks = cut(blocks.repartition(slots * 4, "pack_id", "blk", "island").mapInPandas(epoch(e), schema))
         if e + 1 < epochs:  # migration: an island starts the next epoch from its own elite and its neighbour's
             guest = blocks.select("pack_id", "blk", ((F.col("island") + 1) % islands).alias("island"), F.col("elites").alias("guests"))
-            blocks = blocks.join(guest, ["pack_id", "blk", "island"]).withColumn("elites", F.array_distinct(F.concat("elites", "guests"))).select(*[c.split()[0] for c in ("pack_id", "capacity", "blocks", "blk", "items", "island", "elites", "fit")])
-    best = blocks.groupBy("pack_id", "blk").agg(F.max_by(F.struct("capacity", "blocks", "items", F.col("elites")[0].alias("owner")), F.struct("fit", -F.col("island"))).alias("b"))
+            blocks = blocks.join(guest, ["pack_id", "blk", "island"]).withColumn("elites", F.array_distinct(F.concat("elites", "guests"))).select(*[c.split()[0] for c in ("pack_id", "capacity", "blocks", "slack", "blk", "items", "island", "elites", "fit")])
+    best = blocks.groupBy("pack_id", "blk").agg(F.max_by(F.struct("capacity", "blocks", "slack", "items", F.col("elites")[0].alias("owner")), F.struct(-F.array_max(F.col("elites")[0]), "fit", -F.col("island"))).alias("b"))
     return best.select("pack_id", "blk", "b.*")
 
 
@@ -193,21 +199,25 @@ def pack(docs: DataFrame, capacities: DataFrame, tokenizer: str = TOKENIZER, blo
     whole = rows.where("tokens = capacity")  # fills a container by itself
     done = whole.select("pack_id", F.concat_ws("-", F.lit("full"), "doc_id", "part").alias("bin"), "doc_id", "part", "tokens")
     left = rows.where("tokens < capacity")
-    for k in range(ROUNDS):
-        best = _round(left, k, block, islands, epochs)
-        placed = best.select("pack_id", "capacity", "blocks", "blk", F.posexplode("items").alias("pos", "i"), "owner").select("pack_id", "capacity", "blocks", "blk", "i.*", F.element_at("owner", F.col("pos") + 1).alias("b"))
-        fill = placed.groupBy("pack_id", "capacity", "blocks", "blk", "b").agg(F.sum("tokens").alias("fill"), F.collect_list(F.struct("doc_id", "part", "tokens")).alias("its"))
-        last = F.lit(k == ROUNDS - 1) | (F.col("blocks") <= 1) | (F.col("fill") >= F.col("capacity") * WELL)
-        fill = cut(fill.withColumn("closed", last))
+    before: dict[int, tuple[int, float]] = {}
+    for k in itertools.count():
+        counts = {r[0]: r[1] for r in left.groupBy("pack_id").agg(F.count(F.lit(1))).collect()}  # a row per capacity
+        if not counts:
+            return done
+        for p, n in counts.items():
+            was, slack = before.get(p, (0, 0.0))
+            before[p] = (n, max(LOOSE, 2 * slack) if was and n > 0.9 * was else slack)
+        plan = docs.sparkSession.createDataFrame([(p, -(-n // block), before[p][1]) for p, n in counts.items()], "pack_id int, blocks bigint, slack double")
+        best = _round(left, plan, k, islands, epochs)
+        placed = best.select("pack_id", "capacity", "blocks", "slack", "blk", F.posexplode("items").alias("pos", "i"), "owner").select("pack_id", "capacity", "blocks", "slack", "blk", "i.*", F.element_at("owner", F.col("pos") + 1).alias("b"))
+        fill = placed.groupBy("pack_id", "capacity", "blocks", "slack", "blk", "b").agg(F.sum("tokens").alias("fill"), F.collect_list(F.struct("doc_id", "part", "tokens")).alias("its"))
+        fill = cut(fill.withColumn("closed", (F.col("blocks") <= 1) | (F.col("capacity") - F.col("fill") <= F.floor(F.col("capacity") * F.col("slack")))))
         done = done.unionAll(fill.where("closed").select("pack_id", F.concat_ws("-", F.lit(k), "blk", "b").alias("bin"), F.inline("its")).select("pack_id", "bin", "doc_id", "part", "tokens"))
         left = fill.where("not closed").select("pack_id", "capacity", F.inline("its"))
-        if not left.take(1):
-            break
-    return done
 
 
 def report(docs: DataFrame, capacities: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``pack_id, capacity_tokens, bins, tokens, fill``: how full the containers are."""
+    """``pack_id, capacity_tokens, bins, least_bins, tokens, fill``: how full the containers are, and the fewest that could do."""
     made = pack(docs, capacities, tokenizer)
     sums = made.groupBy("pack_id").agg(F.countDistinct("bin").alias("bins"), F.sum("tokens").alias("tokens"))
-    return sums.join(capacities, "pack_id").select("pack_id", "capacity_tokens", "bins", "tokens", (F.col("tokens") / (F.col("bins") * F.col("capacity_tokens"))).alias("fill"))
+    return sums.join(capacities, "pack_id").select("pack_id", "capacity_tokens", "bins", F.ceil(F.col("tokens") / F.col("capacity_tokens")).cast("bigint").alias("least_bins"), "tokens", (F.col("tokens") / (F.col("bins") * F.col("capacity_tokens"))).alias("fill"))

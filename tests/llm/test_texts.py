@@ -58,6 +58,23 @@ def test_crossover_keeps_every_document():
     assert len(best.bins) <= len(plain)
 
 
+def test_evolution_gains_where_best_fit_does_not_suffice():
+    """Items that fill their containers exactly by threes: best fit decreasing, the first of the population, wastes some."""
+    rng, plain, evolved = random.Random(7), 0, 0
+    for n in range(6):
+        size = []
+        for _ in range(40):
+            a = rng.randint(380, 480)
+            b = rng.randint(250, (1000 - a) // 2)
+            size += [a, b, 1000 - a - b]
+        packing.best_fit(bins := [], [], list(range(len(size))), size, 1000)
+        elites: list = []
+        for epoch in range(4):
+            elites = [packing.evolve(size, 1000, elites, 100 * n + epoch).owners(len(size))]
+        plain, evolved = plain + len(bins), evolved + max(elites[0]) + 1
+    assert 6 * 40 <= evolved < plain
+
+
 def test_mix(spark):
     rng = random.Random(2)
     rows = [(i, "some words here " * rng.randint(1, 20), None, rng.choice(["a"] * 6 + ["b"] * 3 + ["c", None, "other"])) for i in range(900)] + [(2000, None, None, "a"), (2001, "", None, "a")]
