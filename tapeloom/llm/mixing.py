@@ -5,8 +5,8 @@ demand D(t); a document copy that begins after x of its source's tokens is wante
 position is the inverse of D at its middle token. Documents are range-sorted by that position.
 
 A source's demand is its target share of the total, at most ``max_repeats`` times what it has; what capped sources
-cannot give is spread over the others in proportion to their targets. Prefix sums of tokens run in two levels
-(buckets, then rows of a bucket), so no source, however large, is sorted in one task.
+cannot give is spread over the others in proportion to their targets. Prefix sums of tokens run in levels (buckets of
+buckets, buckets, rows of a bucket), so neither a source, however large, nor its buckets are sorted in one task.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..session import broadcast_if_small, cut
 from .tokens import TOKENIZER, token_counts
 
-#: Rows of a bucket of the two-level sums; target sources the driver may hold; steepest default schedule.
+#: Rows of a bucket at each level of the sums; target sources the driver may hold; steepest default schedule.
 BUCKET_ROWS, MAX_SOURCES, STEEPEST = 2000, 10_000, 0.6
 
 
@@ -67,11 +67,17 @@ def arrival(y: Column, a: Column) -> Column:
     return F.when(F.abs(a) < 1e-9, y).otherwise(2 * y / ((1 + a) + root))
 
 
-def running(df: DataFrame, group: list[str], bucket: Column, order: list[str], value: str, out: str) -> DataFrame:
-    """Exclusive prefix sums of `value` per group in the order of (bucket, order), in two levels. Buckets must follow the order."""
+def running(df: DataFrame, group: list[str], bucket: Column, buckets: int, order: list[str], value: str, out: str, rows: int = BUCKET_ROWS) -> DataFrame:
+    """Exclusive prefix sums of `value` per group in the order of (bucket, order). `bucket` counts from 0 to below `buckets` and
+    must follow the order. The sums of the buckets are summed up in the same way, level by level, until at most `rows` are
+    left of a group, so no window ever holds more than a bucket's rows."""
     b = df.withColumn("_bucket", bucket)
     sums = b.groupBy(*group, "_bucket").agg(F.sum(value).alias("_s"))
-    base = sums.select(*group, "_bucket", (F.sum("_s").over(Window.partitionBy(*group or [F.lit(0)]).orderBy("_bucket")) - F.col("_s")).alias("_base"))
+    if buckets > rows:
+        base = running(sums.withColumnRenamed("_bucket", "_below"), group, F.floor(F.col("_below") / rows), -(-buckets // rows), ["_below"], "_s", "_sum", rows)
+        base = base.select(*group, F.col("_below").alias("_bucket"), F.col("_sum").alias("_base"))
+    else:
+        base = sums.select(*group, "_bucket", (F.sum("_s").over(Window.partitionBy(*group or [F.lit(0)]).orderBy("_bucket")) - F.col("_s")).alias("_base"))
     w = Window.partitionBy(*group, "_bucket").orderBy(*order)
     return b.join(broadcast_if_small(cut(base)), [*group, "_bucket"]).withColumn(out, F.col("_base") + F.sum(value).over(w) - F.col(value)).drop("_bucket", "_base")
 
@@ -93,7 +99,7 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, le
     buckets = max(1, n // BUCKET_ROWS)
     h = sized.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id"), 33))
     bucket = F.floor(F.col("h") * F.lit(float(buckets)) / F.lit(float(1 << 31))).cast("bigint")
-    run = running(h, ["source"], bucket, ["h", "doc_id"], "tokens", "before")
+    run = running(h, ["source"], bucket, buckets, ["h", "doc_id"], "tokens", "before")
     rows = run.join(plan, "source").withColumn("passes", F.least(F.col("most"), F.ceil(F.col("want") / F.col("have")).cast("int")))
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.greatest(F.col("passes"), F.lit(1)) - 1)))
     middle = F.col("copy") * F.col("have") + F.col("before") + F.col("tokens") / 2
@@ -101,7 +107,7 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, le
     rows = rows.withColumn("at", F.least(F.lit(1.0), arrival(F.col("x") / F.col("want"), F.col("lean"))))
     rows = cut(rows.select("doc_id", "copy", "source", "tokens", "at"))
     steps = max(1, rows.count() // BUCKET_ROWS)
-    rows = running(rows.withColumn("one", F.lit(1).cast("bigint")), [], F.floor(F.col("at") * steps), ["at", "doc_id", "copy"], "one", "position")
+    rows = running(rows.withColumn("one", F.lit(1).cast("bigint")), [], F.floor(F.col("at") * steps), steps + 1, ["at", "doc_id", "copy"], "one", "position")
     return rows.select("position", "doc_id", "copy", "source", "tokens", "at").orderBy("position")
 
 

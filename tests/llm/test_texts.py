@@ -75,6 +75,17 @@ def test_evolution_gains_where_best_fit_does_not_suffice():
     assert 6 * 40 <= evolved < plain
 
 
+def test_running_sums_by_levels(spark):
+    df = spark.range(500).select("id", (F.col("id") % 3).alias("g"), (F.col("id") * 7 % 11).alias("v"))
+    got = mixing.running(df, ["g"], F.floor(F.col("id") / 4), 125, ["id"], "v", "before", rows=4).collect()
+    sums: dict = defaultdict(int)
+    for r in sorted(got, key=lambda r: r.id):
+        assert r.before == sums[r.g]
+        sums[r.g] += r.v
+    assert len(got) == 500
+    assert {r.id: r.before for r in mixing.running(df, [], F.floor(F.col("id") / 4), 125, ["id"], "v", "before", rows=5).collect()} == {i: sum(k * 7 % 11 for k in range(i)) for i in range(500)}
+
+
 def test_mix(spark):
     rng = random.Random(2)
     rows = [(i, "some words here " * rng.randint(1, 20), None, rng.choice(["a"] * 6 + ["b"] * 3 + ["c", None, "other"])) for i in range(900)] + [(2000, None, None, "a"), (2001, "", None, "a")]
