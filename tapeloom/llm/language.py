@@ -2,10 +2,11 @@
 
 Each language has a zstandard raw-content dictionary; a piece of text belongs to the language whose dictionary
 encodes it in the fewest bytes. A narrow margin over the runner-up is rejected: the piece then takes the language of
-the document's other pieces, by the summed sizes, or, if those are narrow too, the delivered label.
+the whole document, by the sizes summed over its pieces. Only where these tie, or no piece has a letter, the delivered label
+is believed.
 
 Dictionaries are fitted on the driver from a bounded sample of labelled documents (``SAMPLE_PER_LANGUAGE`` per
-language, lowest hash first). Labels may be wrong, so each sample line first moves, twice, to the language whose
+language, lowest hash first), found by one scan of ids and labels and one of texts. Labels may be wrong, so each sample line first moves, twice, to the language whose
 labelled lines use its words most.
 """
 
@@ -17,7 +18,6 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -27,11 +27,22 @@ from pyspark.sql import functions as F
 SAMPLE_PER_LANGUAGE, SAMPLE_CHARS, DICT_BYTES = 250, 6000, 65536
 #: A piece is settled by itself if the runner-up is larger by this share and this many bytes.
 MARGIN, MARGIN_BYTES = 0.04, 2
-LEVEL = 3
+LEVEL = 1
 #: ISO 639-2 codes (terminological, bibliographic) of the two-letter codes.
 ISO3 = {"en": ("eng",), "de": ("deu", "ger"), "fr": ("fra", "fre"), "es": ("spa",), "it": ("ita",), "nl": ("nld", "dut"), "pt": ("por",), "sv": ("swe",), "da": ("dan",), "no": ("nor",), "fi": ("fin",), "pl": ("pol",), "cs": ("ces", "cze"), "ru": ("rus",), "ja": ("jpn",), "hu": ("hun",), "ro": ("ron", "rum")}
-NOISE = re.compile(r"[0-9]+|https?://\S+|[^\w\s']", re.U)
-SPACE = re.compile(r"\s+")
+LINK = re.compile(r"https?://\S+")
+
+
+class _Letters(dict):
+    """Character to what counts of it: compatibility form without accents; digits and punctuation are a space."""
+
+    def __missing__(self, o: int) -> str:
+        out = "".join(c if c.isalpha() or c.isspace() or c in "_'" or (c.isalnum() and c not in "0123456789") else " " for c in unicodedata.normalize("NFKD", chr(o)) if not unicodedata.combining(c))
+        self[o] = out
+        return out
+
+
+LETTERS = _Letters()
 
 
 def label_map(codes: list[tuple[str, str]]) -> dict[str, str]:
@@ -55,9 +66,10 @@ def label_code(c: Column, names: dict[str, str]) -> Column:
 
 def plain(text: str) -> str:
     """Lower case without accents, digits and punctuation, so that case and typing of accents do not count."""
-    t = unicodedata.normalize("NFKD", text.lower())
-    t = "".join(ch for ch in t if not unicodedata.combining(ch))
-    return SPACE.sub(" ", NOISE.sub(" ", t)).strip()
+    t = text.lower()
+    if "://" in t:
+        t = LINK.sub(" ", t)
+    return " ".join(t.translate(LETTERS).split())
 
 
 LISTED = re.compile(r"^\W*\d+\s*[.):-]|\S\s+(?:->|>)\s+\S")
@@ -80,11 +92,11 @@ class Coders:
             d = zstandard.ZstdCompressionDict(b or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
             self.c.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
-        self.empty = np.array([len(c.compress(b"")) for c in self.c])
+        self.empty = [len(c.compress(b"")) for c in self.c]
 
-    def sizes(self, text: str) -> np.ndarray:
+    def sizes(self, text: str) -> list[int]:
         b = text.encode()
-        return np.array([len(c.compress(b)) for c in self.c]) - self.empty
+        return [len(c.compress(b)) - e for c, e in zip(self.c, self.empty)]
 
 
 def fit(labelled: dict[str, list[str]]) -> dict[str, bytes]:
@@ -115,12 +127,14 @@ def fit(labelled: dict[str, list[str]]) -> dict[str, bytes]:
                 for w in set(s.split()):
                     seen[k][w] += n
         total = {k: max(1, sum(v.values())) for k, v in lines.items()}
+        order = list(lines)
+        logs = {w: [math.log((seen[j][w] + 0.02) / total[j]) for j in order] for w in set().union(*seen.values())}
         moved = {k: Counter() for k in lines}
         for k, v in lines.items():
             for s, n in v.items():
-                score = {j: sum(math.log((seen[j][w] + 0.02) / total[j]) for w in s.split()) for j in lines}
-                best = max(score.values())
-                moved[k if score[k] == best else max(score, key=score.get)][s] += n
+                score = [sum(x) for x in zip(*(logs[w] for w in s.split()))]
+                best = max(score)
+                moved[k if score[order.index(k)] == best else order[score.index(best)]][s] += n
         lines = moved
     # a line that still stands under several languages stays where its words are most frequent
     for text in [x for x, n in Counter(x for v in lines.values() for x in v).items() if n > 1]:
@@ -140,29 +154,42 @@ def hash_of(s: str) -> int:
 
 
 def fit_dictionaries(docs: DataFrame, codes: list[tuple[str, str]], per_language: int = SAMPLE_PER_LANGUAGE) -> dict[str, bytes]:
+    """The lowest `per_language` documents of each label by the hash of their id. Ids and labels are counted first, which
+    gives a threshold of the hash that leaves little more than the sample; then the texts are read once."""
     names = label_map(codes)
-    lab = docs.where("text is not null").select(F.substring("text", 1, SAMPLE_CHARS).alias("t"), label_code(F.col("lang"), names).alias("l"), F.xxhash64("doc_id", "text").alias("h")).where("l is not null")
-    got = {}
-    for code, _ in codes:  # TakeOrderedAndProject: a bounded heap per task
-        got[code] = [r.t for r in lab.where(F.col("l") == code).select("t", "h").orderBy("h").limit(per_language).collect()]
-    return fit(got)
-
-
-def settled(s: np.ndarray) -> tuple[int, float, bool]:
+    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    lab = docs.where("text is not null").select("doc_id", "text", label_code(F.col("lang"), names).alias("l"), hashed.alias("h")).where("l is not null")
+    n = {r.l: r.n for r in docs.select(label_code(F.col("lang"), names).alias("l")).where("l is not null").groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = {k: min(1.0, 2.0 * (per_language + 50) / v) for k, v in n.items()}
+    got: dict[str, list[str]] = {}
+    while share:  # a second time only for a label most of whose texts are null
+        low = F.coalesce(*[F.when(F.col("l") == k, F.col("h") < int(v * (1 << 30))) for k, v in share.items()], F.lit(False))
+        rows = sorted((r.l, r.h, r.doc_id, r.t) for r in lab.where(low).select("l", "h", "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("t")).collect())
+        for k in list(share):
+            mine = [t for label, _, _, t in rows if label == k]
+            if len(mine) >= per_language or share[k] >= 1.0:
+                got[k] = mine[:per_language]
+                del share[k]
+            else:
+                share[k] = min(1.0, share[k] * 4)
+    return fit({code: got.get(code, []) for code, _ in codes})
+
+
+def settled(s: list[int]) -> tuple[int, float, bool]:
     """(best, confidence, clear). Confidence is the runner-up's excess in bytes as a share of its size."""
-    o = np.argsort(s, kind="stable")
-    best = int(o[0])
+    a = min(s)
+    best = s.index(a)
     if len(s) < 2:
         return best, 1.0, True
-    a, b = float(s[best]), float(s[o[1]])
-    gain = (b - a) / max(b, 1.0)
+    b = min(s[:best] + s[best + 1 :])
+    gain = (b - a) / max(b, 1)
     return best, gain, b - a >= MARGIN_BYTES and gain >= MARGIN
 
 
 def segments(docs: DataFrame, codes: list[tuple[str, str]], raw: dict[str, bytes] | None = None) -> DataFrame:
     """``doc_id, seg, lang, confidence, clear, doc_lang, doc_confidence, label``: one row per piece between blank lines.
 
-    A null text has no piece; an empty one has one, which takes the document's label. Texts of any length are read whole.
+    A null text has no piece; an empty one has one, which takes the document's language or label. Texts of any length are read whole.
     ``lang`` is null only when neither piece, document nor label says anything.
     """
     names = label_map(codes)
@@ -178,16 +205,14 @@ def segments(docs: DataFrame, codes: list[tuple[str, str]], raw: dict[str, bytes
             for doc_id, text, label in zip(df.doc_id, df.text, df.label):
                 label = label if isinstance(label, str) else None
                 pieces = [plain(prose(p)) for p in text.split("\n\n")]
-                sizes = [coders.sizes(p) if p else np.zeros(len(langs), int) for p in pieces]
-                whole = np.sum(sizes, axis=0)
-                d_best, d_gain, d_clear = settled(whole) if any(pieces) and langs else (0, 0.0, False)
-                doc = langs[d_best] if d_clear else label
-                for k, (p, s) in enumerate(zip(pieces, sizes)):
-                    best, gain, clear = settled(s) if p and langs else (0, 0.0, False)
-                    if clear:
-                        lang = langs[best]
-                    else:  # rejected: the least of the rest's sizes plus this piece's own, else the label
-                        lang = doc if doc is not None else (langs[best] if p and langs else None)
+                sizes = [coders.sizes(p) if p and langs else None for p in pieces]
+                read = [x for x in sizes if x]
+                whole = read[0] if len(read) == 1 else [sum(x) for x in zip(*read)]
+                d_best, d_gain, _ = settled(whole) if whole else (0, 0.0, False)
+                doc = langs[d_best] if d_gain > 0 else label
+                for k, s in enumerate(sizes):
+                    best, gain, clear = settled(s) if s else (0, 0.0, False)
+                    lang = langs[best] if clear else doc if doc is not None else langs[best] if s else None
                     out.append((doc_id, k, lang, gain, clear, doc, d_gain, label))
             yield pd.DataFrame(out, columns=["doc_id", "seg", "lang", "confidence", "clear", "doc_lang", "doc_confidence", "label"])
 
