@@ -26,7 +26,7 @@ SKIP = r"(?i)^\s*\d+\.?\s*(?:md5|ffp|sha\d+|bytes?|samples?|kb|mb|gb)\b"
 DURATION = r"\s+\d{0,3}:\d{2}\s*$"
 HEADER = r"(?i)^\s*(?:set[\s-]*list|track[\s-]*list(?:ing)?|tracks|songs|songlist|playlist)\s*[:.\-]?\s*$"
 CITY = r"^[A-Z][A-Za-z.'\- ]+,\s*[A-Za-z][A-Za-z.'\- ]{1,}$"
-CHECKSUM_LINE = r"(?i)^(?:[0-9a-f]{32}\s*[ *:]?.*|.*[:=\s][0-9a-f]{32,40}|[0-9a-f]{40,64}\s.*|.+\s[0-9a-f]{8})\s*$"
+CHECKSUM_LINE = r"(?i)^(?:[a-f0-9]{16,}\s+[*?]?\S.*|\S+\.(?:flac|shn|wav|mp3):[a-f0-9]{16,})$"
 STATES = tuple("AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY".split())
 COUNTRIES = ("England", "Scotland", "Wales", "Ireland", "Canada", "Germany", "France", "Netherlands", "Italy", "Spain", "Japan", "Australia", "UK", "USA", "Mexico", "Belgium", "Sweden", "Norway", "Denmark", "Switzerland", "Austria", "Finland", "Poland", "Greece", "Portugal", "Brazil", "Argentina", "Russia", "China", "India")
 

@@ -58,14 +58,14 @@ def is_junk_name(c: Column) -> Column:
 
 
 def sort_key(c: Column) -> Column:
-    """A name without its leading article, for sorting."""
-    return F.when(c.startswith("The ") | c.startswith("the "), F.substring(c, 5, 1 << 30)).otherwise(c)
+    """A name without its leading article and outer blanks, for sorting; empty for null."""
+    return F.coalesce(strip(F.regexp_replace(c, r"(?U)^[Tt]he\s+", "")), F.lit(""))
 
 
 def human_bytes(c: Column) -> Column:
-    """`1.5 KB`: steps of 1024, one decimal, bytes too."""
-    out = F.format_string("%.1f PB", c / F.lit(float(1 << 50)))
-    for k, unit in reversed(list(enumerate(("B", "KB", "MB", "GB", "TB")))):
+    """`1.5 KiB`: steps of 1024, one decimal, bytes too."""
+    out = F.format_string("%.1f PiB", c / F.lit(float(1 << 50)))
+    for k, unit in reversed(list(enumerate(("B", "KiB", "MiB", "GiB", "TiB")))):
         out = F.when(c < F.lit(float(1 << (10 * (k + 1)))), F.format_string(f"%.1f {unit}", c / F.lit(float(1 << (10 * k))))).otherwise(out)
     return out
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -85,17 +85,27 @@ def keepers(members: DataFrame, strategy: str = "largest", order: str = "print_i
     return members.join(best, "cluster").select("cluster", order, (F.col(order) == -F.col("b.o")).alias("keep"))
 
 
-def content_fingerprint(files: DataFrame, folder: str = "folder") -> DataFrame:
-    """``folder, fingerprint``: SHA-1 over the folder's name and its sorted `path|size` lines; order of rows does not matter."""
-    line = F.concat_ws("|", F.coalesce("path", F.lit("")), F.coalesce(F.col("size").cast("string"), F.lit("-1")))
-    x = files.groupBy(folder).agg(F.sort_array(F.collect_list(line)).alias("l"))
-    return x.select(folder, F.sha1(F.concat(F.element_at(F.split(folder, "/"), -1), F.lit("\n"), F.array_join("l", "\n"))).alias("fingerprint"))
+def content_fingerprint(files: DataFrame, infos: DataFrame, folder: str = "folder") -> DataFrame:
+    """``folder, fingerprint``: SHA-1 over the folder's name, a part `a:path|size` for each audio file by path, and `i:name|size`
+    for the first info file (the largest, then by name), each part after a zero byte. The order of rows does not matter.
+
+    `files(folder, path, size)`: paths within the folder; a null size counts as -1. `infos(folder, name, size)` may be empty.
+    """
+    size = F.coalesce(F.col("size").cast("bigint"), F.lit(-1))
+    x = files.where("path is not null").groupBy(folder).agg(F.sort_array(F.collect_list(F.struct("path", size.alias("size")))).alias("l"))
+    i = infos.where("name is not null").groupBy(folder).agg(F.min_by(F.struct("name", size.alias("size")), F.struct(-size, "name")).alias("i"))
+    part = lambda kind, name, n: F.concat(F.lit(f"\0{kind}:"), name, F.lit("|"), n.cast("string"))
+    audio = F.array_join(F.transform("l", lambda f: part("a", f["path"], f["size"])), "")
+    body = F.concat(F.element_at(F.split(folder, "/"), -1), audio, F.coalesce(part("i", F.col("i.name"), F.col("i.size")), F.lit("")))
+    return x.join(i, folder, "left").select(folder, F.sha1(body).alias("fingerprint"))
 
 
 def audio_signature(prints: DataFrame) -> DataFrame:
-    """``print_id, signature``: SHA-1 over `name|fingerprint` of the tracks in the order of their names; null without tracks."""
-    t = F.array_sort(F.transform("tracks", lambda x: F.concat_ws("|", F.element_at(F.split(x["path"], "/"), -1), F.array_join(F.transform(x["fp"], lambda w: w.cast("string")), ","))))
-    return prints.select("print_id", F.when(F.size("tracks") > 0, F.sha1(F.array_join(t, "\n"))).alias("signature"))
+    """``print_id, signature``: SHA-1 over `name|fingerprint` and a zero byte of each track by its file name, ties in the order
+    given; null without tracks. A fingerprint's words are written with commas between them."""
+    named = F.transform("tracks", lambda x, i: F.struct(F.element_at(F.split(x["path"], "/"), -1).alias("name"), i.alias("i"), F.array_join(F.transform(x["fp"], lambda w: w.cast("string")), ",").alias("fp")))
+    t = F.transform(F.array_sort(named), lambda x: F.concat(x["name"], F.lit("|"), x["fp"], F.lit("\0")))
+    return prints.select("print_id", F.when(F.size("tracks") > 0, F.sha1(F.array_join(t, ""))).alias("signature"))
 
 
 def totals(prints: DataFrame) -> DataFrame:
@@ -107,8 +117,3 @@ def totals(prints: DataFrame) -> DataFrame:
 def cache_misses(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     """Files whose (path, mtime, size) the cache doesn't hold: those to fingerprint."""
     return wanted.join(cache, ["path", "mtime", "size"], "left_anti")
-
-
-def first_per(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The first row per key by a total order."""
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_r = 1").drop("_r")

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import has_date_shape
-from ..functions.text import extension, path_name
-from .setlist import disc_of_name
+from ..functions.lines import CHECKSUM_LINE
+from ..functions.text import extension, path_name, strip
+from .setlist import LINE_BREAK, disc_of_name
 
 #: Fixed values.
 AUDIO = (".flac", ".mp3", ".m4a", ".ogg", ".opus", ".wav", ".aif", ".aiff")
@@ -30,10 +31,11 @@ def file_kind(name: Column) -> Column:
 
 
 def checksum_body(body: Column, size: Column) -> Column:
-    """True if a small text is a checksum list: of its first lines, comments aside, three and at least 60 % look so."""
-    ls = F.filter(F.transform(F.split(F.substring(body, 1, 4096), r"\r?\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#") & ~x.startswith(";"))
-    hits = F.size(F.filter(ls, lambda x: x.rlike(r"(?i)\b[0-9a-f]{32}\b|\b[0-9a-f]{40}\b|\b[0-9a-f]{64}\b|:[0-9a-f]{32}$|\s[0-9a-f]{8}$")))
-    return F.coalesce((size > 0) & (size <= 16384) & (hits >= 3) & (hits * 10 >= F.size(ls) * 6), F.lit(False))
+    """True if a small text is a checksum list: of the lines in its first 4096 characters, comments aside, there are three and
+    at least 60 % are a hash with a file or a file with a hash."""
+    ls = F.filter(F.transform(F.split(F.substring(body, 1, 4096), LINE_BREAK), strip), lambda x: (x != "") & ~x.startswith("#") & ~x.startswith(";"))
+    hits = F.size(F.filter(ls, lambda x: x.rlike(CHECKSUM_LINE)))
+    return F.coalesce((size > 0) & (size <= 16384) & (F.size(ls) >= 3) & (hits * 10 >= F.size(ls) * 6), F.lit(False))
 
 
 def is_wrapper(outer: Column, inner: Column) -> Column:

@@ -76,7 +76,7 @@ def match(names: DataFrame, lexicon: DataFrame, min_count: int = MIN_COUNT, fuzz
         rest = rest.join(near.select("name"), "name", "left_anti")
     ws = F.split("key", " ")
     grams = F.flatten(F.transform(F.sequence(F.lit(1), F.size(ws)), lambda i: F.transform(F.sequence(i, F.size(ws)), lambda j: F.array_join(F.slice(ws, i, j - i + 1), " "))))
-    held = rest.where(~F.col("name").rlike(TRIBUTE)).select("name", F.col("key").alias("whole"), F.explode(F.array_distinct(grams)).alias("key")).where((F.length("key") >= SHORTEST) & (F.length("key") < F.length("whole")))
+    held = rest.where(~F.col("key").rlike(TRIBUTE)).select("name", F.col("key").alias("whole"), F.explode(F.array_distinct(grams)).alias("key")).where((F.length("key") >= SHORTEST) & (F.length("key") < F.length("whole")))
     hit = held.join(lex.where(F.col("cnt") >= min_count), "key").groupBy("name").agg(F.max_by("match", F.struct(F.length("key"), "cnt", "key")).alias("match"))
     return out.unionAll(hit.select("name", "match", F.lit("contained").alias("how")))
 

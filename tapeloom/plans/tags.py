@@ -16,7 +16,7 @@ def paired(tracks: DataFrame, files: DataFrame, key: str = "show", by: tuple[str
     """
     t = tracks.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(*by)))
     t = t.withColumn("track_total", F.count(F.lit(1)).over(Window.partitionBy(key, "disc")).cast("int"))
-    f = files.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy("path")))
+    f = files.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(*file_by)))
     j = t.join(f, [key, "k"])
     disc = F.when(F.col("disc").isNotNull(), F.concat_ws("/", F.col("disc").cast("string"), F.col("disc_total").cast("string")))
     return j.select(key, F.col("k").alias("place"), "path", "title", "number", "disc", "disc_total", "track_total", F.format_string("%02d", "number").alias("track_text"), disc.alias("disc_text"))

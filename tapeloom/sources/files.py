@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA_VERSION = 1
+#: Names of notes, and of text files that are none.
+NOTES_NAME = r"(?i)info|notes?|readme|setlist"
+NO_NOTES = r"(?i)(?:ffp|md5|sha1|checksum|spectral|spek)\.txt$"
 TRACK = "struct<number:int,title:string,disc:int,disc_total:int>"
 SHOW = f"folder string, artist string, date string, venue string, city string, region string, source struct<kind:string,mics:array<string>,taper:string>, tracks array<{TRACK}>, audio_files array<string>, issues array<string>"
 ENTRY = "struct<scanned_at:string,fingerprint:string,folder_mtime:double,audio_signature:string,tagging:struct<mode:string,applied_at:string,applied:int,failed:int,skipped:int,copy_to:string>>"
@@ -102,6 +105,8 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def best_notes(files: DataFrame, key: str = "identifier") -> DataFrame:
-    """The notes file of each record: named info first, then the largest, then by name."""
-    first = F.when(F.lower("name").rlike(r"info"), 0).otherwise(1)
-    return files.groupBy(key).agg(F.min_by("name", F.struct(first, -F.col("size"), "name")).alias("name"))
+    """The notes file of each record: of its text files one named like notes first, then the largest, then by name. Checksum
+    and spectrum files, and names that begin with an underscore, are none."""
+    text = F.col("name").rlike(r"\.txt$") & ~F.col("name").startswith("_") & ~F.col("name").rlike(NO_NOTES)
+    first = F.when(F.col("name").rlike(NOTES_NAME), 0).otherwise(1)
+    return files.where(text).groupBy(key).agg(F.min_by("name", F.struct(first, -F.col("size"), "name")).alias("name"))

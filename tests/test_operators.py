@@ -3,12 +3,14 @@
 import difflib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tapeloom.functions import artists, source
 from tapeloom.functions.text import normalize_name
 from tapeloom.operators import assemble, dedupe, discover, history, lexicon, notes, setlist
 from tapeloom.operators.graph import connected_components
+from tapeloom.streaming import upsert
 from tapeloom.streaming.upsert import run_upserts
 
 
@@ -88,25 +90,40 @@ def test_base64_similarity(spark):
     assert abs(got[0] - (1 - 1 / 96)) < 1e-9 and got[1:] == [0.0, 0.0, 0.0]
 
 
-def test_scan_lines():
-    s = setlist.scan_lines
-    assert s("Setlist:\nFoo Bar\nBaz Qux") == [(None, "Foo Bar"), (None, "Baz Qux")]
-    assert s("AC/DC\nOne Two\nThree Four\nFive Six\nSeven Eight") == [(None, x) for x in ("One Two", "Three Four", "Five Six", "Seven Eight")]
-    assert s("Disc 1\nAlpha Song\nEncore\nBeta Song") == [(1, "Alpha Song"), (2, "Beta Song")]
-    assert s("Recorded by someone\nhttp://x") == []
+def _setlists(spark, bodies):
+    got = {r.doc: [(x.disc, x.title) for x in r.raw] for r in setlist.setlist(spark.createDataFrame(list(enumerate(bodies)), "doc int, body string")).collect()}
+    return [got[i] for i in range(len(bodies))]
 
 
-def test_setlist_native_equals_scan(spark):
-    rng = random.Random(11)
-    docs = []
-    for i in range(60):
-        ls = [rng.choice(["Disc 1", "Disc Two", "Encore", "Set 2", "", "A1 Side song", "late show", "5. md5 x"]) if rng.random() < 0.3 else f"{k:02d}. Song {rng.randrange(99)} x  3:2{rng.randrange(9)}" for k in range(rng.randint(4, 12))]
-        docs.append((i, "\n".join(ls)))
-    got = {r.doc: [(x.disc, x.title) for x in r.raw] for r in setlist.setlist(spark.createDataFrame(docs, "doc int, body string")).collect()}
-    for i, b in docs:
-        want = setlist.scan_lines(b)
-        if len(want) >= 3:
-            assert got[i] == want, b
+RUN = "One Two\nThree Four\nFive Six\nSeven Eight"
+
+
+def test_unnumbered_setlists(spark):
+    titles = [(None, x) for x in ("One Two", "Three Four", "Five Six", "Seven Eight")]
+    cases = {
+        "Setlist:\nFoo Bar\nBaz Qux": [(None, "Foo Bar"), (None, "Baz Qux")],
+        f"AC/DC\n{RUN}": titles,  # a heading of one word before four titles makes five lines
+        f"The Band\n{RUN}": [(None, "The Band"), *titles],
+        RUN: [],  # four lines are no list
+        f"The Band\n\n{RUN}\nthis is a note\nNine Ten": [(None, "The Band"), *titles, (None, "Nine Ten")],
+        f"Lost One\nthis is a note\n\nThe Band\n{RUN}": [(None, "The Band"), *titles],
+        f"The Band\nOne Two\nthis is a note\n{RUN}": [],
+        "Disc 1\nAlpha Song\nEncore\nBeta Song": [(1, "Alpha Song"), (2, "Beta Song")],
+        f"The Band\nOne Two\nSetlist\n{RUN}": titles,  # the header comes before the run is complete
+        "Setlist\nTrack 01 - Foo Bar  3:45\nA1 Side Song\nBaz Qux Quux 10:01": [(None, "Foo Bar"), (1, "Side Song"), (1, "Baz Qux Quux")],
+        "Recorded by someone\nhttp://x": [], "": [], None: [],
+    }
+    assert dict(zip(cases, _setlists(spark, list(cases)))) == cases
+
+
+def test_numbered_setlists(spark):
+    cases = {
+        "01. One\n02. Two\n03. Three": [(None, "One"), (None, "Two"), (None, "Three")],
+        "Disc Two\n1 One 3:21\n5. md5 x\nSet 3\n2) Two\nEncore\n3: Three\n4 - Four\nDisc 1\n5_Five": [(2, "One"), (3, "Two"), (4, "Three"), (4, "Four"), (1, "Five")],
+        "A1 One\nA2 Two\nB1 Three\n04. Four": [(1, "One"), (1, "Two"), (2, "Three"), (2, "Four")],
+        "late show\n01. One\n02. 0123456789abcdef0 x\n03. Three\nearly show\n04. Four": [(2, "One"), (2, "Three"), (1, "Four")],
+    }
+    assert dict(zip(cases, _setlists(spark, list(cases)))) == cases
 
 
 def test_notes_and_assembly(spark):
@@ -139,7 +156,23 @@ def test_history_and_stream(spark, tmp_path):
     new.write.json(str(src / "2"))
     q = run_upserts(spark.readStream.schema(known.schema).json(str(src / "*")), str(tmp_path / "t"), str(tmp_path / "ck"))
     q.awaitTermination()
-    assert {r.folder for r in spark.read.parquet(str(tmp_path / "t")).collect()} <= {"a", "b", "c"}
+    assert {r.folder: tuple(r)[1:] for r in upsert.read_state(spark, str(tmp_path / "t")).collect()} == out
+
+
+def test_upsert_survives_a_crash(spark, tmp_path, monkeypatch):
+    target = str(tmp_path / "t")
+    df = lambda *rows: spark.createDataFrame(list(rows), "folder string, mtime double, fingerprint string, signature string")
+    state = lambda: {r.folder: r.mtime for r in upsert.read_state(spark, target).collect()}
+    upsert.apply_batch(df(("a", 1.0, "x", None), ("b", 1.0, "x", None)), "v0", target)
+    second = df(("b", 2.0, "y", None), ("c", 2.0, "y", None))
+    with monkeypatch.context() as m:
+        m.setattr(upsert, "switch", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError):
+            upsert.apply_batch(second, "v1", target)
+    assert state() == {"a": 1.0, "b": 1.0}  # the new version was written, but nothing points to it
+    for _ in range(2):  # the batch runs again, and once more after the switch
+        upsert.apply_batch(second, "v1", target)
+        assert state() == {"a": 1.0, "b": 2.0, "c": 2.0}
 
 
 def test_keepers(spark):
@@ -153,3 +186,7 @@ def test_candidates_and_prefixes(spark):
     assert r[0][:2] == ["06 Bob Dylan-Highlights 1987 (x)", "Bob Dylan-Highlights 1987 (x)"] and r[1].mics == ["AKG 414"]
     t = spark.createDataFrame([(b"x",)], "b binary").select(discover.checksum_body(F.lit("d41d8cd98f00b204e9800998ecf8427e *a\nd41d8cd98f00b204e9800998ecf8427e *b\nd41d8cd98f00b204e9800998ecf8427e *c"), F.lit(120))).first()
     assert t[0]
+    h = "d41d8cd98f00b204"
+    sums = {f"{h}  a b.flac\n# c\n\n{h} *b\n{h} c": True, f"a.flac:{h}\nb.shn:{h}\nc.mp3:{h}": True, "one 19770508\ntwo 19770508\nthree 19770508": False, f"{h} a\n{h} b": False, f"{h} a\n{h} b\nx\ny": False}
+    got = spark.createDataFrame([(b,) for b in sums], "b string").select("b", discover.checksum_body(F.col("b"), F.lit(100)).alias("ok")).collect()
+    assert {r.b: r.ok for r in got} == sums

@@ -39,5 +39,6 @@ def test_read_notes(spark, tmp_path):
     (tmp_path / "n").mkdir()
     (tmp_path / "n" / "a.txt").write_bytes(b"caf\xe9")
     assert [r.body for r in files.read_notes(spark, str(tmp_path / "n")).collect()] == ["café"]
-    f = spark.createDataFrame([("i", "x.txt", 9), ("i", "my info.txt", 1), ("j", "b", 2), ("j", "a", 2)], "identifier string, name string, size int")
-    assert {r.identifier: r.name for r in files.best_notes(f).collect()} == {"i": "my info.txt", "j": "a"}
+    names = [("i", "x.txt", 9), ("i", "my info.txt", 1), ("j", "b.txt", 2), ("j", "a.txt", 2), ("k", "_info.txt", 9), ("k", "x ffp.txt", 8), ("k", "md5.TXT", 8), ("k", "README.txt", 1), ("k", "y.txt", 7), ("l", "notes.doc", 1)]
+    f = spark.createDataFrame(names, "identifier string, name string, size int")
+    assert {r.identifier: r.name for r in files.best_notes(f).collect()} == {"i": "my info.txt", "j": "a.txt", "k": "README.txt"}
