@@ -5,8 +5,9 @@ from shortened word to entries. A typed value's words are shortened likewise and
 weighted Damerau-Levenshtein cost of all words (slips of neighbouring keys, vowels and doubled letters cost less), then
 by how often the entry's own spelling occurs. No entry within the cost allowed: the value is reported as unmatched.
 
-The dictionary is broadcast while the reference list is proven small (``MAX_REFERENCE`` entries, counted first);
-`found` refuses a larger list. `resolve_large` looks one up by an equi-join on the shortened words, but ranks ties by id only.
+While the reference list is proven small (``MAX_REFERENCE`` entries, counted first), the dictionary is built once and
+broadcast. Beyond that, values and entries meet in an equi-join on their shortened words, and the entries that a value met
+are ranked with a dictionary of their own: the same entries in the same order, whatever the list's size.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from ..session import broadcast_if_small, cut, spread
 from .names import PLACE_SHORT, Name, edits, fold, is_filler, same_word, slack, sound, words
 
-#: Reference entries whose dictionary is broadcast; each takes up to about 200 shortened words of its few words.
-MAX_REFERENCE = 20_000
+#: Reference entries whose dictionary is broadcast: about 1,000 shortened words of some 40 bytes each, so 80 MB at most.
+MAX_REFERENCE = 2_000
 DELETES = 3
 #: Longer words are no names: they are looked up whole.
 LONGEST = 48
@@ -89,7 +90,8 @@ class Lookup:
         self.kind, self.freq = kind, frequency or {}
         self.entries: dict[int, tuple] = {}
         self.by: dict[str, set[int]] = {}
-        self.memo: dict[tuple, list] = {}
+        self.memo: dict[str, list] = {}
+        self.given = {i: (text, place) for i, text, place in entries}
         for i, text, place in entries:
             if text is None or is_filler(text):
                 continue
@@ -178,6 +180,18 @@ class Lookup:
                 best += 0.3
         return best
 
+    def tries(self, value: str) -> list[str]:
+        """The readings of a value: what follows a city's comma or stands in brackets is the region, unless nothing is found."""
+        head = re.split(r"[,(\[/]| - ", value)[0].strip() if self.kind == "city" else ""
+        return [value, head] if head and head != value else [value]
+
+    def asked(self, text: str, key: tuple, extra: tuple, k: int) -> set[str]:
+        """The words that a value is looked up by at k letters left out."""
+        out = {*key, "".join(key)}
+        if self.kind == "city" and k >= 2:
+            out |= {"".join([*key, *extra]), "".join(w for w, _ in words(fold(text)))}
+        return out
+
     def find(self, value: str | None) -> list[tuple[float, int]]:
         """(cost, entry) of all entries within the cost allowed, best first."""
         got = self.memo.get(value)
@@ -185,21 +199,14 @@ class Lookup:
             return got
         out: list[tuple[float, int]] = []
         if not is_filler(value):
-            tries = [value]
-            if self.kind == "city":  # what follows a comma or stands in brackets is the region, unless nothing is found
-                head = re.split(r"[,(\[/]| - ", value)[0].strip()
-                tries = [value, head] if head and head != value else [value]
-            for t in tries:
+            for t in self.tries(value):
                 key, extra = self.read(t)
                 if not key:
                     continue
                 most = 3.0 if len("".join(key)) > 7 else 2.2
                 seen: set[int] = set()
                 for k in range(DELETES + 1):  # near entries first: one within k edits ends the search if no farther one can beat it
-                    asked = {*key, "".join(key)}
-                    if self.kind == "city" and k >= 2:
-                        asked |= {"".join([*key, *extra]), "".join(w for w, _ in words(fold(t)))}
-                    for i in self.ids(asked, k) - seen:
+                    for i in self.ids(self.asked(t, key, extra, k), k) - seen:
                         seen.add(i)
                         c = self.cost(t, key, extra, i)
                         if c <= most:
@@ -228,109 +235,119 @@ def near_text(region: str | None, place: str | None) -> bool:
     return bool(region and place) and (fold(region) == fold(place))
 
 
-def resolve(rows: DataFrame, venues: list[tuple], cities: list[tuple], freq: tuple[dict, dict] = ({}, {})) -> DataFrame:
-    """``table_name, row_id, field_name, value, ref_id, cost`` for rows of ``table_name, row_id, venue, city, region``.
+HITS = "array<struct<cost:double,id:bigint,text:string,place:string>>"
+#: Entries that cost so much more than the best one may still be meant, if their names are the same.
+TIE = 0.31
 
-    Blank values give no row; fillers and misses give -1. Of cities that cost the same, the one in the row's region is
-    meant, else the one that the value itself tells, else the one where the row's venue stands, else the more frequent,
-    else the lower id. Each distinct string (with its region) is looked up once; rows join the answers, which are
-    broadcast only when counted small.
-    """
-    shared = rows.sparkSession.sparkContext.broadcast((venues, cities, freq))
-    blank = lambda c: F.coalesce(F.regexp_replace(c, r"(?U)\s", "") == "", F.lit(True))
-    region = F.coalesce("region", F.lit(""))
 
-    def ask_venues(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vs, cs, fr = shared.value
-        names, where = {i: n for i, n, _ in cs}, {i: c for i, _, c in vs}
-        venue = Lookup([(i, n, names.get(c)) for i, n, c in vs], "venue", fr[0])
-        for df in batches:
-            got = [venue.find(v) for v in df.venue]
-            yield pd.DataFrame({"venue": df.venue, "ref_id": [g[0][1] if g else -1 for g in got], "at": pd.array([where.get(g[0][1]) if g else None for g in got], dtype="Int64"), "cost": [g[0][0] if g else None for g in got]})
+def _hits(look: Lookup, value: str) -> list[dict]:
+    got = look.find(value)
+    return [{"cost": c, "id": i, "text": look.given[i][0], "place": look.given[i][1]} for c, i in got if c <= got[0][0] + TIE]
 
-    def ask_cities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _, cs, fr = shared.value
-        name, region_of = {i: n for i, n, _ in cs}, {i: r for i, _, r in cs}
-        city = Lookup(cs, "city", fr[1])
-        for df in batches:
-            out = []
-            for c, region in zip(df.city, df.region):
-                got = city.find(c)
-                best: list[int] = []
-                if got:
-                    first = fold(name[got[0][1]])
-                    best = [i for k, i in got if k <= got[0][0] + 0.31 and fold(name[i]) == first]
-                    if len(best) > 1:
-                        by_region = [i for i in best if near_text(region, region_of[i])]
-                        named = [i for i in best if region_of[i] and re.search(rf"\b{re.escape(fold(region_of[i]))}\b", fold(c))]
-                        best = by_region or named or best
-                out.append((c, region, best, got[0][0] if got else None))
-            yield pd.DataFrame(out, columns=["city", "region", "ids", "cost"])
 
-    v_rows = rows.where(~blank("venue")).select("table_name", "row_id", "venue")
-    c_rows = rows.where(~blank("city")).select("table_name", "row_id", "venue", "city", region.alias("region"))
-    v_ask = cut(spread(v_rows.select("venue").distinct()).mapInPandas(ask_venues, "venue string, ref_id bigint, at bigint, cost double"))
-    c_ask = cut(spread(c_rows.select("city", "region").distinct()).mapInPandas(ask_cities, "city string, region string, ids array<bigint>, cost double"))
-    of_venue = v_rows.join(broadcast_if_small(v_ask), "venue").select("table_name", "row_id", F.lit("venue").alias("field_name"), F.col("venue").alias("value"), "ref_id", "cost")
-    met = c_rows.join(broadcast_if_small(c_ask), ["city", "region"])
-    clear = met.where(F.size("ids") <= 1).select("table_name", "row_id", F.col("city").alias("value"), F.coalesce(F.try_element_at("ids", F.lit(1)), F.lit(-1)).alias("ref_id"), "cost")
-    tied = met.where(F.size("ids") > 1).join(broadcast_if_small(v_ask.select("venue", "at")), "venue", "left")
-    tied = tied.select("table_name", "row_id", F.col("city").alias("value"), F.when(F.array_contains("ids", F.col("at")), F.col("at")).otherwise(F.element_at("ids", 1)).alias("ref_id"), "cost")
-    of_city = clear.unionAll(tied).select("table_name", "row_id", F.lit("city").alias("field_name"), "value", "ref_id", "cost")
-    return of_venue.unionAll(of_city)
+def answers(values: DataFrame, ref: DataFrame, kind: str, most: int = MAX_REFERENCE) -> DataFrame:
+    """``value, hits`` of the distinct strings `value`: the best entries of ``ref(ref_id, text, place, freq)``, best first.
 
+    `ref` may have any size: at most `most` entries are a broadcast dictionary, more are joined."""
+    entries = ref.where("ref_id is not null and text is not null").select("ref_id", "text", "place", "freq").groupBy("ref_id").agg(F.min(F.struct("text", "place", "freq")).alias("e")).select("ref_id", "e.*")
+    entries = cut(entries)
+    got = entries.limit(most + 1).collect()
+    vals = values.select("value").where("value is not null").distinct()
+    if len(got) <= most:
+        got.sort()
+        shared = values.sparkSession.sparkContext.broadcast(Lookup([(i, t, p) for i, t, p, _ in got], kind, {i: n or 0 for i, _, _, n in got}))
 
-def reference(ref: DataFrame, *cols: str) -> list[tuple]:
-    """The list's rows, after counting that they may be broadcast."""
-    got = ref.select(*cols).limit(MAX_REFERENCE + 1).collect()
-    if len(got) > MAX_REFERENCE:
-        raise ValueError("too many entries to broadcast: use resolve_large()")
-    return sorted(tuple(r) for r in got if r[0] is not None)
+        def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            look = shared.value
+            for df in batches:
+                yield pd.DataFrame({"value": df.value, "hits": [_hits(look, v) for v in df.value]})
 
+        return spread(vals).mapInPandas(ask, f"value string, hits {HITS}")
 
-def resolve_large(values: DataFrame, ref: DataFrame, kind: str) -> DataFrame:
-    """``value, ref_id, cost`` of the distinct strings ``value`` against ``ref(ref_id, text, place)`` of any size.
+    def of_value(reader: Lookup, t: str) -> set[str]:
+        read = [(x, *reader.read(x)) for x in ([] if is_filler(t) else reader.tries(t))]
+        return {w for x, key, extra in read if key for w in reader.asked(x, key, extra, DELETES)}
 
-    Both sides' shortened words meet in an equi-join; each task ranks a value's candidates with their own small dictionary.
-    """
+    def of_entry(reader: Lookup, t: str) -> set[str]:
+        key, extra = reader.read(t) if not is_filler(t) else ((), ())
+        return reader.spellings(t, key, extra) if key else set()
 
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Lookup([], kind)
-        for df in batches:
-            out = []
-            for t in df.text:
-                key, extra = reader.read(t) if not is_filler(t) else ((), ())
-                ws = (reader.spellings(t, key, extra) | {"".join([*key, *extra])}) - {""} if key else set()
-                out.extend((t, s) for s in set().union(*(shortened(w, DELETES) for w in ws)) if s)
-            yield pd.DataFrame(out, columns=["text", "key"])
-
-    v = values.select(F.col("value").alias("text")).where("text is not null").distinct()
-    left = v.mapInPandas(keys, "text string, key string").select(F.col("text").alias("value"), "key")
-    right = ref.select("text").where("text is not null").distinct().mapInPandas(keys, "text string, key string")
-    pairs = left.join(right, "key").select("value", "text").distinct().join(ref, "text")
+    def keys(of):  # noqa: ANN001, ANN202
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            reader = Lookup([], kind)
+            for df in batches:
+                out = [(t, s) for t in df.text for s in set().union(*(shortened(w, DELETES) for w in of(reader, t))) if s]
+                yield pd.DataFrame(out, columns=["text", "key"])
+
+        return run
+
+    left = spread(vals.select(F.col("value").alias("text"))).mapInPandas(keys(of_value), "text string, key string").select(F.col("text").alias("value"), "key")
+    right = spread(entries.select("text").distinct()).mapInPandas(keys(of_entry), "text string, key string")
+    met = left.join(right, "key").select("value", "text").distinct().join(entries, "text")
+    # a value's entries: those within a few letters of it, however many rows hold the value
+    met = met.groupBy("value").agg(F.sort_array(F.collect_list(F.struct("ref_id", "text", "place", "freq"))).alias("es"))
 
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            out = []
-            for value, text, i, place in zip(df.value, df.text, df.ref_id, df.place):
-                got = Lookup([(i, text, place)], kind).find(value)
-                if got:
-                    out.append((value, i, got[0][0]))
-            yield pd.DataFrame(out, columns=["value", "ref_id", "cost"])
+            found = [_hits(Lookup([(e["ref_id"], e["text"], e["place"]) for e in es], kind, {e["ref_id"]: e["freq"] or 0 for e in es}), v) for v, es in zip(df.value, df.es)]
+            yield pd.DataFrame({"value": df.value, "hits": found})
+
+    ranked = met.mapInPandas(rank, f"value string, hits {HITS}")
+    return vals.join(ranked, "value", "left").select("value", F.coalesce("hits", F.array().cast(HITS)).alias("hits"))
+
+
+def resolve(rows: DataFrame, venue_ref: DataFrame, city_ref: DataFrame, most: int = MAX_REFERENCE) -> DataFrame:
+    """``table_name, row_id, field_name, value, ref_id, cost`` for rows of ``table_name, row_id, venue, city, region``.
 
-    best = pairs.mapInPandas(rank, "value string, ref_id bigint, cost double").groupBy("value").agg(F.min(F.struct("cost", "ref_id")).alias("b"))
-    return v.select(F.col("text").alias("value")).join(best, "value", "left").select("value", F.coalesce("b.ref_id", F.lit(-1)).alias("ref_id"), F.col("b.cost").alias("cost"))
+    `venue_ref(venue_id, venue, city_id)`, `city_ref(city_id, city, region)`. Blank values give no row; fillers and misses give
+    -1. Of cities that cost the same, the one in the row's region is meant, else the one that the value itself tells, else
+    the one where the row's venue stands, else the more frequent, else the lower id. Each distinct string is looked up once;
+    rows join the answers, which are broadcast only when counted small.
+    """
+    blank = lambda c: F.coalesce(F.regexp_replace(c, r"(?U)\s", "") == "", F.lit(True))
+    v_rows = rows.where(~blank("venue")).select("table_name", "row_id", "venue")
+    c_rows = rows.where(~blank("city")).select("table_name", "row_id", "venue", "city", F.coalesce("region", F.lit("")).alias("region"))
+
+    def with_freq(ref: DataFrame, text: str, used: DataFrame) -> DataFrame:
+        """How often each entry's own spelling occurs."""
+        own = broadcast_if_small(ref.select(F.col(text).alias("value")).where("value is not null").distinct())
+        n = used.join(own, "value").groupBy("value").agg(F.count(F.lit(1)).alias("freq"))
+        return ref.join(broadcast_if_small(n), ref[text] == n["value"], "left").drop("value")
+
+    vr = with_freq(venue_ref.select("venue_id", "venue", "city_id"), "venue", v_rows.select(F.col("venue").alias("value")))
+    cr = with_freq(city_ref.select("city_id", "city", "region"), "city", c_rows.select(F.col("city").alias("value")))
+    v_ask = cut(answers(v_rows.select(F.col("venue").alias("value")), vr.select(F.col("venue_id").alias("ref_id"), F.col("venue").alias("text"), F.lit(None).cast("string").alias("place"), "freq"), "venue", most))
+    c_ask = cut(answers(c_rows.select(F.col("city").alias("value")), cr.select(F.col("city_id").alias("ref_id"), F.col("city").alias("text"), F.col("region").alias("place"), "freq"), "city", most))
+
+    first = F.try_element_at("hits", F.lit(1))
+    at = venue_ref.where("venue_id is not null").groupBy(F.col("venue_id").alias("ref_id")).agg(F.min("city_id").alias("at"))
+    v_ask = v_ask.select(F.col("value").alias("venue"), F.coalesce(first["id"], F.lit(-1)).alias("ref_id"), first["cost"].alias("cost"))
+    v_ask = v_ask.join(broadcast_if_small(at), "ref_id", "left")
+    of_venue = v_rows.join(broadcast_if_small(v_ask.select("venue", "ref_id", "cost")), "venue").select("table_name", "row_id", F.lit("venue").alias("field_name"), F.col("venue").alias("value"), "ref_id", "cost")
+
+    @F.pandas_udf("array<bigint>")
+    def meant(city: pd.Series, region: pd.Series, hits: pd.Series) -> pd.Series:
+        out = []
+        for c, r, hs in zip(city, region, hits):
+            same = [h for h in hs if fold(h["text"]) == fold(hs[0]["text"])]
+            if len(same) > 1:
+                by_region = [h for h in same if near_text(r, h["place"])]
+                named = [h for h in same if h["place"] and re.search(rf"\b{re.escape(fold(h['place']))}\b", fold(c))]
+                same = by_region or named or same
+            out.append([h["id"] for h in same])
+        return pd.Series(out)
+
+    met = c_rows.join(broadcast_if_small(c_ask.withColumnRenamed("value", "city")), "city").withColumn("cost", first["cost"])
+    clear = met.where(F.size("hits") <= 1).select("table_name", "row_id", F.col("city").alias("value"), F.coalesce(first["id"], F.lit(-1)).alias("ref_id"), "cost")
+    tied = met.where(F.size("hits") > 1).withColumn("ids", meant("city", "region", "hits")).join(broadcast_if_small(v_ask.where("at is not null").select("venue", "at")), "venue", "left")
+    tied = tied.select("table_name", "row_id", F.col("city").alias("value"), F.when(F.array_contains("ids", F.col("at")), F.col("at")).otherwise(F.element_at("ids", 1)).alias("ref_id"), "cost")
+    of_city = clear.unionAll(tied).select("table_name", "row_id", F.lit("city").alias("field_name"), "value", "ref_id", "cost")
+    return of_venue.unionAll(of_city)
 
 
-def found(concerts: DataFrame, lexicon: DataFrame, starter: DataFrame, venue_ref: DataFrame, city_ref: DataFrame) -> DataFrame:
+def found(concerts: DataFrame, lexicon: DataFrame, starter: DataFrame, venue_ref: DataFrame, city_ref: DataFrame, most: int = MAX_REFERENCE) -> DataFrame:
     """``table_name, row_id, field_name, ref_id``: each non-blank venue and city with its entry, -1 if none."""
-    vs, cs = reference(venue_ref, "venue_id", "venue", "city_id"), reference(city_ref, "city_id", "city", "region")
     rows = concerts.select(F.lit("concerts").alias("table_name"), F.col("concert_id").alias("row_id"), "venue", "city", "region")
     for t, df in (("lexicon", lexicon), ("starter_lexicon", starter)):
         rows = rows.unionAll(df.where("kind = 'venue'").select(F.lit(t), F.col("entry_id"), "name", F.lit(None).cast("string"), F.lit(None).cast("string")))
-    # how often each entry's own spelling occurs: at most as many rows as the lists have
-    spelled = rows.select(F.explode(F.array(F.struct(F.lit("v").alias("k"), F.col("venue").alias("s")), F.struct(F.lit("c").alias("k"), F.col("city").alias("s")))).alias("x")).select("x.k", "x.s")
-    own = rows.sparkSession.createDataFrame([("v", n) for _, n, _ in vs if n] + [("c", n) for _, n, _ in cs if n] or [("v", "")], "k string, s string").distinct()
-    n = {(r.k, r.s): r.n for r in spelled.join(F.broadcast(own), ["k", "s"]).groupBy("k", "s").agg(F.count(F.lit(1)).alias("n")).collect()}
-    freq = ({i: n.get(("v", t), 0) for i, t, _ in vs}, {i: n.get(("c", t), 0) for i, t, _ in cs})
-    return resolve(rows, vs, cs, freq).select("table_name", "row_id", "field_name", "ref_id")
+    return resolve(rows, venue_ref, city_ref, most).select("table_name", "row_id", "field_name", "ref_id")

@@ -118,9 +118,17 @@ def test_canonical(spark):
         ("concerts", 5, "Stodurohot Pavilio", "Biwuwestu", None), ("concerts", 6, "Festival Grounds Stodurohot", "SAO TREZULOSUR", "Portugal"), ("concerts", 7, "z" * 20000, "Nowhere at all", "MA"), ("concerts", 1, "Befetusus Mem. Aud.", "Bowuewstu", "IL"),
     ]
     df = spark.createDataFrame(rows, "table_name string, row_id bigint, venue string, city string, region string")
-    got = sorted((r.row_id, r.field_name, r.ref_id) for r in canonical.resolve(df, REF_V, REF_C).collect())
-    assert got == sorted([(1, "venue", 1), (1, "city", 11), (1, "venue", 1), (1, "city", 11), (2, "venue", -1), (2, "city", 12), (4, "venue", -1), (4, "city", 10), (5, "venue", 2), (5, "city", 11), (6, "venue", 3), (6, "city", 13), (7, "venue", -1), (7, "city", -1)])
-    assert canonical.resolve(df.limit(0), REF_V, REF_C).count() == 0 and canonical.resolve(df, [], []).where("ref_id != -1").count() == 0
+    venues, cities = spark.createDataFrame([(*r, "x") for r in REF_V], "venue_id bigint, venue string, city_id bigint, value string"), spark.createDataFrame([(*r, "x") for r in REF_C], "city_id bigint, city string, region string, value string")
+    want = sorted([(1, "venue", 1), (1, "city", 11), (1, "venue", 1), (1, "city", 11), (2, "venue", -1), (2, "city", 12), (4, "venue", -1), (4, "city", 10), (5, "venue", 2), (5, "city", 11), (6, "venue", 3), (6, "city", 13), (7, "venue", -1), (7, "city", -1)])
+    for most in (canonical.MAX_REFERENCE, 0):  # the broadcast dictionary and the join give the same
+        assert sorted((r.row_id, r.field_name, r.ref_id) for r in canonical.resolve(df, venues, cities, most).collect()) == want
+    assert canonical.resolve(df.limit(0), venues, cities).count() == 0 and canonical.resolve(df, venues.limit(0), cities.limit(0)).where("ref_id != -1").count() == 0
+
+
+def _best(spark, vals, ref, kind, most):
+    df = spark.createDataFrame([(*r, None) for r in ref], "ref_id bigint, text string, place string, freq bigint")
+    got = canonical.answers(spark.createDataFrame([(v,) for v in vals], "value string"), df, kind, most).collect()
+    return {r.value: r.hits[0].id if r.hits else -1 for r in got}
 
 
 def test_dictionary_finds_what_brute_force_finds(spark):
@@ -139,8 +147,8 @@ def test_dictionary_finds_what_brute_force_finds(spark):
         want = min(((look.cost(v, key, extra, i), i) for i in look.entries), default=None)
         got = look.find(v)
         assert (got[0] if got else None) == ((round(want[0], 3), want[1]) if want[0] <= (3.0 if len("".join(key)) > 7 else 2.2) else None)
-    big = canonical.resolve_large(spark.createDataFrame([(v,) for v in [*vals, None, "nothing"]], "value string"), spark.createDataFrame(ref, "ref_id bigint, text string, place string"), "venue")
-    assert {r.value: r.ref_id for r in big.collect()} == {v: (look.find(v) or [(0, -1)])[0][1] for v in [*vals, "nothing"]}
+    for most in (1000, 0):
+        assert _best(spark, [*vals, None, "nothing"], ref, "venue", most) == {v: (look.find(v) or [(0, -1)])[0][1] for v in [*vals, "nothing"]}
 
 
 def test_city_typed_as_one_word(spark):
@@ -148,8 +156,7 @@ def test_city_typed_as_one_word(spark):
     want = {"mountbagikolon": 1, "MOUNTBAGIKOLN": 1, "FortZahedruzir": 2, "fortzahedruzir": 2, "fortstupuhadim": 3, "ftstupuhadim": 3, "nebirostondsprings": 4}
     look = canonical.Lookup(ref, "city")
     assert {v: (look.find(v) or [(0, -1)])[0][1] for v in want} == want
-    big = canonical.resolve_large(spark.createDataFrame([(v,) for v in want], "value string"), spark.createDataFrame(ref, "ref_id bigint, text string, place string"), "city")
-    assert {r.value: r.ref_id for r in big.collect()} == want
+    assert _best(spark, want, ref, "city", 1000) == _best(spark, want, ref, "city", 0) == want
 
 
 def test_edits_is_osa():
