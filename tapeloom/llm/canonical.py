@@ -15,7 +15,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,8 +39,10 @@ def shortened(word: str, k: int) -> set[str]:
     out: set[str] = set()
     for w in {word, sound(word)}:
         out.add(w)
-        for n in range(1, min(k, len(w)) + 1):
-            out.update("".join(w[i] for i in range(len(w)) if i not in drop) for drop in map(set, combinations(range(len(w)), n)))
+        last = {w}
+        for _ in range(min(k, len(w))):
+            last = {x[:i] + x[i + 1 :] for x in last for i in range(len(x))}
+            out |= last
     return out
 
 
