@@ -10,8 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when its counted rows times its width stay under this many bytes.
-BROADCAST_BYTES = 8 << 20
+#: A side is broadcast only when its rows and their counted bytes stay within these.
+BROADCAST_BYTES, BROADCAST_ROWS = 8 << 20, 100_000
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -47,10 +47,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int = 256, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only when the counted rows prove the side small; otherwise leave the shuffle join to AQE."""
-    most = max(1, limit // row_bytes)
-    return F.broadcast(df) if len(df.limit(most + 1).select(F.lit(1)).take(most + 1)) <= most else df
+def _width(df: DataFrame):
+    """Bytes of a row: texts and nested values as they are, 16 for any other column."""
+    out = F.lit(0)
+    for f in df.schema.fields:
+        kind, c = f.dataType.typeName(), F.col(f"`{f.name}`")
+        if kind in ("string", "binary"):
+            out = out + F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        elif kind in ("array", "map", "struct"):
+            out = out + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
+        else:
+            out = out + 16
+    return out
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast only when counting proves the side small, in rows and in bytes; otherwise leave the join to AQE. That is
+    one aggregate over the side: cut it before if it is costly to make."""
+    rows, size = df.agg(F.count(F.lit(1)), F.sum(_width(df).cast("bigint"))).first()
+    return F.broadcast(df) if rows <= most and (size or 0) <= limit else df
 
 
 def spread(df: DataFrame) -> DataFrame:
