@@ -243,7 +243,7 @@ def _sums(counts: DataFrame, model: Model | None, own: DataFrame | None) -> Data
         read: dict[str, float] = {}  # the character cells are touched once per reading of a word
         for df in batches:
             for word, field, source, n, chains, mass in zip(df.word, df.field_name, df.source, df.n, df.chains, df.mass):
-                w = math.sqrt(n)  # a word's repeats count less and less: the model is of words, not of records
+                w = math.sqrt(n)  # a word's repeats count less and less: they are no further evidence of its source or its letters
                 if m is None:
                     if "\ufffd" not in word and not any("\x80" <= c < "\xa0" for c in word):
                         read[word] = read.get(word, 0.0) + w
@@ -251,8 +251,8 @@ def _sums(counts: DataFrame, model: Model | None, own: DataFrame | None) -> Data
                 for c, text, p in m.posterior(word, field, (chains, mass)):
                     if p < 1e-4:
                         continue
-                    for k in (("f", field, "", c), ("s", field, source, c)):
-                        acc[k] = acc.get(k, 0.0) + p * n
+                    for k, x in ((("f", field, "", c), n), (("s", field, source, c), w)):
+                        acc[k] = acc.get(k, 0.0) + p * x
                     if c != LOST:
                         read[text] = read.get(text, 0.0) + p * w
         bi, uni = np.zeros(BIGRAMS), np.zeros(UNIGRAMS)
