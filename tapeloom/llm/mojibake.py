@@ -8,9 +8,10 @@ field, so that a source which garbles one way lends its weak cases that evidence
 highest posterior in each of its words. Replacement characters say for certain that a word is garbled, and that it
 cannot be restored.
 
-The E-step runs over distinct words with counts, not over records. What the driver gathers of it has a fixed number of
-cells, whatever the data's size: ``BIGRAMS`` + ``UNIGRAMS`` hashed character cells and fields x chains, some 70,000 numbers.
-What belongs to a source (the artist's directory, as it stands, however many there are) stays a table that joins its words.
+The E-step runs over distinct words with counts, not over records. What the driver gathers of it is pairs of a cell and a
+number, and the cells are fixed, whatever the data's size: ``BIGRAMS`` + ``UNIGRAMS`` hashed character cells, fields x chains,
+and fields x ``SOURCES`` x chains, 1.3 million at the very most (20 MB), some ten per source in use. Sources (the artists'
+directories) are hashed into as many; of more, some share their evidence.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, cut
 
-#: Bounds of the model: hashed cells of character pairs, characters.
-BIGRAMS, UNIGRAMS = 1 << 16, 1 << 12
+#: Bounds of the model: hashed cells of character pairs, characters, sources.
+BIGRAMS, UNIGRAMS, SOURCES = 1 << 16, 1 << 12, 1 << 12
 FIELDS = ("folder", "info_txt", "title")
 ROUNDS, SHRINK, SMOOTH = 4, 40.0, 2.0
 #: Encodings text is written in, and wrongly read in.
@@ -131,8 +132,8 @@ def cells(text: str) -> tuple[list[int], list[int], list[int], int]:
 
 
 class Model:
-    def __init__(self, bi: np.ndarray, uni: np.ndarray, fields: dict[str, np.ndarray]):
-        self.bi, self.uni, self.fields = bi.tolist(), uni.tolist(), fields
+    def __init__(self, bi: np.ndarray, uni: np.ndarray, fields: dict[str, np.ndarray], sources: dict[tuple[str, int], dict[int, float]]):
+        self.bi, self.uni, self.fields, self.sources = bi.tolist(), uni.tolist(), fields, sources
         self.total = float(uni.sum()) + UNIGRAMS
         self.active = {f: [c for c in range(1, LOST) if p[c] > 1e-6] for f, p in fields.items()}
         every = sorted(set().union(*self.active.values())) if fields else []
@@ -167,8 +168,7 @@ class Model:
             self.memo[word] = got
         return got
 
-    def posterior(self, word: str, field: str, source: tuple | None) -> list[tuple[int, str, float]]:
-        """(chain, restored, probability); `source`: (chains, their expected counts) of the field in the word's source."""
+    def posterior(self, word: str, field: str, source: int) -> list[tuple[int, str, float]]:
         if "�" in word:
             return [(LOST, word, 1.0)]
         base = self.base.get((word, field))
@@ -177,9 +177,9 @@ class Model:
                 self.base.clear()
             base = self.base[(word, field)] = self._base(word, field)
         fixed, open_ = base
-        if not open_ or source is None or source[0] is None or not len(source[0]):
+        own = self.sources.get((field, source)) if open_ else None
+        if not own:
             return fixed
-        own = dict(zip(*source))
         # only words that the field leaves open ask their source
         weight = sum(own.values()) + SHRINK
         get, log = own.get, math.log
@@ -215,7 +215,7 @@ def first_model(fields: list[str]) -> dict[str, np.ndarray]:
 
 def values(concerts: DataFrame, tracks: DataFrame) -> DataFrame:
     """``table_name, row_id, field_name, source, text`` of the values with a non-ASCII character (the rest cannot be garbled)."""
-    src = F.coalesce("parent", F.lit(""))
+    src = F.pmod(F.xxhash64(F.coalesce("parent", F.lit(""))), F.lit(SOURCES)).cast("int")
     one = lambda df, t, i, f: df.where(F.length(f) != F.octet_length(f)).select(F.lit(t).alias("table_name"), F.col(i).alias("row_id"), F.lit(f).alias("field_name"), src.alias("source"), F.col(f).alias("text"))
     return one(concerts, "concerts", "concert_id", "folder").unionAll(one(concerts, "concerts", "concert_id", "info_txt")).unionAll(one(tracks, "tracks", "track_id", "title"))
 
@@ -225,34 +225,37 @@ def words(vals: DataFrame) -> DataFrame:
     return vals.select("table_name", "row_id", "field_name", "source", F.explode(ws).alias("word"))
 
 
-def _with_source(counts: DataFrame, own: DataFrame | None) -> DataFrame:
-    """Words with the chains of their source in their field, if it has been weighed yet."""
-    if own is None:
-        return counts.withColumns({"chains": F.lit(None).cast("array<int>"), "mass": F.lit(None).cast("array<double>")})
-    return counts.join(broadcast_if_small(own), ["field_name", "source"], "left")
+#: Where the cells of each kind begin: character pairs, characters, chains of a field, chains of a source in a field.
+OF_UNIGRAM = BIGRAMS
+OF_FIELD = OF_UNIGRAM + UNIGRAMS
+OF_SOURCE = OF_FIELD + len(FIELDS) * (LOST + 1)
 
 
-def _sums(counts: DataFrame, model: Model | None, own: DataFrame | None) -> DataFrame:
-    """The E-step: expected counts ``what, field_name, source, cell, v`` of every cell: of chains by field (f) and by field and
-    source (s), of character pairs (b) and characters (u). Without a model, of the words as they stand."""
+def _sums(counts: DataFrame, model: Model | None) -> pd.DataFrame:
+    """The E-step: ``cell, v``, expected counts of every cell. Without a model, of the words as they stand."""
     shared = counts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        acc: dict[tuple, float] = {}
-        read: dict[str, float] = {}  # the character cells are touched once per reading of a word
+        acc: dict[int, float] = {}
+        # all rows of a word are in one partition: the character cells are touched once per reading of a word
+        read: dict[str, float] = {}
+        place = {f: k for k, f in enumerate(FIELDS)}
         for df in batches:
-            for word, field, source, n, chains, mass in zip(df.word, df.field_name, df.source, df.n, df.chains, df.mass):
+            for word, field, source, n in zip(df.word, df.field_name, df.source, df.n):
                 w = math.sqrt(n)  # a word's repeats count less and less: they are no further evidence of its source or its letters
                 if m is None:
                     if "\ufffd" not in word and not any("\x80" <= c < "\xa0" for c in word):
                         read[word] = read.get(word, 0.0) + w
                     continue
-                for c, text, p in m.posterior(word, field, (chains, mass)):
+                f = place[field]
+                for c, text, p in m.posterior(word, field, source):
                     if p < 1e-4:
                         continue
-                    for k, x in ((("f", field, "", c), n), (("s", field, source, c), w)):
-                        acc[k] = acc.get(k, 0.0) + p * x
+                    k = OF_FIELD + f * (LOST + 1) + c
+                    acc[k] = acc.get(k, 0.0) + p * n
+                    k = OF_SOURCE + (f * SOURCES + source) * (LOST + 1) + c
+                    acc[k] = acc.get(k, 0.0) + p * w
                     if c != LOST:
                         read[text] = read.get(text, 0.0) + p * w
         bi, uni = np.zeros(BIGRAMS), np.zeros(UNIGRAMS)
@@ -262,58 +265,51 @@ def _sums(counts: DataFrame, model: Model | None, own: DataFrame | None) -> Data
                 bi[i] += w
             for i in first:
                 uni[i] += w
-        out = [(*k, v) for k, v in acc.items()]
-        for what, a in (("b", bi), ("u", uni)):
-            at = np.nonzero(a)[0]
-            out += zip([what] * len(at), [""] * len(at), [""] * len(at), at.tolist(), a[at].tolist())
-        if out:
-            yield pd.DataFrame(out, columns=["what", "field_name", "source", "cell", "v"])
+        flat = np.concatenate([bi, uni])
+        at = np.nonzero(flat)[0]
+        yield pd.DataFrame({"cell": np.concatenate([at, np.fromiter(acc.keys(), np.int64, len(acc))]), "v": np.concatenate([flat[at], np.fromiter(acc.values(), float, len(acc))])})
 
-    got = _with_source(counts, own).select("word", "field_name", "source", "n", "chains", "mass").mapInPandas(run, "what string, field_name string, source string, cell int, v double")
-    return cut(got.groupBy("what", "field_name", "source", "cell").agg(F.sum("v").alias("v")))
+    return counts.mapInPandas(run, "cell bigint, v double").groupBy("cell").agg(F.sum("v").alias("v")).toPandas()
 
 
-def fit_em(counts: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame | None]:
-    """The model, and ``field_name, source, chains, mass`` of every source."""
+def fit_em(counts: DataFrame, rounds: int = ROUNDS) -> Model:
+    def chars(x: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        flat = np.zeros(OF_SOURCE)
+        near = x[x.cell < OF_SOURCE]
+        flat[near.cell.to_numpy()] = near.v.to_numpy()
+        return flat[:OF_UNIGRAM], flat[OF_UNIGRAM:OF_FIELD], flat[OF_FIELD:]
 
-    def gathered(s: DataFrame) -> pd.DataFrame:
-        """At most BIGRAMS + UNIGRAMS + fields x chains rows of two numbers; cells of all kinds in one range."""
-        base = F.when(F.col("what") == "b", 0).when(F.col("what") == "u", BIGRAMS)
+    bi, uni, _ = chars(_sums(counts, None))
+    model = Model(bi, uni, first_model(list(FIELDS)), {})
+    for _ in range(rounds):
+        x = _sums(counts, model)
+        bi, uni, chains = chars(x)
+        pi, own = {}, {}
         for k, f in enumerate(FIELDS):
-            base = base.when(F.col("field_name") == f, BIGRAMS + UNIGRAMS + k * (LOST + 1))
-        return s.where("what != 's'").select((F.col("cell") + base).cast("int").alias("cell"), "v").toPandas()
-
-    def model_of(x: pd.DataFrame, pi: dict[str, np.ndarray]) -> Model:
-        flat = np.zeros(BIGRAMS + UNIGRAMS + len(FIELDS) * (LOST + 1))
-        flat[x.cell.to_numpy()] = x.v.to_numpy()
-        for k, f in enumerate(FIELDS if not pi else ()):
-            p = first_model([f])[f] * 5.0 + flat[BIGRAMS + UNIGRAMS + k * (LOST + 1) :][: LOST + 1]
+            p = first_model([f])[f] * 5.0 + chains[k * (LOST + 1) :][: LOST + 1]
             p[1:LOST][p[1:LOST] < 1.5] = 0.0  # a chain with hardly a word behind it is closed
             pi[f] = p / p.sum()
-        return Model(flat[:BIGRAMS], flat[BIGRAMS:][:UNIGRAMS], pi)
-
-    model, own = model_of(gathered(_sums(counts, None, None)), first_model(list(FIELDS))), None
-    for _ in range(rounds):
-        s = _sums(counts, model, own)
-        model = model_of(gathered(s), {})
-        weighed = s.where("what = 's'").groupBy("field_name", "source").agg(F.collect_list(F.struct("cell", "v")).alias("x"))  # at most all chains
-        own = weighed.select("field_name", "source", F.col("x.cell").alias("chains"), F.col("x.v").alias("mass"))
-    return model, own
+        far = x[x.cell >= OF_SOURCE]
+        for at, v in zip((far.cell - OF_SOURCE).tolist(), far.v.tolist()):
+            at, c = divmod(at, LOST + 1)
+            own.setdefault((FIELDS[at // SOURCES], at % SOURCES), {})[c] = v
+        model = Model(bi, uni, pi, own)
+    return model
 
 
 def garbled_words(vals: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``field_name, source, word, chain, restored, posterior`` of the words more likely garbled than not."""
     counts = words(vals).groupBy("word", "field_name", "source").agg(F.count(F.lit(1)).alias("n"))
     counts = cut(counts.repartition("word"))
-    model, own = fit_em(counts, rounds)
+    model = fit_em(counts, rounds)
     shared = vals.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for df in batches:
             out = []
-            for word, field, source, chains, mass in zip(df.word, df.field_name, df.source, df.chains, df.mass):
-                post = m.posterior(word, field, (chains, mass))
+            for word, field, source in zip(df.word, df.field_name, df.source):
+                post = m.posterior(word, field, source)
                 clean = sum(p for c, _, p in post if c == 0)
                 if clean < 0.5:
                     by: dict[str, float] = {}
@@ -325,7 +321,7 @@ def garbled_words(vals: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                     out.append((field, source, word, NAMES[chain], None if chain == LOST else text, 1 - clean))
             yield pd.DataFrame(out, columns=["field_name", "source", "word", "chain", "restored", "posterior"])
 
-    return _with_source(counts, own).select("word", "field_name", "source", "chains", "mass").mapInPandas(run, "field_name string, source string, word string, chain string, restored string, posterior double")
+    return counts.mapInPandas(run, "field_name string, source int, word string, chain string, restored string, posterior double")
 
 
 def found(concerts: DataFrame, tracks: DataFrame) -> DataFrame:
