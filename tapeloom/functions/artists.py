@@ -20,7 +20,7 @@ US_END = r"(?i)(?<!\w)(?:A[LKZR]|C[AOT]|D[CE]|FL|GA|HI|I[ADLN]|K[SY]|LA|M[ADEINO
 CA_END = r"(?i)(?<!\w)(?:ON|QC|BC|AB|MB|SK|NS|NB|NL|PE|YT|NT|NU)\.?\s*$"
 JUNK = r" \-,_()\[\]\t"
 #: A few common abbreviations; a library passes its own table of any size as `prefixes`.
-PREFIXES = {"gd": "Grateful Dead", "jgb": "Jerry Garcia Band", "ph": "Phish", "wsp": "Widespread Panic", "moe": "moe.", "sci": "The String Cheese Incident", "um": "Umphrey's McGee", "abb": "Allman Brothers Band", "srv": "Stevie Ray Vaughan", "dmb": "Dave Matthews Band"}
+PREFIXES = {"gd": "Grateful Dead", "jgb": "Jerry Garcia Band", "ph": "Phish", "wsp": "Widespread Panic", "moe": "moe.", "sci": "String Cheese Incident", "um": "Umphrey's McGee", "abb": "Allman Brothers Band", "srv": "Stevie Ray Vaughan", "dmb": "Dave Matthews Band"}
 
 
 def prefix_key(c: Column) -> Column:
@@ -139,7 +139,7 @@ def trust_parent(path: Column) -> Column:
 
 
 def ancestor_probes(path: Column) -> Column:
-    """array of struct(depth, pos, candidate, stop): what to look up in a lexicon, nearest first; a stop ends the walk."""
+    """array of struct(depth, stop, various, candidates): what to look up in a lexicon, nearest first; a stop ends the walk."""
     up = ancestors(path)
     level = F.transform(up, lambda a, i: F.struct(
         i.alias("depth"), F.lower(a).isin(*NOT_AN_ARTIST).alias("stop"), F.lower(a).isin("various artists", "various").alias("various"),
@@ -188,5 +188,6 @@ def _artist_of_line(line: Column) -> Column:
 
 def first_artist_line(lines: Column) -> Column:
     """From the first six non-blank lines: the first that names the artist, before any disc marker."""
-    told = F.filter(F.transform(F.slice(lines, 1, 6), _artist_of_line), lambda x: x["stop"] | x["artist"].isNotNull())
-    return F.when(F.size(told) > 0, filled(F.try_element_at(told, F.lit(1))["artist"]))
+    none = F.struct(F.lit(False).alias("stop"), F.lit(None).cast("string").alias("artist"))
+    told = F.aggregate(F.slice(lines, 1, 6), none, lambda s, x: F.when(s["stop"] | s["artist"].isNotNull(), s).otherwise(_artist_of_line(x)))  # no line is read after the one that decides
+    return filled(told["artist"])

@@ -10,7 +10,10 @@ from ..functions.dates import parse_date
 from ..functions.lines import city_of_folder, is_prose
 from ..functions.source import detect, label
 from ..functions.text import filled, path_name
+from ..session import broadcast_if_small, cut
+from .lexicon import from_ancestors, match
 from .notes import parse_notes
+from .setlist import finalize, setlist, tracks_of_files
 
 
 def album_name(date: Column, venue: Column, city: Column, region: Column, source: Column) -> Column:
@@ -43,26 +46,65 @@ def tolerance(tracks: Column, audio: Column, override: Column | None = None) ->
     return own if override is None else F.when(override >= 0, override).otherwise(own)
 
 
-def assemble(shows: DataFrame, lexicon_artist: DataFrame | None = None) -> DataFrame:
+def _matched(d: DataFrame, col: str, lexicon: DataFrame, out: str) -> DataFrame:
+    """Adds `out`, the lexicon's spelling of `col`: each distinct name is matched once; the answers are broadcast if small."""
+    known = cut(match(d.select(F.col(col).alias("name")), lexicon)).select(F.col("name").alias(col), F.col("match").alias(out))
+    return d.join(broadcast_if_small(known), col, "left")
+
+
+def assemble(shows: DataFrame, artists: DataFrame | None = None, venues: DataFrame | None = None) -> DataFrame:
     """``folder, artist, date, venue, city, region, source`` and the candidates, of ``folder, files array<string>, body``.
 
-    artist: notes, else folder; a sentence gives way to the folder; else the directory above; inside `Various Artists` the
-    folder's own name; else the folder's weak reading. date: folder, file names, notes. `lexicon_artist(name, match)`
-    maps a name to its known spelling; rows keep their own where it has none.
+    artist: notes, else folder; a sentence gives way to a name that the lexicon finds in it, else to the folder; then the
+    lexicon's spelling, or, without an artist, the directory above that the lexicon knows; else the directory above; inside
+    `Various Artists` the folder's own name; else the folder's weak reading. date: folder, file names, notes. venue: notes, in
+    the lexicon's spelling. `artists`, `venues`: lexicons as of ``lexicon.build``, or none.
     """
     d = parse_notes(shows)
-    name = path_name(F.col("folder"))
     files = F.array_join(F.coalesce("files", F.array().cast("array<string>")), "  ")
-    d = d.withColumns({"_name": name, "_files": files})
+    d = d.withColumns({"_name": path_name(F.col("folder")), "_files": files})
     d = d.withColumns({"artist_folder": A.guess(F.col("_name")), "artist_parent": A.trust_parent(F.col("folder")), "artist_weak": A.weak(F.col("_name")), "various": A.in_various(F.col("folder")), "_city": city_of_folder(F.col("_name"))})
-    d = d.withColumn("artist_read", F.when(is_prose(F.col("n_artist")), F.col("artist_folder")).otherwise(F.coalesce("n_artist", "artist_folder")))
-    if lexicon_artist is not None:
-        d = d.join(lexicon_artist.select(F.col("name").alias("artist_read"), "match"), "artist_read", "left").withColumn("artist_read", F.coalesce("match", "artist_read")).drop("match")
-    first = F.coalesce("artist_read", "artist_parent")
+    d = d.withColumn("_said", F.coalesce("n_artist", "artist_folder")).withColumn("_prose", F.coalesce(is_prose(F.col("_said")), F.lit(False)))
+    d = d.withColumn("_known", F.lit(None).cast("string"))
+    if artists is not None:
+        d = _matched(cut(d.drop("_known")), "_said", artists, "_known")
+    d = d.withColumn("artist_read", F.when(F.col("_prose"), F.coalesce("_known", "artist_folder")).otherwise(F.col("_said")))
+    first, venue = F.col("artist_read"), F.col("n_venue")
+    if artists is not None:
+        d = _matched(d, "artist_read", artists, "_spelled")
+        above = from_ancestors(d.where("artist_read is null"), artists).select("folder", F.col("artist").alias("_above"))
+        d = d.join(broadcast_if_small(cut(above)), "folder", "left")
+        first = F.coalesce("_spelled", "artist_read", "_above")
+    if venues is not None:
+        d = _matched(d, "n_venue", venues, "_place")
+        venue = F.coalesce("_place", "n_venue")
+    first = F.coalesce(first, F.col("artist_parent"))
     artist = F.when(F.col("various") & F.col("artist_weak").isNotNull(), F.col("artist_weak")).otherwise(F.coalesce(first, F.col("artist_weak")))
     return d.select(
-        *[c for c in shows.columns], "artist_read", "artist_folder", "artist_parent", "artist_weak",
-        filled(artist).alias("artist"), F.coalesce(parse_date(F.col("_name")), parse_date(F.col("_files")), F.col("n_date")).alias("date"), F.col("n_venue").alias("venue"),
+        *shows.columns, "artist_read", "artist_folder", "artist_parent", "artist_weak",
+        filled(artist).alias("artist"), F.coalesce(parse_date(F.col("_name")), parse_date(F.col("_files")), F.col("n_date")).alias("date"), filled(venue).alias("venue"),
         F.coalesce("n_city", F.col("_city.city")).alias("city"), F.coalesce("n_region", F.when(F.col("n_city").isNull(), F.col("_city.region"))).alias("region"),
         detect(F.col("_name"), F.col("_files"), F.col("body")).alias("source"),
     )
+
+
+def tracks_of(shows: DataFrame, key: str) -> DataFrame:
+    """``key, tracks array<struct<number, title, disc, disc_total>>`` of ``key, files, body``: the notes' setlist, else what the
+    file names say, else an empty array. `key` is unique."""
+    raw = setlist(shows, key, "body").select(key, F.posexplode("raw").alias("pos", "x")).select(key, "pos", "x.disc", "x.title")
+    told = finalize(raw, [key]).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "number", "title", "disc", F.col("disc_total").cast("int").alias("disc_total")))).alias("told"))
+    null = F.lit(None).cast("int")
+    one = lambda n, t, d, m: F.struct(n.alias("number"), t.alias("title"), d.alias("disc"), m.alias("disc_total"))
+    named = F.transform(tracks_of_files(F.coalesce("files", F.array().cast("array<string>"))), lambda x: one(x["number"], x["title"], null, null))
+    x = shows.select(key, "files").join(told, key, "left")
+    return x.select(key, F.coalesce(F.transform("told", lambda x: one(x["number"], x["title"], x["disc"].cast("int"), x["disc_total"])), named).alias("tracks"))
+
+
+def assemble_whole(shows: DataFrame, key: str, artists: DataFrame | None = None, venues: DataFrame | None = None) -> DataFrame:
+    """:func:`assemble` of ``key, folder, files, body`` with ``tracks, issues, confidence, album``."""
+    d = assemble(shows, artists, venues).join(tracks_of(shows, key), key)
+    n, files = F.size("tracks"), F.greatest(F.size(F.coalesce("files", F.array().cast("array<string>"))), F.lit(0))
+    return d.withColumns({
+        "issues": issues(F.col("artist"), F.col("date"), n, files), "confidence": confidence(F.col("artist"), F.col("date"), F.col("venue"), F.col("city"), n, files),
+        "album": album_name(F.col("date"), F.col("venue"), F.col("city"), F.col("region"), F.col("source")),
+    })

@@ -90,3 +90,30 @@ def candidates(files: DataFrame, root: str, max_depth: int = MAX_DEPTH, exclude:
     own = d.where("audio > 0").select("dir", "parent")
     own = own.join(discs.select(F.col("dir").alias("parent")), "parent", "left_anti").join(wrap.select(F.col("kid").alias("dir")), "dir", "left_anti")
     return own.select("dir", F.lit("audio").alias("how")).unionAll(discs).unionAll(wrap.select("dir", F.lit("wrapper").alias("how"))).orderBy("dir")
+
+
+def enumerate_folders(files: DataFrame, root: str, max_depth: int = MAX_DEPTH, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """``folder, how, audio, info``: the show folders of `files(path, size)` below `root` with the paths of their audio files in
+    order and of their info file.
+
+    A folder's own audio stands by name. The discs of one show stand one after the other, by disc, then by name; a wrapped
+    folder's audio stands for the wrapper's. The info file is the folder's own, else the first disc's that has one: the largest,
+    then by name.
+    """
+    shows = candidates(files, root, max_depth, exclude)
+    f = files.select("path", "size", F.regexp_replace("path", "/[^/]*$", "").alias("host"), path_name(F.col("path")).alias("name")).withColumn("kind", file_kind(F.col("name"))).where("kind is not null")
+    below = f.where("kind = 'audio'").select("host").distinct().select("host", F.regexp_replace("host", "/[^/]*$", "").alias("folder"))
+    own = shows.where("how = 'audio'").select(F.col("dir").alias("folder"), "how", F.col("dir").alias("host"))
+    inner = shows.where("how != 'audio'").select(F.col("dir").alias("folder"), "how").join(below, "folder").select("folder", "how", "host")
+    hosts = own.unionAll(inner).withColumn("at", F.struct(F.coalesce(disc_of_name(F.trim(path_name(F.col("host"))))["idx"], F.lit(0)).alias("disc"), F.lower(path_name(F.col("host"))).alias("name")))
+    audio = hosts.join(f.where("kind = 'audio'"), "host").groupBy("folder", "how").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "name", "path"))), lambda x: x["path"]).alias("audio"))
+    at_home = hosts.select("folder", "host", F.lit(1).alias("level"), "at").unionAll(shows.select(F.col("dir").alias("folder"), F.col("dir").alias("host"), F.lit(0), F.struct(F.lit(0).alias("disc"), F.lit("").alias("name"))))
+    infos = at_home.join(f.where("kind = 'info'"), "host").groupBy("folder").agg(F.min_by("path", F.struct("level", "at", -F.coalesce("size", F.lit(-1)), "name")).alias("info"))
+    return audio.join(infos, "folder", "left").select("folder", "how", "audio", "info")
+
+
+def children_of_roots(dirs: DataFrame, roots: DataFrame) -> DataFrame:
+    """``dir`` of the directories right below any of the `roots(root)`, hidden ones left out, sorted and each once."""
+    r = roots.select(F.regexp_replace("root", "/+$", "").alias("parent")).distinct()
+    up = dirs.select("dir", F.regexp_replace("dir", "/[^/]*$", "").alias("parent")).where(~path_name(F.col("dir")).startswith("."))
+    return up.join(r, "parent", "left_semi").select("dir").distinct().orderBy("dir")

@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.artists import ancestor_probes
 from ..functions.text import TRIBUTE, filled, is_junk_name, normalize_name
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, cut
 
 RATIO, SHORTEST, MIN_COUNT = 0.88, 5, 2
 
@@ -49,10 +50,10 @@ def _segments(n: int) -> list[tuple[int, int]]:
 
 def _near(keys: DataFrame, names: DataFrame) -> DataFrame:
     """Pairs whose ratio can reach RATIO: insertions and deletions leave one of the key's segments whole in the name."""
-    cut = F.pandas_udf(lambda s: s.map(lambda k: sorted({k[a : a + n] for a, n in _segments(len(k))})), "array<string>")
+    pieces = F.pandas_udf(lambda s: s.map(lambda k: sorted({k[a : a + n] for a, n in _segments(len(k))})), "array<string>")
     sizes = lambda m: sorted({s for n in range(max(1, int(m * RATIO / (2 - RATIO))), int(m * (2 - RATIO) / RATIO) + 2) for _, s in _segments(n)})
     subs = F.pandas_udf(lambda s: s.map(lambda k: sorted({k[i : i + n] for n in sizes(len(k)) for i in range(len(k) - n + 1)})), "array<string>")
-    a = keys.select("key", "name", "cnt", F.explode(cut("key")).alias("seg"))
+    a = keys.select("key", "name", "cnt", F.explode(pieces("key")).alias("seg"))
     b = names.select(F.col("key").alias("want"), F.explode(subs("key")).alias("seg"))
     la, lb = F.length("key"), F.length("want")
     return b.join(a, "seg").where(2 * F.least(la, lb) >= RATIO * (la + lb)).select("want", "key", "name", "cnt").distinct()
@@ -81,6 +82,25 @@ def match(names: DataFrame, lexicon: DataFrame, min_count: int = MIN_COUNT, fuzz
     return out.unionAll(hit.select("name", "match", F.lit("contained").alias("how")))
 
 
+def from_ancestors(paths: DataFrame, lexicon: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
+    """``folder, artist``: the nearest directory above that the lexicon knows, of each distinct `folder` that has one.
+
+    Directories that organise a library end the walk; of those, the ones for various artists name them. Years and dates are
+    passed by. All spellings to try are matched at once, as distinct names."""
+    up = paths.select("folder").where("folder is not null").distinct().select("folder", ancestor_probes(F.col("folder")).alias("up"))
+    end = F.try_element_at(F.filter("up", lambda x: x["stop"]), F.lit(1))
+    up = cut(up.select("folder", end["depth"].alias("end"), end["various"].alias("various"), F.filter("up", lambda x: ~x["stop"] & (x["depth"] < F.coalesce(end["depth"], F.lit(1 << 30)))).alias("up")))
+    tries = up.select("folder", F.inline(F.flatten(F.transform("up", lambda x: F.transform(x["candidates"], lambda c, i: F.struct(x["depth"].alias("depth"), i.alias("pos"), c.alias("name")))))))
+    known = cut(match(tries.select("name"), lexicon, min_count))
+    best = tries.join(broadcast_if_small(known.select("name", "match")), "name").groupBy("folder").agg(F.min_by("match", F.struct("depth", "pos")).alias("artist"))
+    return up.select("folder", "various").join(best, "folder", "left").select("folder", F.coalesce("artist", F.when(F.col("various"), "Various Artists")).alias("artist")).where("artist is not null")
+
+
+def prefix_dictionary(rows: DataFrame, least: int = 2, purity: float = 0.8) -> DataFrame:
+    """``prefix, artist``: a library's own abbreviations, those of :func:`prefix_purity`; folders join it on their prefix."""
+    return prefix_purity(rows, least, purity).select("prefix", F.col("creator").alias("artist"))
+
+
 def prefix_purity(rows: DataFrame, least: int = 2, purity: float = 0.8, deny: tuple[str, ...] = ("cd", "disc", "track", "set", "d", "t")) -> DataFrame:
     """``prefix, creator, count, total, purity, creators``: abbreviations that stand for one creator nearly always."""
     x = rows.where(F.length("prefix").between(2, 12) & ~F.col("prefix").isin(*deny) & F.col("creator").isNotNull()).groupBy("prefix", "creator").agg(F.count(F.lit(1)).alias("count"))

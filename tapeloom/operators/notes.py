@@ -39,16 +39,23 @@ def _labels(body: Column) -> dict[str, Column]:
 
 def _place_of_line(line: Column, artist: Column) -> Column:
     """What one of the first lines says of venue and place, and whether it ends the search."""
-    dated = parse_date(line).isNotNull()
     own = F.coalesce(line == artist, F.lit(False))
-    three = L.venue_city_region(line)
-    return F.struct(
-        (~own & ~dated & line.rlike(L.DISC)).alias("stop"),
-        (own | dated | line.rlike(L.TRACK) | line.rlike(L.SENTENCE) | L.is_prose(line)).alias("skip"),
-        let(three, lambda t: F.when(t["venue"].isNotNull() & L.is_venue(t["venue"]), t)).alias("three"),
-        L.is_city(line).alias("city"), F.trim(F.element_at(F.split(line, ",", 2), 1)).alias("town"), F.trim(F.try_element_at(F.split(line, ",", 2), F.lit(2))).alias("region"),
-        F.when(L.is_venue(line), strip_chars(line, ",")).alias("venue"),
-    )
+
+    def told(x: Column) -> Column:
+        live = ~x["stop"] & ~x["skip"]
+        say = lambda c: F.when(live, c)  # noqa: E731  (nothing more is read of a line that doesn't count)
+        three = let(L.venue_city_region(line), lambda t: F.when(t["venue"].isNotNull() & L.is_venue(t["venue"]), t))
+        return F.struct(
+            x["stop"], x["skip"], say(three).alias("three"), F.coalesce(say(L.is_city(line)), F.lit(False)).alias("city"),
+            say(F.trim(F.element_at(F.split(line, ",", 2), 1))).alias("town"), say(F.trim(F.try_element_at(F.split(line, ",", 2), F.lit(2)))).alias("region"),
+            say(F.when(L.is_venue(line), strip_chars(line, ","))).alias("venue"),
+        )
+
+    def flags(dated: Column) -> Column:
+        stop = ~own & ~dated & line.rlike(L.DISC)
+        return F.struct(stop.alias("stop"), (own | dated | line.rlike(L.TRACK) | line.rlike(L.SENTENCE) | L.is_prose(line)).alias("skip"))
+
+    return let(let(parse_date(line).isNotNull(), flags), told)
 
 
 def parse_notes(docs: DataFrame, body: str = "body") -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.source import detect
 from ..functions.text import filled
 
 UNKNOWN = "(unknown)"
+MIC_LIKE = r"\b[a-z]{2,12}[ -]?(?:km|mk|cmc|ccm|mkh|tlm|c|u|h)?[ -]?\d{1,4}[a-z]?\b"
 
 
 def artist_report(shows: DataFrame, files: DataFrame, top: int | None = None) -> DataFrame:
@@ -71,3 +73,27 @@ def match_rates(found: DataFrame, truth: DataFrame, key: str, fields: list[str])
 def issue_counts(shows: DataFrame, col: str = "issues") -> DataFrame:
     """``issue, n``: by the text before a colon."""
     return shows.select(F.explode(col).alias("i")).groupBy(F.substring_index("i", ":", 1).alias("issue")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def top_values(rows: DataFrame, col: str, top: int = 30) -> DataFrame:
+    """``value, n``: the most frequent filled values; ties by the alphabet."""
+    return rows.select(filled(F.col(col)).alias("value")).where("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(top)
+
+
+def missing_by_parent(shows: DataFrame, field: str = "artist", parent: str = "parent") -> DataFrame:
+    """``parent, n``: how many shows of each directory lack the field."""
+    return shows.where(filled(F.col(field)).isNull()).groupBy(parent).agg(F.count(F.lit(1)).alias("n"))
+
+
+def mine_mics(texts: DataFrame, col: str = "body", top: int = 50) -> DataFrame:
+    """``token, n, known``: what notes call microphones (a word, then a model number), and whether the table of microphones knows
+    it: candidates for the table. The most frequent, ties by the alphabet."""
+    t = texts.where(F.col(col).isNotNull()).select(F.explode(F.regexp_extract_all(F.lower(F.col(col)), F.lit(MIC_LIKE), F.lit(0))).alias("token"))
+    n = t.select(F.regexp_replace(F.trim("token"), r"\s+", " ").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    known = F.size(detect(F.col("token"))["mics"]) > 0
+    return n.orderBy(F.desc("n"), "token").limit(top).withColumn("known", known)
+
+
+def source_kinds(texts: DataFrame, col: str = "body") -> DataFrame:
+    """``kind, n``: texts by the kind of source that they tell; null for none."""
+    return texts.where(F.col(col).isNotNull()).groupBy(detect(F.col(col))["kind"].alias("kind")).agg(F.count(F.lit(1)).alias("n"))

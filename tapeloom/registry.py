@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import artists, lines, source, text
 from .functions.dates import first_date_end, first_date_position, parse_date
 from .operators import assemble, dedupe, discover, history, lexicon, notes, setlist, stats
 from .plans import tags
-from .session import ship, table
+from .session import ship, spread_if_few, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -171,19 +171,73 @@ def positional_plan(s, d):
     return tags.paired(t, _files(s, d), by=("at",), file_by=("path", "idx")).select(F.col("show").alias("show_id"), "place", "path", "title", "track_text", "disc_text", "track_total")
 
 
-@query(f"""SELECT show_id, path, coalesce(CASE WHEN c THEN regexp_extract(st, '(?i)d(\\d{{1,2}})t(\\d{{1,3}})\\D*$', 2)::INTEGER WHEN regexp_matches(st, '^\\d{{1,3}}(\\D|$)') THEN regexp_extract(st, '^(\\d{{1,3}})', 1)::INTEGER END, place)::INTEGER AS track,
-CASE WHEN c THEN regexp_extract(st, '(?i)d(\\d{{1,2}})t(\\d{{1,3}})\\D*$', 1)::INTEGER END AS disc
-FROM (SELECT *, regexp_matches(st, '(?i)d\\d{{1,2}}t\\d{{1,3}}\\D*$') AS c FROM (SELECT *, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1') AS st, row_number() OVER (PARTITION BY show_id ORDER BY path, idx) AS place FROM ({FILES_SQL})))""")
+STEM_SQL = "regexp_replace(regexp_extract(path, '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1')"
+#: The number a file has already: of its track entry, for files whose concert has an info file.
+HAD_SQL = "SELECT p.concert_id AS show_id, t.track_no AS had, row_number() OVER (PARTITION BY p.concert_id ORDER BY t.pos, t.track_id) AS place FROM folder_prints p JOIN concerts c USING (concert_id) JOIN tracks t USING (concert_id) WHERE c.info_name IS NOT NULL"
+CODE = r"(?i)(?:cd|disc|d)\s*(\d{1,2})\s*[._\-\s]*(?:track|t)\s*(\d{1,3})\s*$"
+
+
+@query(rf"""SELECT show_id, path, CASE WHEN had IS NULL THEN coalesce(CASE WHEN c THEN regexp_extract(st, '{CODE}', 2)::INTEGER WHEN regexp_matches(st, '^\d{{1,3}}\s*[._\-\s]') THEN regexp_extract(st, '^(\d{{1,3}})', 1)::INTEGER END, place)::INTEGER END AS track,
+CASE WHEN had IS NULL AND c THEN regexp_extract(st, '{CODE}', 1)::INTEGER END AS disc
+FROM (SELECT *, regexp_matches(st, '{CODE}') AS c FROM (SELECT *, {STEM_SQL} AS st, row_number() OVER (PARTITION BY show_id ORDER BY path, idx) AS place FROM ({FILES_SQL})) LEFT JOIN ({HAD_SQL}) USING (show_id, place))""")
 def metadata_only_plan(s, d):
-    return tags.files_only(_files(s, d), by=("path", "idx")).withColumnRenamed("show", "show_id")
+    t = _tracks(s, d).select(F.col("concert_id").alias("show"), F.col("track_no").alias("had"), F.row_number().over(Window.partitionBy("concert_id").orderBy("pos", "track_id")).alias("place_"))
+    t = t.join(table(s, d, "concerts").where("info_name is not null").select(F.col("concert_id").alias("show")), "show", "left_semi")
+    f = _files(s, d).withColumn("place_", F.row_number().over(Window.partitionBy("show").orderBy("path", "idx"))).join(t, ["show", "place_"], "left")
+    return tags.files_only(f, by=("path", "idx"), existing=F.col("had")).withColumnRenamed("show", "show_id")
 
 
-@query()
+@query(rf"""WITH f AS (SELECT print_id, len(tracks) AS files, i, {STEM_SQL} AS st FROM (SELECT print_id, tracks, unnest(tracks).path AS path, generate_subscripts(tracks, 1) AS i FROM folder_prints)),
+t AS (SELECT print_id, files, i, trim(regexp_extract(st, '^\s*(\d{{1,3}})\s*[-._]+\s*(.+?)\s*$', 2), ' .-_,') AS title FROM f WHERE regexp_matches(st, '^\s*(\d{{1,3}})\s*[-._]+\s*(.+?)\s*$')),
+k AS (SELECT * FROM t WHERE length(title) >= 2 AND NOT regexp_matches(title, '(?i)^(?:d\d+t\d+|t\d+|disc\s*\d+|track\s*\d+|\d{{4}}[-._]\d{{2}}[-._]\d{{2}})$'))
+SELECT p.print_id, coalesce(x.n, 0)::INTEGER AS n, coalesce(x.titles, '') AS titles FROM folder_prints p LEFT JOIN (SELECT print_id, count(*) AS n, string_agg(title, '|' ORDER BY i) AS titles FROM k GROUP BY 1, files HAVING count(*) >= greatest(2, files * 4 // 5)) x USING (print_id)""")
 def filename_tracks(s, d):
     f = table(s, d, "folder_prints").select("print_id", setlist.tracks_of_files(F.col("tracks.path")).alias("t"))
     return f.select("print_id", F.size("t").alias("n"), F.array_join(F.transform("t", lambda x: x["title"]), "|").alias("titles"))
 
 
+#: Tags as a file may have them: of its concert as typed, the directory, and its track entry.
+TAGS_SQL = f"""SELECT f.show_id, f.path, coalesce(nullif(trim(c.artist), ''), 'Unknown Artist') AS artist, coalesce(c.venue, '') AS album, c.show_date AS date, n.number AS track, n.title, n.disc, n.disc_total, n.track_total::INTEGER AS track_total, c.region IS NULL AS minimal,
+nullif(trim(c.artist), '') AS had_artist, nullif(trim(regexp_extract(c.parent, '([^/]*)$', 1)), '') AS had_own, t.track_no AS had_track, nullif(trim(c.city), '') AS had_date, nullif(trim(t.title), '') AS had_title, t.disc AS had_disc, coalesce(c.city, '') AS had_album
+FROM (SELECT *, row_number() OVER (PARTITION BY concert_id, disc ORDER BY at_) AS number, count(*) OVER (PARTITION BY concert_id, disc) AS track_total, row_number() OVER (PARTITION BY concert_id ORDER BY at_) AS k FROM ({RENUMBER_SQL})) n
+JOIN (SELECT *, row_number() OVER (PARTITION BY show_id ORDER BY path, idx) AS k FROM ({FILES_SQL})) f ON f.show_id = n.concert_id AND f.k = n.k JOIN concerts c ON c.concert_id = n.concert_id JOIN tracks t ON t.track_id = n.track_id"""
+OUTCOME_SQL = f"""SELECT *, CASE WHEN NOT coalesce(had_artist = artist AND had_own = artist, false) OR NOT coalesce(had_track = track, false) OR (NOT minimal AND ((coalesce(date, '') <> '' AND had_date IS NULL) OR (title IS NOT NULL AND had_title IS NULL) OR (disc IS NOT NULL AND had_disc IS NULL))) THEN 'full'
+WHEN had_album = album THEN 'unchanged' ELSE 'album_only' END AS outcome FROM ({TAGS_SQL})"""
+
+
+def _planned(s, d):
+    t = _tracks(s, d).select(F.col("concert_id").alias("show"), "at", "title", "disc", "track_id", F.col("disc").alias("had_disc"), F.col("track_no").alias("had_track"), F.col("title").alias("had_title"))
+    p = tags.paired(setlist.finalize(t, ["show"], "at"), _files(s, d), by=("at",), file_by=("path", "idx"), keep=("had_disc", "had_track", "had_title"))
+    c = table(s, d, "concerts").select(F.col("concert_id").alias("show"), "artist", "venue", "show_date", "region", "city", text.path_name(F.col("parent")).alias("own"))
+    x = p.join(c, "show")
+    one = lambda key, c: F.when(c.isNotNull(), F.struct(F.lit(key).alias("k"), F.array(c.cast("string")).alias("v")))
+    had = [one("ARTIST", F.col("artist")), one("albumartist", F.col("own")), one("TRACKNUMBER", F.concat(F.col("had_track").cast("string"), F.lit("/"), F.col("track_total").cast("string"))), one("date", F.col("city")), one("TITLE", F.col("had_title")), one("DISCNUMBER", F.col("had_disc")), one("ALBUM", F.col("city"))]
+    tag_map = F.map_from_entries(F.filter(F.array(*had), lambda e: e.isNotNull()))
+    return x.select("show", "path", F.coalesce(text.filled(F.col("artist")), F.lit("Unknown Artist")).alias("artist"), F.coalesce("venue", F.lit("")).alias("album"), F.col("show_date").alias("date"), F.col("number").alias("track"), "title", "disc", "disc_total", "track_total", F.col("region").isNull().alias("minimal"), tag_map.alias("tags"))
+
+
+@query(f"SELECT show_id, count(*) AS files, count(*) FILTER (outcome = 'unchanged') AS unchanged, count(*) FILTER (outcome = 'album_only') AS album_only, count(*) FILTER (outcome = 'full') AS \"full\" FROM ({OUTCOME_SQL}) GROUP BY 1")
+def tag_outcomes(s, d):
+    return tags.outcome_counts(_planned(s, d)).withColumnRenamed("show", "show_id")
+
+
+@query(f"""WITH o AS ({OUTCOME_SQL}), w AS (
+SELECT show_id, path, 'ARTIST' AS key, artist AS value, 'set' AS op FROM o WHERE outcome = 'full' UNION ALL SELECT show_id, path, 'ALBUMARTIST', artist, 'set' FROM o WHERE outcome = 'full'
+UNION ALL SELECT show_id, path, unnest(['ARTISTSORT', 'ALBUMARTISTSORT']), trim(regexp_replace(artist, '^[Tt]he\\s+', '')), 'set' FROM o WHERE outcome = 'full' UNION ALL SELECT show_id, path, 'ALBUM', album, 'set' FROM o WHERE outcome <> 'unchanged'
+UNION ALL SELECT show_id, path, 'TRACKNUMBER', printf('%02d', track), 'set' FROM o WHERE outcome = 'full' UNION ALL SELECT show_id, path, 'DATE', date, 'set' FROM o WHERE outcome = 'full' AND NOT minimal AND coalesce(date, '') <> ''
+UNION ALL SELECT show_id, path, 'TITLE', title, 'set' FROM o WHERE outcome = 'full' AND NOT minimal AND title IS NOT NULL UNION ALL SELECT show_id, path, 'DISCNUMBER', disc || '/' || disc_total, 'set' FROM o WHERE outcome = 'full' AND NOT minimal AND disc IS NOT NULL
+UNION ALL SELECT show_id, path, unnest(['DISCTOTAL', 'TOTALDISCS']), disc_total::VARCHAR, 'set' FROM o WHERE outcome = 'full' AND NOT minimal AND disc IS NOT NULL UNION ALL SELECT show_id, path, unnest(['TRACKTOTAL', 'TOTALTRACKS']), track_total::VARCHAR, 'set' FROM o WHERE outcome = 'full' AND NOT minimal
+UNION ALL SELECT show_id, path, 'DISCNUMBER', NULL, 'delete' FROM o WHERE outcome = 'full' AND NOT minimal AND disc IS NULL AND had_disc IS NOT NULL) SELECT * FROM w""")
+def tag_writes(s, d):
+    return tags.tag_writes(_planned(s, d), "show", "path").withColumnRenamed("show", "show_id")
+
+
+@query("SELECT print_id, '/copies/' || substr(folder || '/' || tracks[1].path, 8) AS dest FROM folder_prints WHERE starts_with(folder, '/tapes/')")
+def destinations(s, d):
+    p = table(s, d, "folder_prints").select("print_id", tags.destination(F.concat("folder", F.lit("/"), F.try_element_at(F.col("tracks.path"), F.lit(1))), "/tapes", "/copies/").alias("dest"), "folder")
+    return p.where(F.col("folder").startswith("/tapes/")).drop("folder")
+
+
 @query("SELECT print_id, len(tracks)::INTEGER AS n_tracks, coalesce(list_sum(list_transform(tracks, lambda t: round(t.duration * 1000)::BIGINT)), 0)::BIGINT AS duration_ms FROM folder_prints")
 def print_totals(s, d):
     return dedupe.totals(table(s, d, "folder_prints")).select("print_id", F.col("n_tracks").cast("int").alias("n_tracks"), "duration_ms")
@@ -221,13 +275,18 @@ def keeper_selection(s, d):
     return dedupe.keepers(p.select(F.col("audio_signature").alias("cluster"), "print_id", F.col("total_size").alias("bytes"), F.size("tracks").alias("tracks"), F.col("scanned_at").alias("mtime")))
 
 
-@query("""SELECT folder, sha1(regexp_extract(folder, '([^/]*)$', 1) || chr(10) || string_agg(l, chr(10) ORDER BY l)) AS fingerprint FROM (SELECT folder, t.path || '|' || round(t.duration * 1000)::BIGINT AS l FROM (SELECT folder, unnest(tracks) AS t FROM folder_prints)) GROUP BY 1""")
+INFO_SQL = "SELECT folder, arg_min(info_name, k) AS name, min(k).n AS size FROM (SELECT folder, info_name, {'s': -coalesce(strlen(info_txt), -1), 'm': info_name, 'n': coalesce(strlen(info_txt), -1)} AS k FROM concerts WHERE info_name IS NOT NULL) GROUP BY 1"
+
+
+@query(f"""WITH l AS (SELECT folder, t.path AS path, coalesce(round(t.duration * 1000)::BIGINT, -1) AS size FROM (SELECT folder, unnest(tracks) AS t FROM folder_prints)),
+a AS (SELECT folder, string_agg(chr(0) || 'a:' || path || '|' || size, '' ORDER BY path, size) AS audio FROM l WHERE path IS NOT NULL GROUP BY 1)
+SELECT folder, sha1(regexp_extract(folder, '([^/]*)$', 1) || audio || CASE WHEN i.name IS NULL THEN '' ELSE chr(0) || 'i:' || i.name || '|' || i.size END) AS fingerprint FROM a LEFT JOIN ({INFO_SQL}) i USING (folder)""")
 def folder_fingerprint(s, d):
     f = table(s, d, "folder_prints").select("folder", F.explode("tracks").alias("t")).select("folder", F.col("t.path").alias("path"), F.round(F.col("t.duration") * 1000).cast("bigint").alias("size"))
-    return dedupe.content_fingerprint(f)
+    return dedupe.content_fingerprint(f, table(s, d, "concerts").select("folder", F.col("info_name").alias("name"), F.octet_length("info_txt").alias("size")))
 
 
-@query("""SELECT print_id, sha1(string_agg(l, chr(10) ORDER BY l)) AS signature FROM (SELECT print_id, regexp_extract(t.path, '([^/]*)$', 1) || '|' || array_to_string(t.fp, ',') AS l FROM (SELECT print_id, unnest(tracks) AS t FROM folder_prints)) GROUP BY 1""")
+@query("""SELECT print_id, sha1(string_agg(regexp_extract(t.path, '([^/]*)$', 1) || '|' || array_to_string(t.fp, ',') || chr(0), '' ORDER BY regexp_extract(t.path, '([^/]*)$', 1), i)) AS signature FROM (SELECT print_id, unnest(tracks) AS t, generate_subscripts(tracks, 1) AS i FROM folder_prints) GROUP BY 1""")
 def audio_signature(s, d):
     return dedupe.audio_signature(table(s, d, "folder_prints")).where("signature is not null")
 
@@ -249,23 +308,50 @@ def history_latest(s, d):
     return _state(s, d, "true")
 
 
-ODD, EVEN = "concert_id % 2 = 1", "concert_id % 2 = 0"  # two runs over one library: each takes the rows of its own scans
-SKIP_SQL = f"WITH n AS ({LATEST_SQL.format(ODD)}), k AS ({LATEST_SQL.format(EVEN)})"
+#: Two runs over one library: the earlier one knew the scans before SINCE, the later one sees the last state of all.
+SINCE = "2022-06-01"
+EARLIER = f"scanned_at < timestamp '{SINCE}'"
+SKIP_SQL = f"WITH n AS ({LATEST_SQL.format('true')}), k AS ({LATEST_SQL.format(EARLIER)})"
 
 
 @query(f"{SKIP_SQL} SELECT folder, reason FROM (SELECT folder, CASE WHEN n.mtime = k.mtime THEN 'mtime' WHEN n.fingerprint = k.fingerprint THEN 'content' WHEN n.signature = k.signature THEN 'audio' END AS reason FROM n JOIN k USING (folder)) WHERE reason IS NOT NULL")
 def incremental_skip(s, d):
-    return history.unchanged(_state(s, d, ODD), _state(s, d, EVEN))
+    return history.unchanged(_state(s, d, "true"), _state(s, d, EARLIER))
 
 
 @query(f"{SKIP_SQL} SELECT n.* FROM n LEFT JOIN k USING (folder) WHERE coalesce(n.mtime = k.mtime OR n.fingerprint = k.fingerprint OR n.signature = k.signature, false) = false")
 def incremental_changed(s, d):
-    return history.changed(_state(s, d, ODD), _state(s, d, EVEN))
+    return history.changed(_state(s, d, "true"), _state(s, d, EARLIER))
 
 
 @query(f"{SKIP_SQL} SELECT folder, coalesce(n.mtime, k.mtime) AS mtime, coalesce(n.fingerprint, k.fingerprint) AS fingerprint, coalesce(n.signature, k.signature) AS signature FROM k FULL JOIN n USING (folder)")
 def history_upsert(s, d):
-    return history.upsert(_state(s, d, EVEN), _state(s, d, ODD))
+    return history.upsert(_state(s, d, EARLIER), _state(s, d, "true"))
+
+
+#: How the earlier run went, told by the folder's name: mode, failures, where copies went.
+RUN_SQL = "CASE WHEN length(folder) % 3 = 0 THEN 'copy-to' WHEN length(folder) % 3 = 1 THEN 'in-place' ELSE 'dry-run' END AS mode, CASE WHEN length(folder) % 7 = 0 THEN 1 ELSE 0 END AS failed, CASE WHEN length(folder) % 2 = 0 THEN '/a' ELSE '/b' END AS copy_to"
+COVERED = {"dry-run": "mode IN ('in-place', 'copy-to')", "in-place": "mode = 'in-place'", "copy-to": "mode = 'copy-to' AND copy_to = '/a'"}
+
+
+def _policy_sql(mode: str, rescan: bool) -> str:
+    heard = "n.signature IS NOT NULL AND k.signature IS NOT NULL"
+    reason = f"CASE WHEN n.mtime = k.mtime AND {not rescan} THEN 'mtime' WHEN n.fingerprint = k.fingerprint AND (NOT {rescan} OR ({heard})) THEN 'content' WHEN n.signature = k.signature THEN 'audio' END"
+    return f"SELECT '{mode}' AS run, {rescan} AS rescan, folder, {reason} AS reason FROM n JOIN k USING (folder) WHERE failed = 0 AND {COVERED[mode]} AND {reason} IS NOT NULL"
+
+
+RUNS = [(m, r) for m in COVERED for r in (False, True)]
+
+
+@query(f"WITH n AS ({LATEST_SQL.format('true')}), k AS (SELECT *, {RUN_SQL} FROM ({LATEST_SQL.format(EARLIER)})) " + " UNION ALL ".join(_policy_sql(m, r) for m, r in RUNS))
+def skip_policy(s, d):
+    n = F.length("folder")
+    k = _state(s, d, EARLIER).withColumns({"mode": F.when(n % 3 == 0, "copy-to").when(n % 3 == 1, "in-place").otherwise("dry-run"), "failed": F.when(n % 7 == 0, 1).otherwise(0), "copy_to": F.when(n % 2 == 0, "/a").otherwise("/b")})
+    now, out = _state(s, d, "true"), None
+    for mode, rescan in RUNS:
+        x = history.skips(now, k, mode, "/a", rescan, audio=True).select(F.lit(mode).alias("run"), F.lit(rescan).alias("rescan"), "folder", "reason")
+        out = x if out is None else out.unionAll(x)
+    return out
 
 
 # --- lexicon -------------------------------------------------------------------------------------------------------
@@ -296,7 +382,7 @@ def lexicon_match(s, d):
 @query(f"""WITH l AS (SELECT * FROM ({BUILD_SQL}) WHERE cnt >= 2), q AS (SELECT DISTINCT artist AS name, {KEY_SQL.format("artist")} AS k FROM concerts WHERE artist IS NOT NULL AND {KEY_SQL.format("artist")} <> ''),
 e AS (SELECT q.name, l.name AS match, 'exact' AS how FROM q JOIN l ON l.key = q.k),
 c AS (SELECT q.name, l.name AS match, 'contained' AS how, row_number() OVER (PARTITION BY q.name ORDER BY length(l.key) DESC, l.cnt DESC, l.key DESC) AS r FROM q JOIN l ON length(l.key) >= 5 AND length(l.key) < length(q.k) AND contains(' ' || q.k || ' ', ' ' || l.key || ' ')
-WHERE NOT regexp_matches(q.name, '{text.TRIBUTE}') AND q.name NOT IN (SELECT name FROM e))
+WHERE NOT regexp_matches(q.k, '{text.TRIBUTE}') AND q.name NOT IN (SELECT name FROM e))
 SELECT * FROM e UNION ALL SELECT name, match, how FROM c WHERE r = 1""")
 def lexicon_contained(s, d):
     return lexicon.match(table(s, d, "concerts").select(F.col("artist").alias("name")), _lex(s, d), fuzzy=False)
@@ -313,7 +399,7 @@ def normalize_names(s, d):
     return table(s, d, "lexicon").select("entry_id", text.normalize_name(F.col("name")).alias("key"))
 
 
-@query("SELECT entry_id, CASE WHEN starts_with(name, 'The ') OR starts_with(name, 'the ') THEN substr(name, 5) ELSE name END AS sort_name FROM lexicon")
+@query("SELECT entry_id, coalesce(trim(regexp_replace(name, '^[Tt]he\\s+', '')), '') AS sort_name FROM lexicon")
 def sort_names(s, d):
     return table(s, d, "lexicon").select("entry_id", text.sort_key(F.col("name")).alias("sort_name"))
 
@@ -348,23 +434,23 @@ def date_roundtrip(s, d):
 @query()
 def folder_dates(s, d):
     n = text.path_name(F.col("folder"))
-    return table(s, d, "concerts").select("concert_id", parse_date(n).alias("date"), first_date_position(n).alias("starts"), first_date_end(n).alias("ends"))
+    return spread_if_few(table(s, d, "concerts")).select("concert_id", parse_date(n).alias("date"), first_date_position(n).alias("starts"), first_date_end(n).alias("ends"))
 
 
 @query()
 def folder_artists(s, d):
     n = text.path_name(F.col("folder"))
-    return table(s, d, "concerts").select("concert_id", artists.guess(n).alias("before_date"), artists.weak(n).alias("weak"), artists.trust_parent(F.col("folder")).alias("above"), artists.in_various(F.col("folder")).alias("various"))
+    return spread_if_few(table(s, d, "concerts")).select("concert_id", artists.guess(n).alias("before_date"), artists.weak(n).alias("weak"), artists.trust_parent(F.col("folder")).alias("above"), artists.in_various(F.col("folder")).alias("various"))
 
 
 @query()
 def notes_fields(s, d):
-    return notes.parse_notes(table(s, d, "concerts").select("concert_id", F.col("info_txt").alias("body"))).select("concert_id", "n_artist", "n_date", "n_venue", "n_city", "n_region")
+    return notes.parse_notes(spread_if_few(table(s, d, "concerts").select("concert_id", F.col("info_txt").alias("body")))).select("concert_id", "n_artist", "n_date", "n_venue", "n_city", "n_region")
 
 
 @query()
 def notes_setlists(s, d):
-    t = setlist.setlist(table(s, d, "concerts").select(F.col("concert_id").alias("doc"), F.col("info_txt").alias("body")))
+    t = setlist.setlist(spread_if_few(table(s, d, "concerts").select(F.col("concert_id").alias("doc"), F.col("info_txt").alias("body"))))
     x = t.select("doc", F.posexplode("raw").alias("pos", "x")).select("doc", "pos", "x.disc", "x.title")
     return setlist.finalize(x, ["doc"]).select(F.col("doc").alias("concert_id"), "pos", "number", "disc", F.col("disc_total").cast("int").alias("disc_total"), "title")
 
@@ -372,13 +458,16 @@ def notes_setlists(s, d):
 @query()
 def assembled_shows(s, d):
     f = table(s, d, "folder_prints").select("concert_id", F.col("tracks.path").alias("files"))
-    c = table(s, d, "concerts").select("concert_id", "folder", F.col("info_txt").alias("body")).join(f, "concert_id", "left")
-    return assemble.assemble(c).drop("body", "files").withColumn("album", assemble.album_name(F.col("date"), F.col("venue"), F.col("city"), F.col("region"), F.col("source")))
+    c = spread_if_few(table(s, d, "concerts").select("concert_id", "folder", F.col("info_txt").alias("body"))).join(f, "concert_id", "left")
+    lex = table(s, d, "lexicon").select("kind", "name", "cnt").unionAll(table(s, d, "starter_lexicon").select("kind", "name", "cnt"))
+    known = lambda kind: lexicon.build(lex.where(F.col("kind") == kind), cnt=F.col("cnt"))
+    x = assemble.assemble_whole(c, "concert_id", known("artist"), known("venue"))
+    return x.select("concert_id", "artist", "date", "venue", "city", "region", source.label(F.col("source")).alias("source"), F.size("tracks").alias("tracks"), F.array_join("issues", "; ").alias("issues"), F.round(F.col("confidence") * 100).cast("int").alias("confidence_pct"), "album")
 
 
 @query()
 def source_detect(s, d):
-    return table(s, d, "concerts").select("concert_id", source.detect(text.path_name(F.col("folder")), F.col("info_txt")).alias("source")).select("concert_id", "source.kind", F.array_join("source.mics", "|").alias("mics"))
+    return spread_if_few(table(s, d, "concerts")).select("concert_id", source.detect(text.path_name(F.col("folder")), F.col("info_txt")).alias("source")).select("concert_id", "source.kind", F.array_join("source.mics", "|").alias("mics"))
 
 
 ROUND = "FROM concerts c JOIN venue_ref v ON v.venue_id = 501 + c.concert_id % 200 WHERE regexp_full_match(show_date, '(19|20)\\d\\d-\\d\\d-\\d\\d') AND try_cast(show_date AS DATE) IS NOT NULL"
@@ -412,7 +501,7 @@ _vectors("source_vectors", [("sbd akg 414 AKG mk4", "[SBD Schoeps MK4 AKG 414]")
 _vectors("disc_marker_vectors", [("Disc 1", "1:"), ("WHEN WE WERE KINGS [Disc 2]", "2:when we were kings"), ("Volume 4", "4:"), ("1st Set", "1:"), ("late show", "99:"), ("Early Show", "0:"), ("foo", None), ("x cd two", "2:x")], lambda c: F.concat(setlist.disc_of_name(c)["idx"].cast("string"), F.lit(":"), setlist.disc_of_name(c)["base"]))
 _vectors("junk_name_vectors", [("CD 1", True), ("1999-01-02 x", True), ("[meta]", True), ("Archive Series", True), ("BOOTLEG", True), ("ABBA", False), ("Phish", False), ("", False), ("x", True), ("Remastered", True)], text.is_junk_name, "boolean", "BOOLEAN")
 _vectors("release_artist_vectors", [("Some Artist - A Title", "Some Artist"), ("Some.Artist.Live.1999.FLAC", None), ("_x", None), ("Band 320k", "Band"), ("Band", "Band")], text.release_artist)
-_vectors("human_bytes_vectors", [("512", "512.0 B"), ("1536", "1.5 KB"), ("10485760", "10.0 MB"), ("5368709120", "5.0 GB")], lambda c: text.human_bytes(c.cast("double")))
+_vectors("human_bytes_vectors", [("512", "512.0 B"), ("1536", "1.5 KiB"), ("10485760", "10.0 MiB"), ("5368709120", "5.0 GiB")], lambda c: text.human_bytes(c.cast("double")))
 _vectors("venue_line_vectors", [("THE FILLMORE", True), ("http://x.com", False), ("Lineage: a > b", False), ("12345678", False), ("mics on stand", False), ("ab", False), ("Recorded by X", False)], lines.is_venue, "boolean", "BOOLEAN")
 _vectors("city_of_folder_vectors", [("x, Fillmore, San Francisco, CA", "San Francisco|CA"), ("1977 Ithaca NY", "Ithaca|NY"), ("a, Apollo, Manchester, England", "Manchester|England"), ("nothing", "")], lambda c: F.concat_ws("|", lines.city_of_folder(c)["city"], lines.city_of_folder(c)["region"]))
 _vectors("file_kind_vectors", [("a.FLAC", "audio"), ("info", "info"), ("x.md5.txt", None), (".hidden.mp3", None), ("notes.txt", "info"), ("cover.jpg", None)], discover.file_kind)
@@ -439,9 +528,72 @@ def library_candidates(s, d):
     return discover.candidates(f.distinct(), "/tapes")
 
 
-@query()
-def enrichment(s, d):
+BLANK_SQL = "nullif(regexp_replace({0}, '^\\s+|\\s+$', '', 'g'), '')"
+ENRICH_SQL = f"""WITH c AS ({COUNTS_SQL}), best AS (SELECT parent, show_date, arg_min({{'venue': venue, 'city': city, 'region': region}}, {{'a': scanned_at, 'b': concert_id}}) AS e FROM c WHERE show_date IS NOT NULL AND venue IS NOT NULL AND parent IS NOT NULL GROUP BY 1, 2)
+SELECT c.concert_id AS show_id, c.venue AS own_venue, c.city AS own_city, c.region AS own_region, e IS NOT NULL AS hit, coalesce({BLANK_SQL.format("c.venue")}, e.venue) AS venue, coalesce({BLANK_SQL.format("c.city")}, e.city) AS city, coalesce({BLANK_SQL.format("c.region")}, e.region) AS region, n_tracks AS tracks,
+coalesce(s.n, 0) AS songs FROM c LEFT JOIN best ON best.parent = c.parent AND best.show_date = c.show_date LEFT JOIN (SELECT x.parent, x.show_date, count(*) AS n FROM tracks t JOIN (SELECT parent, show_date, arg_min(concert_id, {{'a': scanned_at, 'b': concert_id}}) AS concert_id FROM c WHERE show_date IS NOT NULL AND venue IS NOT NULL AND parent IS NOT NULL GROUP BY 1, 2) x USING (concert_id) WHERE t.title IS NOT NULL GROUP BY 1, 2) s ON s.parent = c.parent AND s.show_date = c.show_date"""
+
+
+def _enriched(s, d):
+    """Each show beside the first record of its artist's directory and date, as if that had been looked up."""
     c = _counted(s, d).select(F.col("concert_id").alias("show"), "parent", "show_date", "venue", "city", "region", F.col("n_tracks").alias("tracks"), "scanned_at")
-    best = c.where("show_date is not null and venue is not null").groupBy("parent", "show_date").agg(F.min_by(F.struct("venue", "city", "region"), F.struct("scanned_at", "show")).alias("e"))
-    found = c.select("show", "parent", "show_date").join(best, ["parent", "show_date"]).select("show", "e.*", F.array().cast("array<string>").alias("songs"), F.lit(0).alias("rank"))
-    return tags.enrich(c, found)
+    best = c.where("show_date is not null and venue is not null and parent is not null").groupBy("parent", "show_date").agg(F.min_by(F.struct("show", "venue", "city", "region"), F.struct("scanned_at", "show")).alias("e"))
+    titles = table(s, d, "tracks").where("title is not null").groupBy(F.col("concert_id").alias("first")).agg(F.sort_array(F.collect_list("title")).alias("songs"))
+    found = c.select("show", "parent", "show_date").join(best, ["parent", "show_date"]).select("show", F.col("e.show").alias("first"), "e.venue", "e.city", "e.region").join(titles, "first", "left")
+    return c, found.select("show", "venue", "city", "region", F.coalesce("songs", F.array().cast("array<string>")).alias("songs"), F.lit(0).alias("rank"))
+
+
+@query(f"""SELECT show_id, venue, city, region, tracks, songs::INTEGER AS songs, CASE WHEN songs = 0 THEN 'none' WHEN tracks = 0 THEN 'fill' WHEN tracks = songs THEN 'confirm' ELSE 'overwrite' END AS songs_action FROM ({ENRICH_SQL})""")
+def enrichment(s, d):
+    c, found = _enriched(s, d)
+    return tags.enrich(c, found).withColumnRenamed("show", "show_id")
+
+
+@query(f"""SELECT count(*) FILTER (hit) AS matched, count(*) FILTER (hit AND (({BLANK_SQL.format("own_venue")} IS NULL AND venue IS NOT NULL) OR ({BLANK_SQL.format("own_city")} IS NULL AND city IS NOT NULL) OR ({BLANK_SQL.format("own_region")} IS NULL AND region IS NOT NULL))) AS changed, count(*) FILTER (NOT hit) AS missed FROM ({ENRICH_SQL})""")
+def enrichment_counts(s, d):
+    c, found = _enriched(s, d)
+    return tags.enrichment_counts(c, tags.enrich(c, found), found)
+
+
+# --- mining --------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT value, count(*) AS n FROM (SELECT {FILLED.format('venue')} AS value FROM concerts) WHERE value IS NOT NULL GROUP BY 1 ORDER BY n DESC, value LIMIT 30")
+def top_venues(s, d):
+    return stats.top_values(table(s, d, "concerts"), "venue")
+
+
+@query(f"SELECT parent, count(*) AS n FROM concerts WHERE {FILLED.format('artist')} IS NULL GROUP BY 1")
+def unknown_by_parent(s, d):
+    return stats.missing_by_parent(table(s, d, "concerts"))
+
+
+@query()
+def mined_mics(s, d):
+    return stats.mine_mics(spread_if_few(table(s, d, "concerts").select(F.col("info_txt").alias("body"))))
+
+
+@query()
+def source_kinds(s, d):
+    return stats.source_kinds(spread_if_few(table(s, d, "concerts").select(F.col("info_txt").alias("body"))))
+
+
+@query("""WITH x AS (SELECT lower(substr(regexp_extract(parent, '([^/]*)$', 1), 1, 5)) AS prefix, artist, count(*) AS n FROM concerts WHERE artist IS NOT NULL GROUP BY 1, 2),
+y AS (SELECT *, sum(n) OVER (PARTITION BY prefix) AS total, row_number() OVER (PARTITION BY prefix ORDER BY n DESC, artist) AS r FROM x WHERE length(prefix) BETWEEN 2 AND 12)
+SELECT concert_id, y.artist FROM concerts c JOIN y ON y.r = 1 AND y.n >= 2 AND y.n >= y.total * 0.8 AND y.prefix = lower(substr(regexp_extract(c.parent, '([^/]*)$', 1), 1, 5))""")
+def prefix_artists(s, d):
+    c = table(s, d, "concerts").withColumn("prefix", F.lower(F.substring(text.path_name(F.col("parent")), 1, 5)))
+    return c.select("concert_id", "prefix").join(lexicon.prefix_dictionary(c.select("prefix", F.col("artist").alias("creator"))), "prefix").select("concert_id", "artist")
+
+
+@query()
+def ancestor_artists(s, d):
+    return lexicon.from_ancestors(table(s, d, "concerts").select("folder"), _lex(s, d))
+
+
+@query()
+def library_folders(s, d):
+    f = table(s, d, "folder_prints").select("concert_id", "folder", F.explode("tracks").alias("t")).select("concert_id", "folder", F.concat("folder", F.lit("/"), F.col("t.path")).alias("path"), F.lit(1).cast("bigint").alias("size"))
+    i = table(s, d, "concerts").where("info_name is not null").join(f.select("concert_id").distinct(), "concert_id", "left_semi").select(F.concat("folder", F.lit("/"), "info_name").alias("path"), F.octet_length("info_txt").cast("bigint").alias("size"))
+    x = discover.enumerate_folders(f.select("path", "size").distinct().unionAll(i.groupBy("path").agg(F.max("size").alias("size"))), "/tapes")
+    return x.select("folder", "how", F.size("audio").alias("files"), F.try_element_at("audio", F.lit(1)).alias("first"), "info")

@@ -76,6 +76,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n)
 
 
+def spread_if_few(df: DataFrame) -> DataFrame:
+    """A plain scan in fewer parts than there are cores (a small file in one row group) over all of them; any other as it is, so
+    that a large table is not shuffled for it."""
+    return spread(df) if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per context, so that Python stages run where it isn't installed."""
     sc = spark.sparkContext
