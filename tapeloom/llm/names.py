@@ -19,9 +19,9 @@ VENUE_TYPES = (
 SHORT = {"aud": "auditorium", "amph": "amphitheatre", "blrm": "ballroom", "bldg": "building", "ctr": "center", "cntr": "center", "cen": "center", "centre": "center", "theater": "theatre", "theatro": "teatro", "thtr": "theatre", "thr": "theatre", "fest": "festival", "gnds": "grounds", "grnds": "grounds", "gds": "grounds", "gym": "gymnasium", "hl": "hall", "hse": "house", "mem": "memorial", "meml": "memorial", "mus": "music", "op": "opera", "pav": "pavilion", "plc": "palace", "stad": "stadium", "stdm": "stadium", "tav": "tavern", "tvn": "tavern", "univ": "university", "u": "university", "whse": "warehouse", "wrhse": "warehouse", "playhse": "playhouse", "lnge": "lounge", "fairgr": "fairgrounds", "fairgnds": "fairgrounds", "amphitheater": "amphitheatre", "colosseum": "coliseum", "orch": "orchestra", "proj": "project", "co": "company", "bros": "brothers", "hwy": "highway", "riv": "river", "mtn": "mountain", "isl": "island", "jct": "junction", "stet": "quintet", "atet": "quartet", "stn": "station"}
 #: Short forms in place names.
 PLACE_SHORT = {"ft": "fort", "mt": "mount", "mnt": "mount", "st": "saint", "ste": "saint", "pt": "port", "prt": "port", "n": "north", "s": "san", "spgs": "springs", "sprgs": "springs", "fls": "falls", "no": "north", "nw": "new", "chat": "chateau"}
-#: Given names and what they are called for short.
+#: Given names and what they are called for short, as far as :func:`diminutive` does not tell.
 NICKNAMES = {
-    "albert": "al bert bertie", "alexander": "alex al sandy sasha xander lex", "alexandra": "alex sandra lexi", "andrew": "andy drew", "anthony": "tony", "barbara": "barb barbie", "benjamin": "ben benny benji", "catherine": "cathy kate katie cat", "charles": "charlie chuck", "christopher": "chris kit topher", "christine": "chris chrissy tina", "daniel": "dan danny", "david": "dave davey", "deborah": "deb debbie debby", "dmitri": "dima mitya", "dorothy": "dot dottie dolly", "douglas": "doug", "edward": "ed eddie ted ned", "eleanor": "ellie nell nora", "elizabeth": "liz lizzie beth betty eliza bess libby", "esther": "essie", "florence": "flo flossie", "frances": "fran frankie", "francis": "frank frankie", "frederick": "fred freddie freddy", "gabriel": "gabe", "gabriella": "gabby gaby ella", "george": "georgie", "gerald": "gerry jerry", "gregory": "greg", "harold": "harry hal", "henry": "hank harry", "ingrid": "inga", "jacob": "jake", "james": "jim jimmy jamie", "janet": "jan", "jeffrey": "jeff", "jennifer": "jen jenny", "jessica": "jess jessie", "john": "jack johnny", "jonathan": "jon jonny", "joseph": "joe joey", "josephine": "jo josie", "joshua": "josh", "judith": "judy", "katherine": "kate kathy katie kat", "kenneth": "ken kenny", "kimberly": "kim", "kirsten": "kirsty", "lawrence": "larry laurie", "leonard": "len lenny leo", "leonora": "nora leo", "louis": "lou louie", "mabel": "mae may", "margaret": "maggie meg peggy marge greta", "martin": "marty", "matthew": "matt matty", "michael": "mike mick mickey", "mildred": "millie", "nathaniel": "nate nat", "nicholas": "nick nicky", "nicole": "nikki nicky", "odette": "etta", "olivia": "liv livvy", "oliver": "ollie", "pamela": "pam", "patricia": "pat patty tricia", "patrick": "pat paddy", "pauline": "polly", "peter": "pete", "philip": "phil", "philippa": "pippa pip", "quentin": "quin", "randall": "randy", "raymond": "ray", "rebecca": "becky becca", "richard": "rick dick ricky rich", "robert": "bob rob bobby robbie bert", "ronald": "ron ronnie", "rosemary": "rose rosie", "russell": "russ", "samuel": "sam sammy", "samantha": "sam sammy", "sandra": "sandy", "sebastian": "seb bas", "stephen": "steve", "steven": "steve", "stephanie": "steph", "susan": "sue susie", "sybil": "syb", "tamsin": "tammy tam", "theodore": "ted theo teddy", "theresa": "terry tess", "thomas": "tom tommy", "timothy": "tim timmy", "ursula": "ursie ulla", "valerie": "val", "victor": "vic", "victoria": "vicky tori vic", "vincent": "vince vinny", "virginia": "ginny", "walter": "walt wally", "william": "will bill billy willie liam", "winifred": "winnie fred", "zachary": "zach zack zac",
+    "albert": "al bert bertie", "alexander": "al sandy sasha xander lex", "alexandra": "sandra lexi", "andrew": "drew", "anthony": "tony", "catherine": "kate katie", "charles": "chuck", "christopher": "kit topher", "christine": "tina", "dmitri": "dima mitya", "dorothy": "dot dottie dolly", "edward": "ed eddie ted ned", "eleanor": "ellie nell nora", "elizabeth": "liz lizzie beth betty bess libby", "esther": "essie", "florence": "flossie", "frances": "frankie", "francis": "frank frankie", "gabriella": "ella", "george": "georgie", "gerald": "jerry", "harold": "hal", "henry": "hank harry", "ingrid": "inga", "jacob": "jake", "james": "jim jimmy", "john": "jack johnny", "joseph": "joe joey", "josephine": "jo", "lawrence": "larry laurie", "leonard": "len lenny", "leonora": "nora", "mabel": "mae may", "margaret": "maggie meg peggy greta", "michael": "mike", "nicole": "nikki", "odette": "etta", "olivia": "liv livvy", "oliver": "ollie", "patricia": "tricia", "patrick": "paddy", "pauline": "polly", "philippa": "pippa pip", "quentin": "quin", "rebecca": "becky becca", "richard": "dick", "robert": "bob bobby bert", "sebastian": "bas", "stephen": "steve", "susan": "sue", "theodore": "ted teddy", "theresa": "terry tess", "thomas": "tom tommy", "ursula": "ulla", "victoria": "tori", "virginia": "ginny", "william": "bill billy liam", "winifred": "fred",
 }
 FORMAL: dict[str, frozenset[str]] = {}
 for _full, _short in NICKNAMES.items():
@@ -96,6 +96,21 @@ def slack(n: int) -> int:
     return 0 if n <= 3 else 1 if n <= 5 else 2 if n <= 8 else 3
 
 
+def diminutive(short: str, full: str) -> bool:
+    """May `short` be `full` cut off, perhaps with an ending: Herb, Ernie, Penny, Dave, Vicky of Herbert, Ernest, Penelope, ..."""
+    return any(full.startswith(x) and len(full) >= len(x) + 2 for x in stems(short))
+
+
+def stems(w: str) -> set[str]:
+    """The beginnings of full names, of three letters or more, that a short form may come from."""
+    out = {w}
+    for end in ("ie", "ey", "y", "e", "i"):
+        if w.endswith(end):
+            out.add(w[: -len(end)])
+    out |= {x[:-1] for x in out if len(x) > 3 and x[-1] == x[-2]} | {x[:-1] for x in out if x.endswith("ck")}
+    return {x for x in out if len(x) >= 3}
+
+
 NONE, WEAK, STRONG = 0, 1, 2
 
 
@@ -122,7 +137,7 @@ def same_word(a: str, a_dot: bool, b: str, b_dot: bool, given: bool = False) ->
     k = slack(min(len(a), len(b)))
     if k and min(edits(a, b, k), edits(sound(a), sound(b), k)) <= k:
         return STRONG
-    return NONE
+    return WEAK if given and diminutive(short, long) else NONE
 
 
 @lru_cache(100_000)

@@ -76,7 +76,7 @@ def test_names_meet_whatever_word_is_the_rarer(spark):
 
 @pytest.mark.parametrize("a, b, kind, want", [
     ("The Parade of Kafutuwu", "Parade of Kafutuwu, The", "artist", 2), ("Kafutuwu-Parade", "The Pasrade of Kafutuwu", "artist", 2),
-    ("Mabel Drezedroher", "M Drezedroher", "artist", 1), ("Mabel Drezedroher", "Kenneth Drezedroher", "artist", 0), ("Nebirostond, Matt", "Matthew Nebirostond", "artist", 2),
+    ("Mabel Drezedroher", "M Drezedroher", "artist", 1), ("Mabel Drezedroher", "Kenneth Drezedroher", "artist", 0), ("Nebirostond, Matt", "Matthew Nebirostond", "artist", 1), ("Herb Kugostano", "Herbert Kugostano", "artist", 1), ("Bob Kugostano", "Robert Kugostano", "artist", 2), ("Jessica Kugostano", "Jasper Kugostano", "artist", 0),
     ("ODETTEKUGOSTANO", "Odette Kugostano", "artist", 2), ("Vevamudru Shadows", "Vevamudru Mountain", "artist", 0), ("Edward Postapihan", "Edward Postapihan Tribute Band", "artist", 0),
     ('Albert "Bertie" Mohabazur', "Albert F. Mohabazur", "artist", 2), ("The Bakilefin Owl", "The Bakilefin Owls", "artist", 2), ("Kaabustabret N.", "Nadine Kabustabret", "artist", 1),
     ("Befetusus Mem. Aud.", "Befetusus Memorial Auditorium", "venue", 2), ("Tavern, Stupuhadim", "Stupuhadim Tavern", "venue", 2), ("Stodurohot Pavilion", "Stodurohot Festival Grounds", "venue", 0),
@@ -101,6 +101,15 @@ def test_found_pairs(spark):
     assert got == {("artist", a, b) for a in p for b in p if a < b} | {("venue", "Rahestesot Saal", "Saal Rahestesot")}
 
 
+def test_short_forms_by_rule_and_in_rounds(spark):
+    pairs = {"ernie": "ernest", "penny": "penelope", "herb": "herbert", "dave": "david", "vicky": "victoria", "andy": "andrew", "nick": "nicholas", "gabe": "gabriel"}
+    assert all(names.diminutive(a, b) for a, b in pairs.items()) and not any(names.diminutive(*x) for x in (("bob", "robert"), ("al", "albert"), ("jess", "jasper"), ("herbert", "herb"), ("herber", "herbert")))
+    c, lex, st = _tables(spark, ["Ernest Kugostano", "E. Kugostano", "Kugostano, Ernie", "Ernest J. Kugostano", "Dan Tuvosak", "Daniel Tuvosak", "Danford Tuvosak"], [None])
+    got = {(r.name_a, r.name_b) for r in variants.found(c, lex, st).collect()}
+    one = ["E. Kugostano", "Ernest J. Kugostano", "Ernest Kugostano", "Kugostano, Ernie"]
+    assert got == {(a, b) for a in one for b in one if a < b}  # E. fits Ernie and Ernest until these are one; Dan fits two
+
+
 def test_short_form_of_two_stays_alone(spark):
     c, lex, st = _tables(spark, ["Mabel Drezedroher", "Martin Drezedroher", "M Drezedroher"], ["x"])
     assert variants.found(c, lex, st).count() == 0
