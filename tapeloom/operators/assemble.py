@@ -46,9 +46,10 @@ def tolerance(tracks: Column, audio: Column, override: Column | None = None) ->
     return own if override is None else F.when(override >= 0, override).otherwise(own)
 
 
-def _matched(d: DataFrame, col: str, lexicon: DataFrame, out: str) -> DataFrame:
-    """Adds `out`, the lexicon's spelling of `col`: each distinct name is matched once; the answers are broadcast if small."""
-    known = cut(match(d.select(F.col(col).alias("name")), lexicon)).select(F.col("name").alias(col), F.col("match").alias(out))
+def _matched(d: DataFrame, col: str, lexicon: DataFrame, out: str, where: str = "true") -> DataFrame:
+    """Adds `out`, the lexicon's spelling of `col`: each distinct name of the rows `where` is matched once; the answers are
+    broadcast if small."""
+    known = cut(match(d.where(where).select(F.col(col).alias("name")), lexicon)).select(F.col("name").alias(col), F.col("match").alias(out))
     return d.join(broadcast_if_small(known), col, "left")
 
 
@@ -67,7 +68,7 @@ def assemble(shows: DataFrame, artists: DataFrame | None = None, venues: DataFra
     d = d.withColumn("_said", F.coalesce("n_artist", "artist_folder")).withColumn("_prose", F.coalesce(is_prose(F.col("_said")), F.lit(False)))
     d = d.withColumn("_known", F.lit(None).cast("string"))
     if artists is not None:
-        d = _matched(cut(d.drop("_known")), "_said", artists, "_known")
+        d = _matched(cut(d.drop("_known")), "_said", artists, "_known", "_prose")
     d = d.withColumn("artist_read", F.when(F.col("_prose"), F.coalesce("_known", "artist_folder")).otherwise(F.col("_said")))
     first, venue = F.col("artist_read"), F.col("n_venue")
     if artists is not None:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import has_date_shape
 from ..functions.lines import CHECKSUM_LINE
 from ..functions.text import extension, path_name, strip
+from ..session import cut
 from .setlist import LINE_BREAK, disc_of_name
 
 #: Fixed values.
@@ -81,7 +82,7 @@ def disc_parents(dirs: DataFrame) -> DataFrame:
 def candidates(files: DataFrame, root: str, max_depth: int = MAX_DEPTH, exclude: tuple[str, ...] = ()) -> DataFrame:
     """``dir, how``: the show folders below `root`. A folder with audio is one; a parent of discs is one in their place; a
     folder whose only child merely wraps the unpacked archive stands for that child. Sorted by path."""
-    d = directories(files.where(F.col("path").startswith(root.rstrip("/") + "/")), exclude)
+    d = cut(directories(files.where(F.col("path").startswith(root.rstrip("/") + "/")), exclude))
     level = F.size(F.filter(F.split("dir", "/"), lambda p: p != "")) - len([p for p in root.split("/") if p])
     d = d.where(F.col("dir").startswith(root.rstrip("/") + "/")).where(level <= max_depth)
     discs = disc_parents(d).select(F.col("dir"), F.lit("discs").alias("how"))
@@ -100,7 +101,7 @@ def enumerate_folders(files: DataFrame, root: str, max_depth: int = MAX_DEPTH, e
     folder's audio stands for the wrapper's. The info file is the folder's own, else the first disc's that has one: the largest,
     then by name.
     """
-    shows = candidates(files, root, max_depth, exclude)
+    shows = cut(candidates(files, root, max_depth, exclude))
     f = files.select("path", "size", F.regexp_replace("path", "/[^/]*$", "").alias("host"), path_name(F.col("path")).alias("name")).withColumn("kind", file_kind(F.col("name"))).where("kind is not null")
     below = f.where("kind = 'audio'").select("host").distinct().select("host", F.regexp_replace("host", "/[^/]*$", "").alias("folder"))
     own = shows.where("how = 'audio'").select(F.col("dir").alias("folder"), "how", F.col("dir").alias("host"))

@@ -482,12 +482,12 @@ def notes_roundtrip(s, d):
     return notes.parse_notes(c.select("concert_id", body.alias("body"))).select("concert_id", "n_artist", "n_date", "n_venue", "n_city", "n_region")
 
 
-TRACK_BODY = "FROM tracks WHERE title IS NOT NULL AND regexp_full_match(title, '[A-Za-z][A-Za-z'' ]*[A-Za-z]') AND NOT regexp_matches(title, '(?i)^\\s*(disc|cd|disk|set|encore|early|late|matinee|evening)')"
+TRACK_BODY = "FROM tracks WHERE title IS NOT NULL AND regexp_full_match(title, '\\p{L}[\\p{L}\\p{M}''’ ]*\\p{L}') AND NOT regexp_matches(title, '(?i)^\\s*(disc|cd|disk|set|encore|early|late|matinee|evening)')"
 
 
 @query(f"SELECT concert_id AS doc, (row_number() OVER (PARTITION BY concert_id ORDER BY {KEYED}) - 1)::INTEGER AS pos, title {TRACK_BODY}")
 def setlist_roundtrip(s, d):
-    t = _tracks(s, d).where(F.col("title").rlike(r"^[A-Za-z][A-Za-z' ]*[A-Za-z]$") & ~F.col("title").rlike(r"(?i)^\s*(disc|cd|disk|set|encore|early|late|matinee|evening)"))
+    t = _tracks(s, d).where(F.col("title").rlike(r"^\p{L}[\p{L}\p{M}'’ ]*\p{L}$") & ~F.col("title").rlike(r"(?i)^\s*(disc|cd|disk|set|encore|early|late|matinee|evening)"))
     b = t.groupBy(F.col("concert_id").alias("doc")).agg(F.sort_array(F.collect_list(F.struct("at", "title"))).alias("l"))
     body = F.array_join(F.transform("l", lambda x, i: F.concat(F.lpad((i + 1).cast("string"), 3, "0"), F.lit(". "), x["title"], F.lit("  3:45"))), "\n")
     return setlist.setlist(b.select("doc", body.alias("body"))).select("doc", F.posexplode("raw").alias("pos", "x")).select("doc", "pos", "x.title")
@@ -522,7 +522,8 @@ def unpack_wrappers(s, d):
     return s.createDataFrame(rows, "outer_name string, inner_name string").withColumn("wraps", discover.is_wrapper(F.col("outer_name"), F.col("inner_name")))
 
 
-@query()
+#: In this library every folder with audio stands for itself: none wraps another or is a disc.
+@query("SELECT DISTINCT folder AS dir, 'audio' AS how FROM folder_prints")
 def library_candidates(s, d):
     f = table(s, d, "folder_prints").select(F.explode(F.transform("tracks", lambda t: F.concat("folder", F.lit("/"), t["path"]))).alias("path"))
     return discover.candidates(f.distinct(), "/tapes")
@@ -591,7 +592,9 @@ def ancestor_artists(s, d):
     return lexicon.from_ancestors(table(s, d, "concerts").select("folder"), _lex(s, d))
 
 
-@query()
+@query(f"""WITH f AS (SELECT DISTINCT folder, t.path AS name FROM (SELECT folder, unnest(tracks) AS t FROM folder_prints)), i AS (SELECT c.folder, c.info_name AS name, max(strlen(c.info_txt)) AS size FROM concerts c JOIN folder_prints p USING (concert_id)
+ WHERE regexp_matches(lower(c.info_name), '\\.(txt|nfo|info|md|rtf)$|^(info|notes|setlist|tracks|readme|tracklist)$') AND NOT starts_with(c.info_name, '.') AND NOT regexp_matches(lower(c.info_name), '{"|".join(discover.CHECKSUM_HINTS)}') GROUP BY 1, 2)
+SELECT folder, 'audio' AS how, count(*)::INTEGER AS files, folder || '/' || min(name) AS first, any_value(folder || '/' || best) AS info FROM f LEFT JOIN (SELECT folder, arg_min(name, {{'s': -coalesce(size, -1), 'n': name}}) AS best FROM i GROUP BY 1) USING (folder) GROUP BY 1""")
 def library_folders(s, d):
     f = table(s, d, "folder_prints").select("concert_id", "folder", F.explode("tracks").alias("t")).select("concert_id", "folder", F.concat("folder", F.lit("/"), F.col("t.path")).alias("path"), F.lit(1).cast("bigint").alias("size"))
     i = table(s, d, "concerts").where("info_name is not null").join(f.select("concert_id").distinct(), "concert_id", "left_semi").select(F.concat("folder", F.lit("/"), "info_name").alias("path"), F.octet_length("info_txt").cast("bigint").alias("size"))

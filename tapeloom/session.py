@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -35,7 +37,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 
     The folder is the session's ``spark.checkpoint.dir`` (shared by all executors); only where neither the setting
-    nor a checkpoint folder exists, as in local tests, a temporary one is set.
+    nor a checkpoint folder exists, as in local tests, a temporary one is set, which goes with the process.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -43,7 +45,10 @@ def cut(df: DataFrame) -> DataFrame:
         given = spark.conf.get("spark.checkpoint.dir", None)
         if not given and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="tapeloom-checkpoint-"))
+        if not given:
+            given = tempfile.mkdtemp(prefix="tapeloom-checkpoint-")
+            atexit.register(shutil.rmtree, given, ignore_errors=True)
+        sc.setCheckpointDir(given)
     return df.checkpoint(eager=True)
 
 
@@ -89,6 +94,7 @@ def ship(spark: SparkSession) -> None:
         return
     root = Path(__file__).resolve().parent
     at = Path(tempfile.mkdtemp(prefix="tapeloom-code-")) / "tapeloom_code.zip"
+    atexit.register(shutil.rmtree, at.parent, ignore_errors=True)
     with zipfile.ZipFile(at, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f"{root.name}/{f.relative_to(root)}")
