@@ -11,7 +11,7 @@ from .functions import artists, lines, source, text
 from .functions.dates import first_date_end, first_date_position, parse_date
 from .operators import assemble, dedupe, discover, history, lexicon, notes, setlist, stats
 from .plans import tags
-from .session import ship, spread_if_few, table
+from .session import by_key, ship, spread_if_few, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -458,7 +458,7 @@ def notes_setlists(s, d):
 @query()
 def assembled_shows(s, d):
     f = table(s, d, "folder_prints").select("concert_id", F.col("tracks.path").alias("files"))
-    c = spread_if_few(table(s, d, "concerts").select("concert_id", "folder", F.col("info_txt").alias("body"))).join(f, "concert_id", "left")
+    c = by_key(table(s, d, "concerts").select("concert_id", "folder", F.col("info_txt").alias("body")), "concert_id").join(by_key(f, "concert_id"), "concert_id", "left")
     lex = table(s, d, "lexicon").select("kind", "name", "cnt").unionAll(table(s, d, "starter_lexicon").select("kind", "name", "cnt"))
     known = lambda kind: lexicon.build(lex.where(F.col("kind") == kind), cnt=F.col("cnt"))
     x = assemble.assemble_whole(c, "concert_id", known("artist"), known("venue"))

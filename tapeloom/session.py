@@ -73,12 +73,21 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES, most: int =
     return F.broadcast(df) if rows <= most and (size or 0) <= limit else df
 
 
+def _parts(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores before a costly Python stage: an exchange by a stated number, which AQE doesn't merge for being
     small. By no columns: one by the columns that the rows are hashed by already would be planned away."""
-    spark = df.sparkSession
-    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n)
+    return df.repartition(_parts(df))
+
+
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows hashed by their (nearly unique) key, by a stated number: the joins, windows and aggregates on that key that follow
+    need no further exchange, and what is costly to compute runs on all cores."""
+    return df.repartition(_parts(df), *keys)
 
 
 def spread_if_few(df: DataFrame) -> DataFrame:
