@@ -46,7 +46,7 @@ def test_near_words_are_those_of_same_word(spark):
             s[i : i + 2] = rng.choice([s[i : i + 2][::-1], s[i : i + 1], ["ph", *s[i + 1 : i + 2]], [*s[i : i + 1] * 2, *s[i + 1 : i + 2]]])
         ws.add("".join(s))
     ws = sorted(ws)
-    df = spark.createDataFrame([("k", w) for w in ws], "kind string, word string")
+    df = spark.createDataFrame([("artist", w) for w in ws], "kind string, word string")
     want = {(a, b) for a in ws for b in ws if a == b or min(len(a), len(b)) > 1 and names.same_word(a, False, b, False, True)}
     got = [(r.a, r.b) for r in variants.near_words(df).collect()]
     assert len(got) == len(set(got)) and {(a, b) for a, b in got if a == b or min(len(a), len(b)) > 1} == want
