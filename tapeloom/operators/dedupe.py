@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import by_key, cut
 from .graph import connected_components
 
 SECONDS, SIMILAR, FRACTION = 7.0, 0.85, 0.8
@@ -32,35 +37,131 @@ def base64_similarity(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(n > 0, 1 - bits / (n * 8.0)), F.lit(0.0))
 
 
+#: Places of a block whose durations pairs meet by.
+MOST_PLACES = 4
+#: Pairs of rows that a task compares at a time.
+STEP = 1 << 21
+
+
+def _blocks(n: int, fraction: float) -> tuple[int, int]:
+    """(places, number) of the blocks of lists of which the longer has `n` places: one more than places may differ."""
+    spare = n - max(1, math.ceil(n * fraction))
+    return min(n // (spare + 1), MOST_PLACES), spare + 1
+
+
+def _asked(n: int, fraction: float) -> list[tuple[int, int]]:
+    size, number = _blocks(n, fraction)
+    return [(size, k) for k in range(number)]
+
+
+def _indexed(n: int, fraction: float) -> list[tuple[int, int]]:
+    """(places, block) of every longer list that one of `n` places may face, as far as its own places go."""
+    out = set()
+    for m in range(n, int(n / fraction) + 2):
+        if math.ceil(m * fraction) <= n:
+            out |= {(size, k) for size, k in _asked(m, fraction) if (k + 1) * size <= n}
+    return sorted(out)
+
+
+def _most_bits(similar: float) -> int:
+    return max((k for k in range(193) if 1 - k / 192.0 >= similar), default=-1)
+
+
+def _meet(df: pd.DataFrame, seconds: float, fraction: float, bits: int) -> Iterator[pd.DataFrame]:
+    """Pairs of `rid` of the rows asked and indexed that share a block by durations, whose first tracks sound alike and whose
+    lengths go together."""
+    near = seconds * (1 + 1e-9)
+    wide = 2 * near or 1.0
+    cell = lambda d: np.floor(np.clip(d, -1e15, 1e15) / wide).astype(np.int64)
+    mix = lambda h, c: (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.int64).view(np.uint64)
+    words = [f"w{k}" for k in range(3)]
+    for size, part in df.groupby("size"):
+        places = [f"d{k}" for k in range(1, size)]
+        ask = part.asked.to_numpy()
+        q, x = part[ask], part[~ask]
+        qd, xd = (t[["d0", *places]].to_numpy(float) for t in (q, x))
+        qw, xw = (t[words].to_numpy(np.int64) for t in (q, x))
+        (qn, xn), (qr, xr), (qs, xs) = ((q[c].to_numpy(), x[c].to_numpy()) for c in ("n", "rid", "six"))
+        first = lambda t: mix(mix(np.full(len(t), 1, np.uint64), t.block.to_numpy()), t.cell.to_numpy())
+        xk, qk, row = first(x), first(q), np.arange(len(q))
+        for k in range(1, size):
+            xk = mix(xk, cell(xd[:, k]))
+            lo, hi = cell(qd[row, k] - near), cell(qd[row, k] + near)
+            reach = [np.nonzero(hi >= lo + o)[0] for o in range(3)]  # two cells, three by rounding
+            qk, row = np.concatenate([mix(qk[r], lo[r] + o) for o, r in enumerate(reach)]), np.concatenate([row[r] for r in reach])
+        order = np.argsort(xk, kind="stable")
+        start, end = np.searchsorted(xk[order], qk, "left"), np.searchsorted(xk[order], qk, "right")
+        some = end > start
+        row, start, count = row[some], start[some], (end - start)[some]
+        for at in range(0, int(count.sum()), STEP):
+            ends = np.cumsum(count)
+            p = np.arange(at, min(at + STEP, int(ends[-1])))
+            i = np.searchsorted(ends, p, "right")
+            i, j = row[i], order[start[i] + p - (ends - count)[i]]
+            ok = (xn[j] <= qn[i]) & (xn[j] >= qn[i] * fraction) & ((xn[j] < qn[i]) | (xr[j] < qr[i]))
+            i, j = i[ok], j[ok]
+            ok = (np.abs(qd[i] - xd[j]) <= near).all(1)
+            i, j = i[ok], j[ok]
+            ok = ~(qs[i] & xs[j]) | (np.bitwise_count((qw[i] ^ xw[j]).view(np.uint64)).sum(1, dtype=np.int64) <= bits)
+            yield pd.DataFrame({"a": qr[i[ok]], "b": xr[j[ok]]}).drop_duplicates()
+
+
+def candidates(r: DataFrame, seconds: float = SECONDS, similar: float = SIMILAR, fraction: float = FRACTION) -> DataFrame:
+    """``a, b``: the pairs of lists to compare, of ``rid, n, ds array<double>, fps array<array<bigint>>``.
+
+    Of a longer list's n places few may differ, so of one more blocks of places than that one agrees whole: pairs meet by a block
+    and its durations in cells, and only if its durations are near and its first tracks sound alike. Rows are exchanged by the
+    block's first duration; the cells of the others are looked up within the task.
+    """
+    near = seconds * (1 + 1e-9)
+    wide = 2 * near or 1.0
+    kind = "array<struct<size:int,block:int>>"
+    of = lambda f: F.pandas_udf(lambda s: s.map({n: [{"size": a, "block": b} for a, b in f(n, fraction)] for n in s.unique()}), kind)("n")
+    parts = r.select("n").distinct().select("n", of(_asked).alias("ask"), of(_indexed).alias("index"))  # as many rows as there are lengths
+    kept = r.join(F.broadcast(parts), "n")
+    cell = lambda d: F.floor(F.greatest(F.least(d, F.lit(1e15)), F.lit(-1e15)) / F.lit(wide)).cast("bigint")
+
+    def rows(col: str, asked: bool) -> DataFrame:
+        at = F.col("size") * F.col("block")
+        x = kept.select("rid", "n", "ds", "fps", F.inline(col)).select("rid", "n", "size", "block", F.slice("ds", at + 1, F.col("size")).alias("d"), F.element_at("fps", at + 1).alias("fp"))
+        x = x.where(F.forall("d", lambda d: d.isNotNull() & ~F.isnan(d) & (F.abs(d) < float("inf"))))
+        six = F.coalesce((F.size("fp") == 6) & F.forall("fp", lambda w: w.isNotNull()), F.lit(False))
+        word = lambda k: F.coalesce(F.try_element_at("fp", F.lit(k)), F.lit(0)).bitwiseAND(F.lit(0xFFFFFFFF))
+        first = F.element_at("d", 1)
+        where = F.explode(F.sequence(cell(first - near), cell(first + near))) if asked else cell(first)
+        return x.select(
+            F.lit(asked).alias("asked"), "rid", "n", "size", "block", where.alias("cell"), *[F.coalesce(F.try_element_at("d", F.lit(k + 1)), F.lit(0.0)).cast("double").alias(f"d{k}") for k in range(MOST_PLACES)],
+            six.alias("six"), *[word(2 * k + 1).bitwiseXOR(F.shiftleft(word(2 * k + 2), 32)).alias(f"w{k}") for k in range(3)],
+        )
+
+    bits = _most_bits(similar)
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = [b for b in batches if len(b)]
+        if got:
+            yield from _meet(pd.concat(got, ignore_index=True), seconds, fraction, bits)
+
+    put = by_key(rows("ask", True).unionAll(rows("index", False)), "size", "block", "cell")
+    return put.mapInPandas(meet, "a bigint, b bigint").distinct()
+
+
 def duplicate_pairs(recs: DataFrame, key: str = "sig", seconds: float = SECONDS, similar: float = SIMILAR, fraction: float = FRACTION) -> DataFrame:
     """``a, b, matched, longest`` (a < b) of the lists whose tracks agree place by place in at least `fraction` of the longer.
 
-    `recs`: key and ``tracks array<struct<duration, fp>>``, one row per key. Place by place at least four fifths agree, so
-    two neighbouring places do (or, in lists of at most two, the first or the last alone): pairs meet by their place and
-    the durations of two neighbours in steps of `seconds`, one step to either side.
+    `recs`: key and ``tracks array<struct<duration, fp>>``, one row per key.
     """
-    r = cut(recs.select(key, F.size("tracks").alias("n"), F.transform("tracks", lambda t: t["duration"]).alias("ds"), F.transform("tracks", lambda t: t["fp"]).alias("fps")).where("n > 0"))
-    step = lambda c: F.floor(c / F.lit(seconds)).cast("bigint")
-    if fraction > 0.75:
-        two = F.when(F.col("n") >= 2, F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.struct(i.alias("i"), step(F.element_at("ds", i)).alias("p"), step(F.element_at("ds", i + 1)).alias("q"))))
-        one = F.array(F.struct(F.lit(0).alias("i"), step(F.element_at("ds", 1)).alias("p"), F.lit(0).cast("bigint").alias("q")), F.struct(F.lit(-1).alias("i"), step(F.element_at("ds", -1)).alias("p"), F.lit(0).cast("bigint").alias("q")))
-        keys = F.when(F.col("n") <= 2, F.concat(one, F.coalesce(two, F.array().cast("array<struct<i:int,p:bigint,q:bigint>>")))).otherwise(two)
-    else:
-        keys = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.struct(i.alias("i"), step(F.element_at("ds", i)).alias("p"), F.lit(0).cast("bigint").alias("q")))
-    left = r.select(F.col(key).alias("a"), F.col("n").alias("na"), F.inline(keys))
-    around = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)])
-    right = r.select(F.col(key).alias("b"), F.col("n").alias("nb"), F.inline(keys)).select("b", "nb", "i", F.inline(around), "p", "q").select("b", "nb", "i", (F.col("p") + F.col("x")).alias("p"), (F.col("q") + F.when((F.col("i") > 0) if fraction > 0.75 else F.lit(False), F.col("y")).otherwise(0)).alias("q"))
-    cand = left.join(right.distinct(), ["i", "p", "q"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * fraction)).select("a", "b").distinct()
-    side = lambda k: r.select(F.col(key).alias(k), F.struct("n", "ds", "fps").alias(f"{k}_"))
-    x = cand.join(side("a"), "a").join(side("b"), "b")
+    r = cut(recs.select(F.monotonically_increasing_id().alias("rid"), key, F.size("tracks").alias("n"), F.transform("tracks", lambda t: t["duration"]).alias("ds"), F.transform("tracks", lambda t: t["fp"]).alias("fps")).where("n > 0"))
+    side = lambda k: r.select(F.col("rid").alias(k), F.struct(F.col(key).alias("key"), "n", "ds", "fps").alias(f"{k}_"))
+    x = candidates(r, seconds, similar, fraction).join(side("a"), "a").join(side("b"), "b")
     near = F.zip_with(F.arrays_zip("a_.ds", "a_.fps"), F.arrays_zip("b_.ds", "b_.fps"), lambda s, t: F.coalesce((F.abs(s["ds"] - t["ds"]) <= seconds) & (bit_similarity(s["fps"], t["fps"]) >= similar), F.lit(False)))
     x = x.withColumn("matched", F.size(F.filter(near, lambda m: m))).withColumn("longest", F.greatest("a_.n", "b_.n"))
-    return x.where(F.col("matched") >= F.col("longest") * fraction).select("a", "b", "matched", "longest")
+    return x.where(F.col("matched") >= F.col("longest") * fraction).select(F.least("a_.key", "b_.key").alias("a"), F.greatest("a_.key", "b_.key").alias("b"), "matched", "longest")
 
 
 def representatives(prints: DataFrame) -> DataFrame:
-    """``sig, tracks``: one track list per signature."""
-    return prints.where("audio_signature is not null").groupBy(F.col("audio_signature").alias("sig")).agg(F.min_by("tracks", "print_id").alias("tracks")).where("tracks is not null")
+    """``sig, tracks``: one track list per signature, of each track the duration and fingerprint."""
+    heard = F.transform("tracks", lambda t: F.struct(t["duration"].alias("duration"), t["fp"].alias("fp")))
+    return prints.where("audio_signature is not null").select(F.col("audio_signature").alias("sig"), "print_id", heard.alias("tracks")).groupBy("sig").agg(F.min_by("tracks", "print_id").alias("tracks")).where("tracks is not null")
 
 
 def clusters(prints: DataFrame) -> DataFrame:

@@ -58,6 +58,34 @@ def test_fuzzy_match_is_difflib(spark):
             assert n not in got or got[n][1] == "contained"
 
 
+def test_duplicate_pairs_any_length(spark):
+    """Lists of up to 23 tracks, one of them differing or cut off, some without durations or with words of other numbers."""
+    rng = random.Random(4)
+    recs = []
+    for i in range(60):
+        recs.append((f"s{i:03d}", [(float(rng.choice((200, 205, 214, 300))), [rng.getrandbits(32) for _ in range(rng.choice((6, 6, 6, 3, 8)))]) for _ in range(rng.randint(1, 23))]))
+    for i in range(120):
+        t = [(d + rng.choice((-7.0, 0.0, 3.5, 7.0)), [w ^ (1 << rng.randrange(32)) for w in f]) for d, f in rng.choice(recs[:60])[1]]
+        for _ in range(rng.randint(0, max(1, len(t) // 4))):
+            t[rng.randrange(len(t))] = rng.choice(((None, [1] * 6), (150.0, None), (float("nan"), [1] * 6), (200.0, [rng.getrandbits(32) for _ in range(6)])))
+        recs.append((f"t{i:03d}", t[: rng.randint(max(1, len(t) * 3 // 4), len(t))]))
+    df = spark.createDataFrame([(k, [{"duration": d, "fp": f} for d, f in t]) for k, t in recs], "sig string, tracks array<struct<duration:double,fp:array<bigint>>>")
+    like = lambda x, y: None not in (x[0], y[0], x[1], y[1]) and abs(x[0] - y[0]) <= 7 and 1 - sum((p ^ q).bit_count() for p, q in zip(x[1], y[1])) / (32.0 * min(len(x[1]), len(y[1]))) >= 0.85
+    for fraction in (0.8, 0.5):
+        got = {(r.a, r.b, r.matched) for r in dedupe.duplicate_pairs(df, fraction=fraction).collect()}
+        want = {(a, b, m) for a, s in recs for b, t in recs if a < b and (m := sum(map(like, s, t))) >= fraction * max(len(s), len(t))}
+        assert got == want and len(want) > 40
+
+
+def test_duplicate_candidates_of_unrelated_lists(spark):
+    """Lists of the same durations that sound different are not met: candidates don't grow with the square of the lists."""
+    rng = random.Random(5)
+    r = [(i, 8, [200.0] * 8, [[rng.getrandbits(32) for _ in range(6)] for _ in range(8)]) for i in range(300)]
+    r.append((300, 8, [203.0] * 8, r[7][3]))
+    got = dedupe.candidates(spark.createDataFrame(r, "rid bigint, n int, ds array<double>, fps array<array<bigint>>")).collect()
+    assert [{x.a, x.b} for x in got] == [{7, 300}]
+
+
 def test_duplicate_pairs_brute_force(spark):
     rng = random.Random(9)
     recs = []
