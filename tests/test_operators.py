@@ -77,6 +77,14 @@ def test_duplicate_pairs_any_length(spark):
         assert got == want and len(want) > 40
 
 
+def test_clusters_take_one_copy_and_no_paths(spark):
+    """A signature is represented by its first print, of which only durations and fingerprints are exchanged."""
+    rows = [(k, s, [{"path": f"{k}/{i}", "duration": 200.0 + i, "fp": [7 * i + v] * 6} for i in range(6)]) for k, s, v in ((1, "b", 1), (2, "b", 1 << 30), (3, "a", 1), (4, "c", 0x0FFFF000), (5, None, 1))]
+    df = spark.createDataFrame(rows, "print_id bigint, audio_signature string, tracks array<struct<path:string,duration:double,fp:array<bigint>>>")
+    assert dedupe.representatives(df).schema["tracks"].dataType.elementType.names == ["duration", "fp"]
+    assert {(r.print_id, r.cluster) for r in dedupe.clusters(df).collect()} == {(1, "a"), (2, "a"), (3, "a"), (4, "c")}
+
+
 def test_duplicate_candidates_of_unrelated_lists(spark):
     """Lists of the same durations that sound different are not met: candidates don't grow with the square of the lists."""
     rng = random.Random(5)
