@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions.artists import ancestor_probes
 from ..functions.text import TRIBUTE, filled, is_junk_name, normalize_name
-from ..session import broadcast_if_small, cut
+from ..session import broadcast_if_small, cut, spread
 
 RATIO, SHORTEST, MIN_COUNT = 0.88, 5, 2
+#: Letters up to which a key's segments are looked up by place.
+POSITIONED = 40
 
 
 def build(names: DataFrame, name: str = "name", cnt: Column | None = None) -> DataFrame:
@@ -48,27 +51,84 @@ def _segments(n: int) -> list[tuple[int, int]]:
     return out
 
 
+@lru_cache(None)
+def _indels(n: int, m: int) -> int:
+    """Most letters that are left out or put in between texts of n and m letters whose ratio reaches RATIO."""
+    return n + m - 2 * next(k for k in range(n + m + 1) if 2.0 * k / (n + m) >= RATIO)
+
+
+@lru_cache(None)
+def _cuts(n: int, d: int) -> list[tuple[int, int]]:
+    """(start, length) of d + 1 segments of n letters: d insertions and deletions leave one whole."""
+    base, more = divmod(n, d + 1)
+    return [(i * base + min(i, more), base + (i < more)) for i in range(d + 1)]
+
+
+@lru_cache(None)
+def _faced(n: int) -> list[int]:
+    """The numbers of insertions and deletions that any partner of n letters may take."""
+    return sorted({_indels(n, m) for m in range(1, 2 * n + 2) if abs(m - n) <= _indels(n, m) < n})
+
+
+@lru_cache(None)
+def _looked_up(m: int, lengths: tuple[int, ...]) -> list[tuple[str, int, int]]:
+    """(prefix, start, length) of the pieces of m letters under which a key may stand. A segment is shifted by what is put in or
+    left out before it."""
+    out = set()
+    for n in lengths:
+        d, gap = _indels(n, m), m - n
+        if abs(gap) > d or d >= n:
+            continue
+        if n > POSITIONED:
+            out |= {("~", i, s) for s in {s for _, s in _segments(n)} for i in range(m - s + 1)}
+            continue
+        for i, (p, s) in enumerate(_cuts(n, d)):
+            out |= {(f"{n}.{d}.{i}.", at, s) for at in range(max(0, p - (d - gap) // 2), min(m - s, p + (d + gap) // 2) + 1)}
+    return sorted(out)
+
+
+def _index_keys(k: str) -> list[str]:
+    n = len(k)
+    if n > POSITIONED:
+        return sorted({f"~{k[a : a + s]}" for a, s in _segments(n)})
+    return [f"{n}.{d}.{i}.{k[p : p + s]}" for d in _faced(n) for i, (p, s) in enumerate(_cuts(n, d))]
+
+
+def _letters(k: str) -> int:
+    out = 0
+    for c in k:
+        bit = 1 << ord(c) % 31
+        out |= bit << 31 if out & bit else bit
+    return out
+
+
 def _near(keys: DataFrame, names: DataFrame) -> DataFrame:
-    """Pairs whose ratio can reach RATIO: insertions and deletions leave one of the key's segments whole in the name."""
-    pieces = F.pandas_udf(lambda s: s.map(lambda k: sorted({k[a : a + n] for a, n in _segments(len(k))})), "array<string>")
-    sizes = lambda m: sorted({s for n in range(max(1, int(m * RATIO / (2 - RATIO))), int(m * (2 - RATIO) / RATIO) + 2) for _, s in _segments(n)})
-    subs = F.pandas_udf(lambda s: s.map(lambda k: sorted({k[i : i + n] for n in sizes(len(k)) for i in range(len(k) - n + 1)})), "array<string>")
-    a = keys.select("key", "name", "cnt", F.explode(pieces("key")).alias("seg"))
-    b = names.select(F.col("key").alias("want"), F.explode(subs("key")).alias("seg"))
+    """Pairs whose ratio can reach RATIO: insertions and deletions leave one of the key's segments whole in the name, near its
+    place. Longer keys than POSITIONED have too many places and are looked up by their pieces anywhere."""
+    lengths = tuple(sorted(r[0] for r in keys.select(F.length("key")).distinct().collect()))  # no more than the longest key has letters
+    # with the pieces, the letters that stand once and twice: an insertion or deletion changes one of them
+    keyed = lambda of: F.pandas_udf(lambda s: pd.DataFrame({"keys": s.map(of), "bits": s.map(_letters)}), "keys array<string>, bits bigint")("key")
+    asked = lambda k: sorted({f"{x}{k[a : a + n]}" for x, a, n in _looked_up(len(k), lengths)})
+    a = keys.select("key", "name", "cnt", keyed(_index_keys).alias("x")).select("key", "name", "cnt", F.col("x.bits").alias("a_bits"), F.explode("x.keys").alias("seg"))
+    b = spread(names.select("key")).select(F.col("key").alias("want"), keyed(asked).alias("x")).select("want", F.col("x.bits").alias("b_bits"), F.explode("x.keys").alias("seg"))
     la, lb = F.length("key"), F.length("want")
-    return b.join(a, "seg").where(2 * F.least(la, lb) >= RATIO * (la + lb)).select("want", "key", "name", "cnt").distinct()
+    room = F.floor((1 - RATIO) * (la + lb) + F.lit(1e-6)).cast("int")
+    lost = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y))))
+    near = (2 * lost("a_bits", "b_bits") <= room - lb + la) & (2 * lost("b_bits", "a_bits") <= room + lb - la) & (F.call_function("levenshtein", F.col("key"), F.col("want"), room) >= 0)
+    return b.join(a, "seg").where((2 * F.least(la, lb) >= RATIO * (la + lb)) & near).select("want", "key", "name", "cnt").distinct()
 
 
 def match(names: DataFrame, lexicon: DataFrame, min_count: int = MIN_COUNT, fuzzy: bool = True) -> DataFrame:
     """``name, match, how`` for each distinct `name`: exact key, else the best ratio of at least RATIO, else the longest
     contained key between word breaks (not in names of tributes). `lexicon(key, name, cnt)` as of :func:`build`."""
-    q = names.select("name").where("name is not null").distinct().withColumn("key", normalize_name(F.col("name"))).where("key != ''")
+    q = cut(names.select("name").where("name is not null").distinct().withColumn("key", normalize_name(F.col("name"))).where("key != ''"))
+    lexicon = cut(lexicon.select("key", "name", "cnt"))
     lex = lexicon.select("key", F.col("name").alias("match"), "cnt")
     exact = q.join(lex.where(F.col("cnt") >= min_count), "key").select("name", "key", "match", F.lit("exact").alias("how"))
     rest = q.join(exact.select("name"), "name", "left_anti")
     out = exact.select("name", "match", "how")
     if fuzzy:
-        ratio = F.pandas_udf(lambda a, b: pd.Series([difflib.SequenceMatcher(None, y, x).ratio() if difflib.SequenceMatcher(None, y, x).quick_ratio() >= RATIO else 0.0 for x, y in zip(a, b)]), "double")
+        ratio = F.pandas_udf(lambda a, b: pd.Series([m.ratio() if m.quick_ratio() >= RATIO else 0.0 for m in (difflib.SequenceMatcher(None, y, x) for x, y in zip(a, b))], dtype=float), "double")
         long = rest.where(F.length("key") >= SHORTEST)
         pairs = _near(lexicon.select("key", "name", "cnt"), long.select("key").distinct()).withColumn("r", ratio("key", "want")).where(F.col("r") >= RATIO)
         best = pairs.groupBy("want").agg(F.max_by(F.struct("name", "cnt"), F.struct("r", "key")).alias("b")).where(F.col("b.cnt") >= min_count)

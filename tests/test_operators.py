@@ -58,6 +58,24 @@ def test_fuzzy_match_is_difflib(spark):
             assert n not in got or got[n][1] == "contained"
 
 
+def test_near_pairs_few_and_whole(spark):
+    """Names that share words only are not met, and every pair that difflib holds for near is, of long names too."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefghijklm") for _ in range(n))
+    keys = [f"{word(7)} brothers band" for _ in range(150)] + [" ".join(word(rng.randint(2, 9)) for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    names = []
+    for k in keys:
+        s = list(k)
+        for _ in range(rng.randint(0, max(1, len(s) // 7))):
+            i = rng.randrange(len(s))
+            s[i : i + 1] = rng.choice(([], [s[i], "z"], ["z"]))
+        names.append("".join(s))
+    want = {(n, k) for n in names for k in keys if difflib.SequenceMatcher(None, n, k).ratio() >= lexicon.RATIO}
+    k = spark.createDataFrame([(x, x, 2) for x in sorted(set(keys))], "key string, name string, cnt bigint")
+    got = {(r.want, r.key) for r in lexicon._near(k, spark.createDataFrame([(x,) for x in sorted(set(names))], "key string")).collect()}
+    assert want <= got and len(got) < 2 * len(want) and any(len(x) > lexicon.POSITIONED for _, x in want)
+
+
 def test_duplicate_pairs_any_length(spark):
     """Lists of up to 23 tracks, one of them differing or cut off, some without durations or with words of other numbers."""
     rng = random.Random(4)
