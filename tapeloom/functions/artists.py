@@ -190,4 +190,4 @@ def first_artist_line(lines: Column) -> Column:
     """From the first six non-blank lines: the first that names the artist, before any disc marker."""
     none = F.struct(F.lit(False).alias("stop"), F.lit(None).cast("string").alias("artist"))
     told = F.aggregate(F.slice(lines, 1, 6), none, lambda s, x: F.when(s["stop"] | s["artist"].isNotNull(), s).otherwise(_artist_of_line(x)))  # no line is read after the one that decides
-    return filled(told["artist"])
+    return let(told["artist"], filled)

@@ -45,8 +45,8 @@ def _one(c: Column, name: str) -> Column:
 def parse_date(c: Column) -> Column:
     """ISO date of the text or null. With a day-first and a month-first prose hit, day-first decides alone."""
     prose = F.when(c.rlike(FORMATS["prose"][0]), _one(c, "prose")).otherwise(_one(c, "month_day"))
-    # nothing is read unless two digits stand together or a month is named: a cheap test before eight patterns
-    return F.when(c.rlike(r"\d.*\d"), F.coalesce(_one(c, "iso"), _one(c, "compact"), _one(c, "split"), _one(c, "us"), prose, _one(c, "us_y2"), _one(c, "y2")))
+    # each of the eight patterns needs four digits together, or three numbers with marks between: a cheap test before them
+    return F.when(c.rlike(r"\d{4}|\d[-._/]\d{1,2}[-._/]\d"), F.coalesce(_one(c, "iso"), _one(c, "compact"), _one(c, "split"), _one(c, "us"), prose, _one(c, "us_y2"), _one(c, "y2")))
 
 
 def has_date_shape(c: Column) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from .text import let
 
 #: Fixed values, in order: the first kind that is found counts.
 KINDS = ((r"(?i)\bpre[\s._-]*fm\b", "Pre-FM"), (r"(?i)\bmtx\b|\bmatrix\b", "Matrix"), (r"(?i)\bsbd\b|\bsoundboard\b|\bboard\b", "SBD"), (r"(?i)\baud\b|\baudience\b", "AUD"), (r"(?i)\bfm\b(?!.*broadcast)|\bbroadcast\b|\bpre-?broadcast\b", "FM"), (r"(?i)\bdigital\s*master\b|\bdat\b", "DAT"))
+#: What a text in lower case must hold for each: a plain search before a pattern.
+KIND_WORDS = (("fm",), ("mtx", "matrix"), ("sbd", "board"), ("aud",), ("fm", "broadcast"), ("digital", "dat"))
 #: Fixed values, in order: pattern and the label before its group ("" for none).
 MICS = (
     (r"(?i)\bschoeps\s*(ccm\s*\d+\w*|cmc\s*\d+\w*|mk\s*\d+\w*|m\s*\d+\w*)", "Schoeps "), (r"(?i)\bmk\s*(4|41|5|6|21|22|2s)\b", "Schoeps MK"),
@@ -27,17 +33,26 @@ MICS = (
 )
 
 
+#: The word that each pattern begins with.
+MIC_WORDS = tuple(re.match(r"\(\?i\)\\b([a-z]+)", p)[1] for p, _ in MICS)
+
+
 def kind(text: Column) -> Column:
-    return F.coalesce(*[F.when(text.rlike(p), F.lit(label)) for p, label in KINDS])
+    def one(low: Column) -> Column:
+        held = lambda words: reduce(or_, [low.contains(w) for w in words])
+        return F.coalesce(*[F.when(held(words) & text.rlike(p), F.lit(label)) for (p, label), words in zip(KINDS, KIND_WORDS)])
+
+    return let(F.lower(text), one)
 
 
 def mics(text: Column) -> Column:
     """Labels in the order of the patterns, then of place; each once whatever its case; a family name goes if a model of it is there."""
-    def labels(p: str, before: str) -> Column:
+    def labels(low: Column, word: str, p: str, before: str) -> Column:
         got = F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda g: F.trim(F.regexp_replace(F.concat(F.lit(before), g), r"\s+", " ")))
-        return F.when(text.rlike(p), got).otherwise(F.array().cast("array<string>"))
+        return F.when(low.contains(word) & text.rlike(p), got).otherwise(F.array().cast("array<string>"))
 
-    return let(F.concat(*[labels(p, before) for p, before in MICS]), _families)
+    found = let(F.lower(text), lambda low: F.concat(*[labels(low, word, p, before) for word, (p, before) in zip(MIC_WORDS, MICS)]))
+    return let(found, _families)
 
 
 def _families(found: Column) -> Column:
@@ -50,7 +65,7 @@ def _families(found: Column) -> Column:
 def detect(*texts: Column) -> Column:
     """struct(kind, mics, taper) of all texts together; the taper is never told."""
     blob = F.concat_ws("  ", *[F.coalesce(t, F.lit("")) for t in texts])
-    return F.struct(kind(blob).alias("kind"), mics(blob).alias("mics"), F.lit(None).cast("string").alias("taper"))
+    return let(blob, lambda b: F.struct(kind(b).alias("kind"), mics(b).alias("mics"), F.lit(None).cast("string").alias("taper")))
 
 
 def label(source: Column) -> Column:

@@ -65,6 +65,7 @@ def assemble(shows: DataFrame, artists: DataFrame | None = None, venues: DataFra
     files = F.array_join(F.coalesce("files", F.array().cast("array<string>")), "  ")
     d = d.withColumns({"_name": path_name(F.col("folder")), "_files": files})
     d = d.withColumns({"artist_folder": A.guess(F.col("_name")), "artist_parent": A.trust_parent(F.col("folder")), "artist_weak": A.weak(F.col("_name")), "various": A.in_various(F.col("folder")), "_city": city_of_folder(F.col("_name"))})
+    d = d.withColumn("_source", detect(F.col("_name"), F.col("_files"), F.col("body")))  # before the names are matched, so once
     d = d.withColumn("_said", F.coalesce("n_artist", "artist_folder")).withColumn("_prose", F.coalesce(is_prose(F.col("_said")), F.lit(False)))
     d = d.withColumn("_known", F.lit(None).cast("string"))
     if artists is not None:
@@ -85,7 +86,7 @@ def assemble(shows: DataFrame, artists: DataFrame | None = None, venues: DataFra
         *shows.columns, "artist_read", "artist_folder", "artist_parent", "artist_weak",
         filled(artist).alias("artist"), F.coalesce(parse_date(F.col("_name")), parse_date(F.col("_files")), F.col("n_date")).alias("date"), filled(venue).alias("venue"),
         F.coalesce("n_city", F.col("_city.city")).alias("city"), F.coalesce("n_region", F.when(F.col("n_city").isNull(), F.col("_city.region"))).alias("region"),
-        detect(F.col("_name"), F.col("_files"), F.col("body")).alias("source"),
+        F.col("_source").alias("source"),
     )
 
 

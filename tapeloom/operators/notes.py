@@ -20,16 +20,17 @@ def _value(body: Column, pattern: str, ok) -> Column:
 
 
 def _labels(body: Column) -> dict[str, Column]:
+    low = F.lower(body)  # a plain search for the label's word comes before each pattern that needs it
     free = lambda x: F.lit(True)
     person = lambda x: ~x.rlike(L.MIC_PLACE)
     place = lambda x: ~x.rlike(L.MIC_PLACE) & ~x.rlike(L.LINEAGE) & ~x.rlike(L.NOT_VENUE_START)
-    colon = lambda w, ok: _value(body, rf"(?imd)^{w}\s*[:\-]\s*(.+)", ok)
+    colon = lambda w, ok: F.when(low.contains(w), _value(body, rf"(?imd)^{w}\s*[:\-]\s*(.+)", ok))
     row = lambda w: rf"(?md)^[{w[0].upper()}{w[0]}]{w[1:]}\s+([A-Z][^\n]{{1,80}}?)\s*$"
     strong = F.lit(False)
     for w in ("artist", "band", "venue", "location"):
-        strong = strong | body.rlike(row(w))
-    spaced = lambda w, ok: _value(body, row(w), ok)
-    gated = lambda w: F.when(strong, spaced(w, free))
+        strong = strong | (low.contains(w) & body.rlike(row(w)))
+    spaced = lambda w, ok: F.when(low.contains(w), _value(body, row(w), ok))
+    gated = lambda w: F.when(low.contains(w) & strong, spaced(w, free))
     return {
         "artist": F.coalesce(colon("band", person), colon("artist", person)), "artist_row": F.coalesce(spaced("artist", person), spaced("band", person)),
         "venue": F.coalesce(colon("location", place), colon("venue", place), spaced("venue", place), spaced("location", place)),
@@ -37,8 +38,8 @@ def _labels(body: Column) -> dict[str, Column]:
     }
 
 
-def _place_of_line(line: Column, artist: Column) -> Column:
-    """What one of the first lines says of venue and place, and whether it ends the search."""
+def _place_of_line(line: Column, artist: Column, no_venue: Column) -> Column:
+    """What one of the first lines says of venue and place, and whether it ends the search; a venue alone only if `no_venue`."""
     own = F.coalesce(line == artist, F.lit(False))
 
     def told(x: Column) -> Column:
@@ -48,7 +49,7 @@ def _place_of_line(line: Column, artist: Column) -> Column:
         return F.struct(
             x["stop"], x["skip"], say(three).alias("three"), F.coalesce(say(L.is_city(line)), F.lit(False)).alias("city"),
             say(F.trim(F.element_at(F.split(line, ",", 2), 1))).alias("town"), say(F.trim(F.try_element_at(F.split(line, ",", 2), F.lit(2)))).alias("region"),
-            say(F.when(L.is_venue(line), strip_chars(line, ","))).alias("venue"),
+            say(F.when(no_venue & L.is_venue(line), strip_chars(line, ","))).alias("venue"),
         )
 
     def flags(dated: Column) -> Column:
@@ -68,12 +69,9 @@ def parse_notes(docs: DataFrame, body: str = "body") -> DataFrame:
     artist = F.coalesce("_artist", "_first", "_artist_row")
     d = d.withColumn("n_artist", let(artist, lambda a: F.when(~a.rlike(BAD_ARTIST), filled(a))))
     d = d.withColumn("n_date", parse_date(b))
-    told = F.transform(F.slice("_lines", 1, 10), lambda x: _place_of_line(x, F.col("_first")))
-    d = d.withColumn("_told", told)
-    null = F.lit(None).cast("string")
     start = F.struct(F.col("_venue").alias("venue"), F.col("_city").alias("city"), F.col("_region").alias("region"), F.lit(False).alias("end"))
 
-    def step(s: Column, x: Column) -> Column:
+    def told(s: Column, x: Column) -> Column:
         end = s["end"] | x["stop"]
         live = ~end & ~x["skip"]
         v, c = s["venue"].isNull(), s["city"].isNull()
@@ -87,6 +85,10 @@ def parse_notes(docs: DataFrame, body: str = "body") -> DataFrame:
             end.alias("end"),
         )
 
-    d = d.withColumn("_place", F.aggregate("_told", start, step))
+    def step(s: Column, line: Column) -> Column:  # no line is read after the one that decides
+        done = s["end"] | (s["venue"].isNotNull() & s["city"].isNotNull())
+        return F.when(done, s).otherwise(let(_place_of_line(line, F.col("_first"), s["venue"].isNull()), lambda x: told(s, x)))
+
+    d = d.withColumn("_place", F.aggregate(F.slice("_lines", 1, 10), start, step))
     d = d.withColumns({f"n_{k}": filled(F.col("_place")[k]) for k in ("venue", "city", "region")})
-    return d.drop("_lines", "_first", "_told", "_place", *[f"_{k}" for k in lab])
+    return d.drop("_lines", "_first", "_place", *[f"_{k}" for k in lab])

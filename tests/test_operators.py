@@ -58,6 +58,17 @@ def test_fuzzy_match_is_difflib(spark):
             assert n not in got or got[n][1] == "contained"
 
 
+def test_notes_stop_at_the_deciding_line(spark):
+    """Neither the artist's line nor the place is read twice or beyond the line that decides: lines behind it don't enter the plan's
+    fields, whatever they hold, and one line costs no more patterns for being asked for twice."""
+    rest = "\n".join(f"Hall {i}, Springfield, NY" for i in range(9))
+    d = spark.createDataFrame([(1, "Some Player\nBig Hall, Boston, MA\n" + rest), (2, "Some Player\nvenue: Big Hall\nBoston, MA\n" + rest), (3, "Some Player\nBig Hall\nDisc 1\n" + rest)], "i int, body string")
+    x = notes.parse_notes(d)
+    assert [(r.n_artist, r.n_venue, r.n_city, r.n_region) for r in x.orderBy("i").collect()] == [("Some Player", "Big Hall", "Boston", "MA"), ("Some Player", "Big Hall", "Boston", "MA"), ("Some Player", "Big Hall", None, None)]
+    plan = x._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(slice(") == 2  # one for the artist, one for the place
+
+
 def test_near_pairs_few_and_whole(spark):
     """Names that share words only are not met, and every pair that difflib holds for near is, of long names too."""
     rng = random.Random(6)
