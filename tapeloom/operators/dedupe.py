@@ -37,8 +37,27 @@ def base64_similarity(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(n > 0, 1 - bits / (n * 8.0)), F.lit(0.0))
 
 
-#: Places of a block whose durations pairs meet by.
-MOST_PLACES = 4
+def _packed(ds: Column, fps: Column) -> Column:
+    """``n, ds, words, fps`` of a list: three whole numbers for each track where every track has six words (comparisons take the
+    low 32 bits of a word), else the words as they are. Less than a half of what arrays of arrays take on disk."""
+    word = lambda f, k: f[k].bitwiseAND(F.lit(0xFFFFFFFF))
+    six = F.coalesce(F.forall(fps, lambda f: (F.size(f) == 6) & F.forall(f, lambda w: w.isNotNull())), F.lit(False))
+    words = F.flatten(F.transform(fps, lambda f: F.array(*[word(f, 2 * k).bitwiseXOR(F.shiftleft(word(f, 2 * k + 1), 32)) for k in range(3)])))
+    return F.struct(F.size(ds).alias("n"), ds.alias("ds"), F.when(six, words).alias("words"), F.when(~six, fps).alias("fps"))
+
+
+def _unpacked(p: str) -> Column:
+    """The words of each track, as an array of arrays, of a packed list."""
+    word = lambda k: F.element_at(f"{p}.words", k)
+    halves = lambda w: [w.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(w, 32)]
+    rows = F.transform(F.sequence(F.lit(0), F.col(f"{p}.n") - 1), lambda i: F.array(*halves(word(3 * i + 1)), *halves(word(3 * i + 2)), *halves(word(3 * i + 3))))
+    return F.when(F.col(f"{p}.words").isNull(), F.col(f"{p}.fps")).when(F.col(f"{p}.n") > 0, rows).otherwise(F.array().cast("array<array<bigint>>"))
+
+
+#: Places of a block whose durations pairs meet by, and the largest of them told apart: they are exchanged as 32-bit numbers.
+MOST_PLACES, MOST_SECONDS = 4, 1e6
+#: Of which numbers of this size are this near.
+ROUNDED = 3e-7
 #: Pairs of rows that a task compares at a time.
 STEP = 1 << 21
 
@@ -67,14 +86,19 @@ def _most_bits(similar: float) -> int:
     return max((k for k in range(193) if 1 - k / 192.0 >= similar), default=-1)
 
 
+def _reach(seconds: float) -> tuple[float, float]:
+    """(seconds between durations that meet, seconds of a cell), of which rounding takes no more than a third."""
+    near = seconds * (1 + 1e-9)
+    return near, max(2 * near, 1.0)
+
+
 def _meet(df: pd.DataFrame, seconds: float, fraction: float, bits: int) -> Iterator[pd.DataFrame]:
     """Pairs of `rid` of the rows asked and indexed that share a block by durations, whose first tracks sound alike and whose
     lengths go together."""
-    near = seconds * (1 + 1e-9)
-    wide = 2 * near or 1.0
+    near, wide = _reach(seconds)
     cell = lambda d: np.floor(np.clip(d, -1e15, 1e15) / wide).astype(np.int64)
     mix = lambda h, c: (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.int64).view(np.uint64)
-    words = [f"w{k}" for k in range(3)]
+    words = [f"w{k}" for k in range(2)]
     for size, part in df.groupby("size"):
         places = [f"d{k}" for k in range(1, size)]
         ask = part.asked.to_numpy()
@@ -86,7 +110,8 @@ def _meet(df: pd.DataFrame, seconds: float, fraction: float, bits: int) -> Itera
         xk, qk, row = first(x), first(q), np.arange(len(q))
         for k in range(1, size):
             xk = mix(xk, cell(xd[:, k]))
-            lo, hi = cell(qd[row, k] - near), cell(qd[row, k] + near)
+            far = near + ROUNDED * (np.abs(qd[row, k]) + near)
+            lo, hi = cell(qd[row, k] - far), cell(qd[row, k] + far)
             reach = [np.nonzero(hi >= lo + o)[0] for o in range(3)]  # two cells, three by rounding
             qk, row = np.concatenate([mix(qk[r], lo[r] + o) for o, r in enumerate(reach)]), np.concatenate([row[r] for r in reach])
         order = np.argsort(xk, kind="stable")
@@ -100,38 +125,41 @@ def _meet(df: pd.DataFrame, seconds: float, fraction: float, bits: int) -> Itera
             i, j = row[i], order[start[i] + p - (ends - count)[i]]
             ok = (xn[j] <= qn[i]) & (xn[j] >= qn[i] * fraction) & ((xn[j] < qn[i]) | (xr[j] < qr[i]))
             i, j = i[ok], j[ok]
-            ok = (np.abs(qd[i] - xd[j]) <= near).all(1)
+            ok = (np.abs(qd[i] - xd[j]) <= near + ROUNDED * (np.abs(qd[i]) + near)).all(1)
             i, j = i[ok], j[ok]
             ok = ~(qs[i] & xs[j]) | (np.bitwise_count((qw[i] ^ xw[j]).view(np.uint64)).sum(1, dtype=np.int64) <= bits)
             yield pd.DataFrame({"a": qr[i[ok]], "b": xr[j[ok]]}).drop_duplicates()
 
 
 def candidates(r: DataFrame, seconds: float = SECONDS, similar: float = SIMILAR, fraction: float = FRACTION) -> DataFrame:
-    """``a, b``: the pairs of lists to compare, of ``rid, n, ds array<double>, fps array<array<bigint>>``.
+    """``a, b``: the pairs of lists to compare, of ``rid, n, ds array<double>, fps array<array<bigint>>``, or ``words`` besides.
 
     Of a longer list's n places few may differ, so of one more blocks of places than that one agrees whole: pairs meet by a block
     and its durations in cells, and only if its durations are near and its first tracks sound alike. Rows are exchanged by the
-    block's first duration; the cells of the others are looked up within the task.
+    block's first duration; the cells of the others are looked up within the task. Durations are rounded and a third of the sound
+    is left out for that: what is met so is compared in full.
     """
-    near = seconds * (1 + 1e-9)
-    wide = 2 * near or 1.0
+    near, wide = _reach(seconds)
+    if "words" not in r.columns:
+        r = r.select("rid", _packed(F.col("ds"), F.col("fps")).alias("p")).select("rid", "p.*")
     kind = "array<struct<size:int,block:int>>"
     of = lambda f: F.pandas_udf(lambda s: s.map({n: [{"size": a, "block": b} for a, b in f(n, fraction)] for n in s.unique()}), kind)("n")
     parts = r.select("n").distinct().select("n", of(_asked).alias("ask"), of(_indexed).alias("index"))  # as many rows as there are lengths
     kept = r.join(F.broadcast(parts), "n")
     cell = lambda d: F.floor(F.greatest(F.least(d, F.lit(1e15)), F.lit(-1e15)) / F.lit(wide)).cast("bigint")
+    short = lambda d: F.greatest(F.least(d, F.lit(MOST_SECONDS)), F.lit(-MOST_SECONDS)).cast("float")
 
     def rows(col: str, asked: bool) -> DataFrame:
         at = F.col("size") * F.col("block")
-        x = kept.select("rid", "n", "ds", "fps", F.inline(col)).select("rid", "n", "size", "block", F.slice("ds", at + 1, F.col("size")).alias("d"), F.element_at("fps", at + 1).alias("fp"))
+        x = kept.select("rid", "n", "ds", "words", "fps", F.inline(col)).select("rid", "n", "size", "block", F.slice("ds", at + 1, F.col("size")).alias("d"), F.slice("words", 3 * at + 1, F.lit(2)).alias("w"), F.element_at("fps", at + 1).alias("fp"))
         x = x.where(F.forall("d", lambda d: d.isNotNull() & ~F.isnan(d) & (F.abs(d) < float("inf"))))
-        six = F.coalesce((F.size("fp") == 6) & F.forall("fp", lambda w: w.isNotNull()), F.lit(False))
+        six = F.col("w").isNotNull() | F.coalesce((F.size("fp") == 6) & F.forall("fp", lambda w: w.isNotNull()), F.lit(False))
         word = lambda k: F.coalesce(F.try_element_at("fp", F.lit(k)), F.lit(0)).bitwiseAND(F.lit(0xFFFFFFFF))
         first = F.element_at("d", 1)
         where = F.explode(F.sequence(cell(first - near), cell(first + near))) if asked else cell(first)
         return x.select(
-            F.lit(asked).alias("asked"), "rid", "n", "size", "block", where.alias("cell"), *[F.coalesce(F.try_element_at("d", F.lit(k + 1)), F.lit(0.0)).cast("double").alias(f"d{k}") for k in range(MOST_PLACES)],
-            six.alias("six"), *[word(2 * k + 1).bitwiseXOR(F.shiftleft(word(2 * k + 2), 32)).alias(f"w{k}") for k in range(3)],
+            F.lit(asked).alias("asked"), "rid", "n", "size", "block", where.alias("cell"), *[short(F.coalesce(F.try_element_at("d", F.lit(k + 1)), F.lit(0.0))).alias(f"d{k}") for k in range(MOST_PLACES)],
+            six.alias("six"), *[F.coalesce(F.col("w")[k], word(2 * k + 1).bitwiseXOR(F.shiftleft(word(2 * k + 2), 32))).alias(f"w{k}") for k in range(2)],
         )
 
     bits = _most_bits(similar)
@@ -150,23 +178,37 @@ def duplicate_pairs(recs: DataFrame, key: str = "sig", seconds: float = SECONDS,
 
     `recs`: key and ``tracks array<struct<duration, fp>>``, one row per key.
     """
-    r = cut(recs.select(F.monotonically_increasing_id().alias("rid"), key, F.size("tracks").alias("n"), F.transform("tracks", lambda t: t["duration"]).alias("ds"), F.transform("tracks", lambda t: t["fp"]).alias("fps")).where("n > 0"))
-    side = lambda k: r.select(F.col("rid").alias(k), F.struct(F.col(key).alias("key"), "n", "ds", "fps").alias(f"{k}_"))
+    return _pairs(recs.select(F.col(key).alias("key"), _heard("tracks").alias("p")), seconds, similar, fraction)
+
+
+def _heard(tracks: str) -> Column:
+    return _packed(F.transform(tracks, lambda t: t["duration"]), F.transform(tracks, lambda t: t["fp"]))
+
+
+def _pairs(lists: DataFrame, seconds: float = SECONDS, similar: float = SIMILAR, fraction: float = FRACTION) -> DataFrame:
+    """The same of ``key, p``, the packed list."""
+    r = cut(lists.where("p.n > 0").select(F.monotonically_increasing_id().alias("rid"), "key", "p.*"))
+    side = lambda k: r.select(F.col("rid").alias(k), F.struct("key", "n", "ds", "words", "fps").alias(f"{k}_"))
     x = candidates(r, seconds, similar, fraction).join(side("a"), "a").join(side("b"), "b")
-    near = F.zip_with(F.arrays_zip("a_.ds", "a_.fps"), F.arrays_zip("b_.ds", "b_.fps"), lambda s, t: F.coalesce((F.abs(s["ds"] - t["ds"]) <= seconds) & (bit_similarity(s["fps"], t["fps"]) >= similar), F.lit(False)))
+    near = F.zip_with(F.arrays_zip(F.col("a_.ds").alias("ds"), _unpacked("a_").alias("fps")), F.arrays_zip(F.col("b_.ds").alias("ds"), _unpacked("b_").alias("fps")), lambda s, t: F.coalesce((F.abs(s["ds"] - t["ds"]) <= seconds) & (bit_similarity(s["fps"], t["fps"]) >= similar), F.lit(False)))
     x = x.withColumn("matched", F.size(F.filter(near, lambda m: m))).withColumn("longest", F.greatest("a_.n", "b_.n"))
     return x.where(F.col("matched") >= F.col("longest") * fraction).select(F.least("a_.key", "b_.key").alias("a"), F.greatest("a_.key", "b_.key").alias("b"), "matched", "longest")
 
 
+def _lists(prints: DataFrame) -> DataFrame:
+    """``key, p``: one packed list per signature, that of its first print."""
+    return prints.where("audio_signature is not null").select(F.col("audio_signature").alias("key"), "print_id", F.when(F.col("tracks").isNotNull(), _heard("tracks")).alias("p")).groupBy("key").agg(F.min_by("p", "print_id").alias("p")).where("p is not null")
+
+
 def representatives(prints: DataFrame) -> DataFrame:
     """``sig, tracks``: one track list per signature, of each track the duration and fingerprint."""
-    heard = F.transform("tracks", lambda t: F.struct(t["duration"].alias("duration"), t["fp"].alias("fp")))
-    return prints.where("audio_signature is not null").select(F.col("audio_signature").alias("sig"), "print_id", heard.alias("tracks")).groupBy("sig").agg(F.min_by("tracks", "print_id").alias("tracks")).where("tracks is not null")
+    heard = F.zip_with("p.ds", _unpacked("p"), lambda d, f: F.struct(d.alias("duration"), f.alias("fp")))
+    return _lists(prints).select(F.col("key").alias("sig"), heard.alias("tracks"))
 
 
 def clusters(prints: DataFrame) -> DataFrame:
     """``folder id, cluster``: every print of a signature, clustered by matching lists; the cluster is its least signature."""
-    comp = connected_components(duplicate_pairs(representatives(prints)))
+    comp = connected_components(_pairs(_lists(prints)))
     p = prints.where("audio_signature is not null").select("print_id", F.col("audio_signature").alias("node"))
     return p.join(comp, "node", "left").select("print_id", F.col("node").alias("audio_signature"), F.coalesce("component", "node").alias("cluster"))
 

@@ -114,6 +114,20 @@ def test_clusters_take_one_copy_and_no_paths(spark):
     assert {(r.print_id, r.cluster) for r in dedupe.clusters(df).collect()} == {(1, "a"), (2, "a"), (3, "a"), (4, "c")}
 
 
+def test_duplicate_lists_are_kept_packed(spark, monkeypatch):
+    """What is kept and exchanged of a list holds no array for each track; odd words are compared as before."""
+    rng = random.Random(6)
+    base = [(2e6 + 200.0 * i if i < 2 else 200.0 + i, [rng.getrandbits(32) for _ in range(6)]) for i in range(8)]
+    odd = {"high": lambda f: [w + (5 << 32) for w in f], "minus": lambda f: [w - (1 << 32) for w in f], "five": lambda f: f[:5], "null": lambda f: [None, *f[1:]], "none": lambda f: None, "same": lambda f: f, "far": lambda f: [w ^ 0xFFFF for w in f]}
+    rows = [("base", base)] + [(k, [(d + 6.99, f if i else of(f)) for i, (d, f) in enumerate(base)]) for k, of in odd.items()] + [("all", [(d - 7, [w - (1 << 40) for w in f]) for d, f in base])]
+    df = spark.createDataFrame([(k, [{"duration": d, "fp": f} for d, f in t]) for k, t in rows], "sig string, tracks array<struct<duration:double,fp:array<bigint>>>")
+    kept, cut = [], dedupe.cut
+    monkeypatch.setattr(dedupe, "cut", lambda x: kept.append(cut(x)) or kept[-1])
+    got = {x.b if x.a == "base" else x.a: x.matched for x in dedupe.duplicate_pairs(df).collect() if "base" in (x.a, x.b)}
+    assert got == {"high": 8, "minus": 8, "five": 8, "null": 7, "none": 7, "same": 8, "far": 7, "all": 8}
+    assert {x.key: (x.words is None, x.fps is None) for x in kept[0].collect()} == {k: (k in ("five", "null", "none"), k not in ("five", "null", "none")) for k, _ in rows}
+
+
 def test_duplicate_candidates_of_unrelated_lists(spark):
     """Lists of the same durations that sound different are not met: candidates don't grow with the square of the lists."""
     rng = random.Random(5)
