@@ -8,12 +8,17 @@ fingerprint parts by Hamming distance down to leaves of a few values; a node is
 and boundary-overlapping leaves are all queried. As a band has no more than 2^13 values, the tree is compiled once to two
 tables (value to leaf, value to leaves its ball overlaps) that the tasks look up. Pairs met are compared in full.
 
+Where a task holds many rows, a ball of one bit in 13 meets too many of them. There 10 bands of 19 or 20 bits are taken, with
+balls of two bits. Such a tree has the leaves of a tree over the band's first half, under each of which a tree over the other
+half goes on with the radius that is left; both are compiled, down to single values, by distance.
+
 Tasks hold a cell of durations (14 s; a query visits the two it may reach), cut into blocks where it is crowded. Durations
 only place rows; which pairs are compared within a cell the trees decide.
 
 Queries are a prefix of each list: counterparts must number at least 0.6 of the longer list, so of any
 ``n - ceil(0.6 n) + 1`` tracks of a list one must have a counterpart. The tracks that sound least like a sample's common
-ones are taken, which keeps sounds shared by many recordings out of the candidate search.
+ones are taken, which keeps sounds shared by many recordings out of the candidate search; among equals the longest, as
+there are fewest others of their length.
 """
 
 from __future__ import annotations
@@ -35,12 +40,17 @@ SHARE_NUM, SHARE_DEN = 3, 5
 #: Bands as (first bit, bits), and the radius of a query's ball in one: 15 bands of two differing bits would be 30 > 28.
 BANDS = tuple((13 * k, 13) for k in range(12)) + tuple((156 + 12 * k, 12) for k in range(3))
 RADIUS = MAX_BITS // len(BANDS)
+#: The same for wide bands, of which each half has a tree; taken for this many rows and more.
+WIDE = tuple((20 * k, 20) for k in range(2)) + tuple((40 + 19 * k, 19) for k in range(8))
+WIDE_RADIUS = MAX_BITS // len(WIDE)
+WIDE_ROWS = 40_000
 #: Values of a band that a leaf may hold.
 LEAF = 2
 #: Tracks sampled to tell common sounds (a bounded fit that only orders the prefix).
 SAMPLE = 512
-#: Index rows, and queries, that one task holds; a cell beyond is cut into blocks that all meet.
-BLOCK = 20000
+#: Queries that one task holds, and half the index rows; a cell beyond is cut into blocks that all meet, each row once for every block
+#: that it meets: these are large, so that rows exchanged don't grow with the square of the input before memory makes them.
+BLOCK = 200_000
 CELL_SECONDS = 2 * MAX_SECONDS
 EPS = 1e-6
 
@@ -138,36 +148,82 @@ def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
 
 
-def search(qd: np.ndarray, qf: np.ndarray, xd: np.ndarray, xf: np.ndarray, tables: dict[int, tuple], step: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(4)
+def rings(bits: int, radius: int = WIDE_RADIUS) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A tree of single values as tables: leaf of each value, and for each distance up to `radius` the leaves so far from it."""
+    nodes, leaves = fit_tree(bits, 1)
+    held, every = np.concatenate(leaves), np.arange(1 << bits, dtype=np.uint16)
+    home = np.empty(len(every), np.int64)
+    home[held] = np.arange(len(held))
+    row, reach, _ = visits(nodes, every, radius)
+    far = np.bitwise_count(held[reach] ^ every[row])
+    order = np.lexsort((reach, row))
+    row, reach, far = row[order], reach[order], far[order]
+    return home, [reach[far == k].reshape(len(every), -1) for k in range(radius + 1)]
+
+
+def _compare(p: np.ndarray, x: np.ndarray, qd: np.ndarray, qw: list[np.ndarray], xd: np.ndarray, xw: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs that are counterparts; two words settle nearly all."""
+    w = np.bitwise_count(qw[0].take(p) ^ xw[0].take(x))
+    for k in (1, 2):
+        ok = np.nonzero(w <= MAX_BITS)[0]
+        p, x = p[ok], x[ok]
+        w = w[ok] + np.bitwise_count(qw[k][p] ^ xw[k][x])
+    ok = np.nonzero((w <= MAX_BITS) & (np.abs(qd[p] - xd[x]) <= MAX_SECONDS + EPS))[0]
+    return p[ok], x[ok]
+
+
+def search(qd: np.ndarray, qf: np.ndarray, xd: np.ndarray, xf: np.ndarray, tables: dict[int, tuple], step: int = 1 << 16, wide: int = WIDE_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Exact counterpart pairs (query row, index row): each band's tree says which rows a query meets; a pair once."""
     got_q, got_x = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for first, bits in BANDS:
-        home, at, reach = tables[bits]
-        leaf = home[band(xf, first, bits)]
-        order = np.argsort(leaf, kind="stable")
-        start = np.searchsorted(leaf[order], np.arange(home.max() + 2))
-        xo, xw = order, xf[order]
-        qv = band(qf, first, bits)
-        n = at[qv + 1] - at[qv]
-        lv = reach[ranges(at[qv], n)]
-        size = start[lv + 1] - start[lv]
-        keep = size > 0
-        q, lo, size = np.repeat(np.arange(len(qv)), n)[keep], start[lv][keep], size[keep]
+    words = lambda f: [np.ascontiguousarray(f[:, k]) for k in range(3)]
+    qw = words(qf)
+
+    def meet(q: np.ndarray, lo: np.ndarray, size: np.ndarray, xo: np.ndarray, xt: np.ndarray, xw: list[np.ndarray]) -> None:
+        """Compares each query of `q` with `size` rows of the index in its order, from `lo`; about `step` pairs at a time."""
         ends = np.cumsum(size)
         cuts = np.searchsorted(ends, np.arange(step, (ends[-1] if len(ends) else 0) + step, step), "right")
-        for a, b in zip([0, *cuts[:-1]], cuts):  # about `step` pairs at a time
+        for a, b in zip([0, *cuts[:-1]], cuts):
             b = max(b, a + 1) if b < len(size) else b
-            x = ranges(lo[a:b], size[a:b])
-            p = np.repeat(q[a:b], size[a:b])
-            w = np.bitwise_count(qf[p, 0] ^ xw[x, 0])
-            ok = np.nonzero(w <= MAX_BITS)[0]
-            p, x, w = p[ok], x[ok], w[ok].astype(np.int64)
-            w += np.bitwise_count(qf[p, 1] ^ xw[x, 1])
-            ok = np.nonzero(w <= MAX_BITS)[0]
-            p, x, w = p[ok], x[ok], w[ok] + np.bitwise_count(qf[p[ok], 2] ^ xw[x[ok], 2])
-            ok = np.nonzero((w <= MAX_BITS) & (np.abs(qd[p] - xd[xo[x]]) <= MAX_SECONDS + EPS))[0]
-            got_q.append(p[ok])
-            got_x.append(xo[x[ok]])
+            p, x = _compare(np.repeat(q[a:b], size[a:b]), ranges(lo[a:b], size[a:b]), qd, qw, xt, xw)
+            got_q.append(p)
+            got_x.append(xo[x])
+
+    for first, bits in WIDE if len(xd) >= wide and len(qd) else BANDS:
+        if len(xd) >= wide:
+            (high, outer), (low, inner), half = rings(bits - 10), rings(10), (1 << 10) - 1
+            v = band(xf, first, bits)
+            leaf = (high[v >> 10] << 10) + low[v & half]
+            count = np.bincount(leaf, minlength=1 << bits)
+        else:
+            home, at, reach = tables[bits]
+            leaf = home[band(xf, first, bits)]
+            count = np.bincount(leaf, minlength=home.max() + 1)
+        xo = np.argsort(leaf, kind="stable")
+        xt, xw = xd[xo], words(xf[xo])
+        start = np.concatenate([[0], np.cumsum(count)])
+        qv = band(qf, first, bits)
+        if len(xd) < wide:
+            n = at[qv + 1] - at[qv]
+            lv = reach[ranges(at[qv], n)]
+            keep = count[lv] > 0
+            meet(np.repeat(np.arange(len(qv)), n)[keep], start[lv[keep]], count[lv[keep]], xo, xt, xw)
+            continue
+        there, once, lo = count > 0, (count - 1).astype(np.int32), start.astype(np.int32)
+        near = [np.concatenate(inner[: k + 1], 1) for k in range(WIDE_RADIUS, -1, -1)]  # leaves within what is left of the radius
+        some = max(1, step // 128)
+        for a in range(0, len(qv), some):
+            v = qv[a : a + some]
+            for out, left in zip(outer, near):
+                lv = ((out << 10)[v >> 10][:, :, None] + left[v & half][:, None, :]).ravel()
+                at = np.flatnonzero(there.take(lv))
+                lv, q = lv.take(at), at // (out.shape[1] * left.shape[1]) + a
+                at = lo.take(lv)
+                p, x = _compare(q, at, qd, qw, xt, xw)
+                got_q.append(p)
+                got_x.append(xo[x])
+                more = np.flatnonzero(once.take(lv))
+                meet(q[more], at[more] + 1, once.take(lv[more]), xo, xt, xw)
     both = np.unique(np.concatenate(got_q) * max(1, len(xd)) + np.concatenate(got_x))
     return both // max(1, len(xd)), both % max(1, len(xd))
 
@@ -212,11 +268,31 @@ def matches(ad: np.ndarray, af: np.ndarray, bd: np.ndarray, bf: np.ndarray, want
 
 
 def lists(prints: DataFrame) -> DataFrame:
-    """``sig, n, ds, fps``: one row per signature. Tracks without a duration or six words keep their place in n only."""
+    """``sig, n, ds, fps``: one row per signature; of each track three whole numbers in `fps`. Tracks without a duration or six
+    words keep their place in n only."""
     p = prints.where("audio_signature is not null").select(F.col("audio_signature").alias("sig"), "print_id", F.coalesce("tracks", F.array()).alias("t"))
     p = p.select("sig", "print_id", F.size("t").alias("n"), F.filter(F.transform("t", lambda x: F.struct(x["duration"].alias("d"), x["fp"].alias("f"))), lambda x: x["d"].isNotNull() & ~F.isnan(x["d"]) & (F.size(x["f"]) == WORDS) & ~F.exists(x["f"], lambda w: w.isNull())).alias("t"))
-    one = p.groupBy("sig").agg(F.min_by(F.struct("n", "t"), "print_id").alias("x"))
-    return one.where("x.n > 0").select("sig", "x.n", F.col("x.t.d").alias("ds"), F.flatten("x.t.f").alias("fps"))
+    half = lambda f, k: f[k].bitwiseAND(F.lit(0xFFFFFFFF))
+    fps = F.flatten(F.transform("t.f", lambda f: F.array(*[half(f, 2 * k).bitwiseXOR(F.shiftleft(half(f, 2 * k + 1), 32)) for k in range(WORDS // 2)])))
+    one = p.select("sig", "print_id", F.struct("n", F.col("t.d").alias("ds"), fps.alias("fps")).alias("x")).groupBy("sig").agg(F.min_by("x", "print_id").alias("x"))
+    return one.where("x.n > 0").select("sig", "x.*")
+
+
+def unpacked(fps: np.ndarray) -> np.ndarray:
+    """The (n, 3) 64-bit words of a row of `lists`."""
+    return np.ascontiguousarray(fps, dtype=np.int64).view(np.uint64).reshape(-1, WORDS // 2)
+
+
+def likeness(f: np.ndarray, common: np.ndarray, step: int = 64) -> np.ndarray:
+    """How many of `common` each fingerprint sounds like. Only an order depends on it, so a first word that
+    differs by more than its share is taken to tell."""
+    out = np.zeros(len(f), np.int64)
+    first, there = np.ascontiguousarray(f[:, 0]), np.ascontiguousarray(common[:, 0])
+    for i in range(0, len(f), step):
+        a, b = np.nonzero(np.bitwise_count(first[i : i + step, None] ^ there) <= MAX_BITS - 4)
+        if len(a):
+            np.add.at(out, i + a[hamming(f[i + a], common[b]) <= 2 * MAX_BITS], 1)
+    return out
 
 
 def found_pairs(prints: DataFrame, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
@@ -228,10 +304,10 @@ def found_pairs(prints: DataFrame, sample: int = SAMPLE, block: int = BLOCK) ->
     recs = cut(lists(prints).withColumn("rid", F.monotonically_increasing_id()))
     total = recs.agg(F.sum(F.size("ds"))).first()[0] or 0
     # bounded sample: the rows of lowest hash of all tracks
-    flat = recs.select("sig", F.posexplode("ds").alias("pos", "d"), "fps").select(F.slice("fps", F.col("pos") * WORDS + 1, WORDS).alias("f"), F.xxhash64("sig", "pos").alias("h"))
+    flat = recs.select("sig", F.posexplode("ds").alias("pos", "d"), "fps").select(F.slice("fps", F.col("pos") * (WORDS // 2) + 1, WORDS // 2).alias("f"), F.xxhash64("sig", "pos").alias("h"))
     share = min(1.0, 4.0 * sample / max(1, total))  # thin out by hash before the sort
     got = [r.f for r in flat.where(F.pmod("h", F.lit(1 << 20)) <= int(share * (1 << 20))).orderBy("h").limit(sample).collect()]
-    shared = spark.sparkContext.broadcast(({b: compiled(b) for _, b in BANDS}, pack(np.array(got, dtype=np.int64).reshape(-1, WORDS))))
+    shared = spark.sparkContext.broadcast(({b: compiled(b) for _, b in BANDS}, unpacked(np.array(got, dtype=np.int64))))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         _, common = shared.value
@@ -241,12 +317,12 @@ def found_pairs(prints: DataFrame, sample: int = SAMPLE, block: int = BLOCK) ->
             size = df.ds.map(len).to_numpy()
             owner = np.repeat(np.arange(len(df)), size)
             d = np.concatenate(df.ds.to_numpy()).astype(float) if size.sum() else np.zeros(0)
-            f = pack(np.concatenate(df.fps.to_numpy()).reshape(-1, WORDS)) if size.sum() else np.zeros((0, 3), np.uint64)
+            f = unpacked(np.concatenate(df.fps.to_numpy())) if size.sum() else np.zeros((0, 3), np.uint64)
             # how many of the sample's sounds are like this track
-            like = np.concatenate([(hamming(f[i : i + 4096, None], common[None]) <= 2 * MAX_BITS).sum(1) for i in range(0, len(f), 4096)] or [np.zeros(0)])
+            like = likeness(f, common)
             n = df.n.to_numpy()
             start = np.cumsum(size) - size
-            order = np.lexsort((np.arange(len(d)) - start[owner], like, owner))
+            order = np.lexsort((-d, like, owner))
             rank = np.empty(len(d), int)
             rank[order] = np.arange(len(d)) - start[owner[order]]
             # unreadable tracks have no counterpart, so they may fill the prefix first
@@ -261,9 +337,12 @@ def found_pairs(prints: DataFrame, sample: int = SAMPLE, block: int = BLOCK) ->
                 "rid": df.rid.to_numpy()[owner[r]], "n": n[owner[r]].astype(np.int32), "d": d[r], **{f"w{k}": f[r, k].view(np.int64) for k in range(3)},
             })
 
-    placed = cut(recs.select("rid", "n", "ds", "fps").mapInPandas(place, "cell bigint, is_query boolean, rid bigint, n int, d double, w0 bigint, w1 bigint, w2 bigint"))
-    # a cell beyond the block size is cut: index rows into parts, queries into slices, and each slice meets each part
-    sizes = placed.groupBy("cell").agg(*[F.ceil(F.count_if(c) / block).cast("int").alias(a) for a, c in (("parts", ~F.col("is_query")), ("slices", F.col("is_query")))]).where("parts > 0 and slices > 0")
+    placed = recs.select("rid", "n", "ds", "fps").mapInPandas(place, "cell bigint, is_query boolean, rid bigint, n int, d double, w0 bigint, w1 bigint, w2 bigint")
+    # a cell beyond the block size is cut: index rows into parts, queries into slices, and each slice meets each part; queries are
+    # no more than the tracks of the cell and those beside it, and a third of these as a rule
+    sizes = recs.select(F.explode("ds").alias("d")).select(F.floor(F.greatest(F.least("d", F.lit(1e15)), F.lit(-1e15)) / F.lit(CELL_SECONDS)).cast("bigint").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.select(F.inline(F.array(*[F.struct((F.col("c") + k).alias("cell"), (F.col("n") if not k else F.lit(0)).alias("own"), F.col("n").alias("near")) for k in (-1, 0, 1)])))
+    sizes = cut(sizes.groupBy("cell").agg(F.ceil(F.sum("own") / (2 * block)).cast("int").alias("parts"), F.ceil(F.sum("near") / (3 * block)).cast("int").alias("slices")).where("parts > 0"))
     put = placed.join(broadcast_if_small(sizes), "cell")
     own = lambda n: F.pmod(F.xxhash64("rid", "d", "w0"), F.col(n)).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -291,7 +370,7 @@ def found_pairs(prints: DataFrame, sample: int = SAMPLE, block: int = BLOCK) ->
     def same(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
         out = []
         for n, ds, fps, m, es, gps in zip(a["n"], a["ds"], a["fps"], b["n"], b["ds"], b["fps"]):
-            out.append(matches(np.asarray(ds), pack(np.asarray(fps).reshape(-1, WORDS)), np.asarray(es), pack(np.asarray(gps).reshape(-1, WORDS)), need(max(n, m))))
+            out.append(matches(np.asarray(ds), unpacked(fps), np.asarray(es), unpacked(gps), need(max(n, m))))
         return pd.Series(out, dtype=bool)
 
     return cand.where(same("a_l", "b_l")).select(F.least("a_l.sig", "b_l.sig").alias("signature_a"), F.greatest("a_l.sig", "b_l.sig").alias("signature_b"))

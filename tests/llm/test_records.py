@@ -154,6 +154,36 @@ def test_search_is_exact_up_to_the_last_bit():
     assert len(neardup.search(d[:0], f[:0], d, f, tables)[0]) == 0 and len(neardup.search(d, f, d[:0], f[:0], tables)[0]) == 0
 
 
+def test_search_of_wide_bands_is_exact_and_meets_few():
+    rng = np.random.default_rng(5)
+    assert sum(b for _, b in neardup.WIDE) == neardup.BITS and len(neardup.WIDE) * (neardup.WIDE_RADIUS + 1) > neardup.MAX_BITS
+    home, far = neardup.rings(9)
+    for v in (0, 77, 511):
+        assert [set(x[v].tolist()) for x in far] == [{int(home[u]) for u in range(512) if (u ^ v).bit_count() == k} for k in range(3)]
+    tables = {b: neardup.compiled(b) for _, b in neardup.BANDS}
+    base = rng.integers(0, 2**63, (6, 3)).astype(np.uint64)
+    f = base[rng.integers(0, 6, 500)]
+    for i in range(500):
+        for bit in rng.choice(192, rng.integers(0, 24), replace=False).tolist():
+            f[i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    f = np.concatenate([f, np.repeat(f[:3], 40, 0)])  # values of a band that many rows share
+    d = rng.uniform(100, 120, len(f))
+    near = (neardup.hamming(f[:, None], f[None]) <= 28) & (np.abs(d[:, None] - d[None]) <= 7)
+    for step in (1 << 16, 50):
+        q, x = neardup.search(d, f, d, f, tables, step, wide=0)
+        assert set(zip(q.tolist(), x.tolist())) == set(zip(*map(np.ndarray.tolist, np.nonzero(near))))
+    assert len(neardup.search(d[:0], f[:0], d, f, tables, wide=0)[0]) == 0
+    met, compare = [0], neardup._compare
+    neardup._compare = lambda p, *a: met.__setitem__(0, met[0] + len(p)) or compare(p, *a)
+    try:
+        n = neardup.WIDE_ROWS
+        some = rng.integers(0, 2**63, (n, 3)).astype(np.uint64)
+        q, x = neardup.search(np.full(50, 200.0), some[:50], np.full(n, 200.0), some, tables)
+    finally:
+        neardup._compare = compare
+    assert q.tolist() == x.tolist() == list(range(50)) and met[0] < 0.008 * 50 * n  # balls of one bit in 13 meet 0.026
+
+
 CLEAN = ["Tränenfluß", "Corazón de latón", "São João da serra", "Über den Dächern", "Señora de la niebla", "Déjà trop tôt", "Blå räven", "Für später", "Manhã de verão", "Coração à toa", "Höstvisa för två", "Perché no", "Noël à la gare", "Тихая река", "Ночной поезд", "夜の列車", "Don’t Wake", "½ Past Seven", "MANHÃ DE MARÇO"]
 BAD = [("utf-8", "cp1252"), ("utf-8", "cp437"), ("utf-8", "latin_1"), ("utf-8", "mac_roman")]
 
