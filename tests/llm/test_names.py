@@ -55,6 +55,33 @@ def test_near_words_are_those_of_same_word(spark):
     assert {(r.a, r.b) for r in variants.near_words(left, right).collect() if len(r.b) > 1} == {(a, b) for a, b in want if len(a) % 2 == 0 and len(b) % 2 == 1 and len(b) > 1}
 
 
+def test_near_pairs_in_step_are_those_of_edits():
+    rng = random.Random(7)
+    a = ["".join(rng.choice("aockphyé") for _ in range(rng.randint(0, 14))) for _ in range(3000)] + ["z" * 40, "theatre"]
+    b = []
+    for w in a:
+        s = list(w)
+        for _ in range(rng.randint(0, 4)):
+            i = rng.randrange(len(s) or 1)
+            s[i : i + 2] = rng.choice([s[i : i + 2][::-1], s[i : i + 1], [], ["ph", *s[i + 1 : i + 2]], [rng.choice("abc"), *s[i + 1 : i + 2]]])
+        b.append("".join(s))
+    k = [names.slack(min(len(x), len(y))) for x, y in zip(a, b)]
+    want = [min(names.edits(x, y, n), names.edits(names.sound(x), names.sound(y), n)) <= n if n else x == y for x, y, n in zip(a, b, k)]
+    assert names.near_pairs(a, b).tolist() == want and 500 < sum(want) < 2500
+    assert names.near_pairs([], []).tolist() == []
+
+
+def test_few_unrelated_words_meet():
+    rng = random.Random(11)
+    ws = sorted({"".join(rng.choice(("b", "d", "dr", "f", "k", "l", "m", "n", "st", "tr", "v", "z")) + rng.choice("aeiou") for _ in range(4)) + rng.choice(("n", "r", "nd")) for _ in range(1500)})
+    index = {}
+    for w in ws:
+        for key in variants.near_index(w):
+            index[key] = index.get(key, 0) + 1
+    # rows of the join, as a share of all pairs; segments of two or three letters brought together several in a hundred
+    assert sum(index.get(key, 0) for w in ws for key in variants.near_probe(w)) < 0.05 * len(ws) ** 2
+
+
 def test_swaps_and_sounds_become_candidates(spark):
     c, lex, st = _tables(spark, ["VOFUROBRNUDANDTHESISTERS", "Vofurobrnud & the Sisters"], ["Broonobasem Lounge", "Bruenoabsem Lounge", "Kistoeon Arena", "Kistoleno Arena", "Tra Pudimo Hall", "Trap Udimo Hall"])
     got = {(r.name_a, r.name_b) for r in variants.found(c, lex, st).collect()}
