@@ -82,6 +82,23 @@ def test_few_unrelated_words_meet():
     assert sum(index.get(key, 0) for w in ws for key in variants.near_probe(w)) < 0.05 * len(ws) ** 2
 
 
+def test_sifted_names_are_none():
+    rng = random.Random(13)
+    given = ["Robert", "Bob", "Bobby", "Gerry", "Gerald", "Daniel", "Dan", "Margaret", "Peggy", "M.", "D", "Theo.", "Herons", "Orch."]
+    last = ["Geruzafrus", "Danitekol", "Kugostano", "Phovuseck", "Bobitrem", "Stu", "Drezedroher", "Orchestra", "G."]
+    made = []
+    for _ in range(500):
+        s = [rng.choice(given), *([rng.choice("BDG") + "."] if rng.random() < 0.2 else []), rng.choice(last)]
+        t = list(" ".join(s if rng.random() < 0.7 else s[::-1]) + (" Tribute" if rng.random() < 0.1 else ""))
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(t))
+            t[i : i + 2] = rng.choice([t[i : i + 2][::-1], t[i : i + 1], t[i : i + 1] * 2])
+        made.append(names.Name("".join(t), "artist"))
+    pairs = [(a, b) for i, a in enumerate(made) for b in made[i:]]
+    out = [p for p in pairs if not names.may_be_same(*p)]
+    assert not any(names.same_name(a, b) or names.same_name(b, a) for a, b in out) and len(out) > len(pairs) // 10
+
+
 def test_swaps_and_sounds_become_candidates(spark):
     c, lex, st = _tables(spark, ["VOFUROBRNUDANDTHESISTERS", "Vofurobrnud & the Sisters"], ["Broonobasem Lounge", "Bruenoabsem Lounge", "Kistoeon Arena", "Kistoleno Arena", "Tra Pudimo Hall", "Trap Udimo Hall"])
     got = {(r.name_a, r.name_b) for r in variants.found(c, lex, st).collect()}
